@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, secrets
+from . import chat, decontam, exact_dedup, mixing, secrets
 from .common import read_table
 
 
@@ -30,15 +30,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
     "op7_chat": op7_chat,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op10_decontamination": decontam.ORACLE,
 }
