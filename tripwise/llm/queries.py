@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact_dedup, mixing, quality, secrets
+from . import chat, ctw, decontam, exact_dedup, mixing, quality, secrets
 from .common import read_table
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.language_model_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_context_tree": op2_context_tree,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
