@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ from .blocks import combine, make_blocks, rows_of, unpack
 from .common import doc_bucket, materialize
 from .words import LOWER, NOT_SPACE, PIECE, mixed, words_of
 
-DEPTH = 4
+DEPTH = 5
 END_BYTE = 0xFF  # never occurs in UTF-8; closes each text
 END_WORD = np.uint64(0x51ED270B35A7F9C5)
 BUCKET_BYTES = 16_000_000
@@ -54,20 +53,25 @@ def grams(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
     `raw` are the texts, each closed by END_BYTE; contexts do not reach beyond a text's start: 0 stands there.
     """
     first = max(0, lo - DEPTH)
-    part = raw[first:hi]
-    code = part[lo - first :].astype(U)
-    at = np.arange(lo, hi)
-    depth = np.minimum(at - offsets[np.searchsorted(offsets, at, "right") - 1], DEPTH)
+    part = np.zeros(hi - lo + DEPTH, np.uint8)
+    part[DEPTH - (lo - first) :] = raw[first:hi]
+    starts = offsets[np.searchsorted(offsets, first) : np.searchsorted(offsets, hi)] - lo
+    code = part[DEPTH:].astype(U)
     for k in range(1, DEPTH + 1):
-        before = np.zeros(hi - lo, U)
-        have = min(hi - lo, max(0, hi - max(lo, k)))
-        if have:
-            before[hi - lo - have :] = part[hi - have - k - first : hi - k - first]
-        before[depth < k] = 0
+        before = part[DEPTH - k : len(part) - k].astype(U)
+        at = (starts[:, None] + np.arange(k)).ravel()
+        before[at[(at >= 0) & (at < len(before))]] = 0
         code |= before << U(8 * k)
     return code
 
 
+def texts_at(offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The text of each position from lo to hi; every text has a closing byte, so none is empty."""
+    i, j = np.searchsorted(offsets, [lo, hi - 1], "right") - 1
+    edges = np.clip(offsets[i : j + 2], lo, hi)
+    return np.repeat(np.arange(i, j + 1), np.diff(edges))
+
+
 def closed(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased texts, each followed by END_BYTE, and their offsets."""
     n = len(offsets) - 1
@@ -91,7 +95,7 @@ def block_grams(raw: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tupl
     for lo in range(0, len(raw), PIECE):
         hi = min(len(raw), lo + PIECE)
         own, index = _distinct(grams(raw, at, lo, hi))
-        learned = train[np.searchsorted(at, np.arange(lo, hi), "right") - 1]
+        learned = train[texts_at(at, lo, hi)]
         keys.append(own)
         counts.append(np.bincount(index[learned], minlength=len(own)))
     return combine(keys, counts)
@@ -207,112 +211,127 @@ class TopNodes:
 
 
 ASKED = "kind string, bucket long, block string, keys binary, counts binary"
-ANSWER = "kind string, bucket long, block string, keys binary, answer binary"
-ASKED_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWER_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.string()), ("keys", pa.binary()), ("answer", pa.binary())])
+OWNED = "kind string, bucket long, known binary, sums binary, blocks array<string>, places array<binary>"
+ANSWER = "block string, kind string, bucket long, answer binary"
+
+
+def _schema(fields: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in fields.split(", "))])
+
 
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    schema = _schema(fields)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-def _training(row: dict) -> np.ndarray:
-    return np.array(row["train"], bool)
+
+def _narrow(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
 
 
 def _ask(buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             raw, offsets = unpack(row)
-            train = _training(row)
+            train = np.array(row["train"], bool)
             keys, counts, _, _ = block_words(raw, offsets, train)
-            out = [("word", b, k, c) for b, (k, c) in split_by(word_bucket(keys, buckets), keys, counts)]
+            parts = split_by(word_bucket(keys, buckets), keys, counts)
+            yield _batch([("word", b, row["block"], k.tobytes(), _narrow(c)) for b, (k, c) in parts], ASKED)
             keys, counts = block_grams(raw, offsets, train)
-            out += [("gram", b, k, c) for b, (k, c) in split_by(gram_bucket(keys, buckets), keys, counts)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out]),
-                    pa.array([x[1] for x in out], pa.int64()),
-                    pa.array([row["block"]] * len(out)),
-                    pa.array([x[2].tobytes() for x in out], pa.binary()),
-                    pa.array([x[3].astype(np.int64).tobytes() if x[3].max(initial=0) >= 2**32 else x[3].astype(np.uint32).tobytes() for x in out], pa.binary()),
-                ],
-                schema=ASKED_ARROW,
-            )
+            parts = split_by(gram_bucket(keys, buckets), keys, counts)
+            yield _batch([("gram", b, row["block"], k.tobytes(), _narrow(c)) for b, (k, c) in parts], ASKED)
 
     return ask
 
 
-def _counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
-
-
 def _own(table: pa.Table) -> pa.Table:
-    """Combines what all blocks sent to one bucket and answers each of them."""
+    """What all blocks sent to one bucket, summed: known keys, their counts or mixtures, and where each block's keys are.
+
+    For grams, `sums` holds 8 mixtures of each key; a second row has what depth 1 needs.
+    """
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-    blocks = table["block"].to_pylist()
     keys = [np.frombuffer(k, U) for k in table["keys"].to_pylist()]
-    counts = [_counts(c, len(k)) for c, k in zip(table["counts"].to_pylist(), keys, strict=True)]
+    counts = [_wide(c, len(k)) for c, k in zip(table["counts"].to_pylist(), keys, strict=True)]
     known, total = combine(keys, counts)
-    out = []
+    places = [np.searchsorted(known, k).astype(np.uint32).tobytes() for k in keys]
+    blocks = table["block"].to_pylist()
     if kind == "word":
-        answers = [total[np.searchsorted(known, k)].tobytes() for k in keys]
-        out.append(("words", bucket, "", b"", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
+        rows = [(kind, bucket, known.tobytes(), total.tobytes(), blocks, places)]
+        rows.append(("words", bucket, b"", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), [], []))
     else:
         tree = Subtrees(known, total)
-        mix = tree.mix.astype(np.float32)
-        answers = [mix[np.searchsorted(known, k)].tobytes() for k in keys]
-        nodes = np.concatenate([n for n, _ in tree.top])
-        out.append(("top", bucket, "", nodes.tobytes(), np.concatenate([s for _, s in tree.top]).tobytes()))
-    # Keys go back with the answers: the block need not find its own again.
-    out += [(kind, bucket, b, k.tobytes(), a) for b, k, a in zip(blocks, keys, answers, strict=True)]
-    return pa.table(
-        [
-            pa.array([x[0] for x in out]),
-            pa.array([x[1] for x in out], pa.int64()),
-            pa.array([x[2] for x in out]),
-            pa.array([x[3] for x in out], pa.binary()),
-            pa.array([x[4] for x in out], pa.binary()),
-        ],
-        schema=ANSWER_ARROW,
-    )
+        rows = [(kind, bucket, known.tobytes(), tree.mix.astype(np.float32).tobytes(), blocks, places)]
+        nodes = np.concatenate([n for n, _ in tree.top]).astype(np.int64)
+        rows.append(("top", bucket, nodes.tobytes(), np.concatenate([s for _, s in tree.top]).tobytes(), [], []))
+    return pa.Table.from_batches([_batch(rows, OWNED)])
+
+
+def _answer(top):
+    """To each block, in the order of its keys: word counts, or the log10 probabilities of its grams."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = TopNodes(*top.value)
+        for row in rows_of(batches):
+            known = np.frombuffer(row["known"], U)
+            if row["kind"] == "word":
+                said = np.frombuffer(row["sums"], np.int64)
+                send = _narrow
+            else:
+                said = nodes.log10(known, np.frombuffer(row["sums"], np.float32).reshape(-1, 8).astype(float))
+                send = lambda x: x.astype(np.float32).tobytes()
+            out = [
+                (b, row["kind"], row["bucket"], send(said[np.frombuffer(p, np.uint32)]))
+                for b, p in zip(row["blocks"], row["places"], strict=True)
+            ]
+            yield _batch(out, ANSWER)
+
+    return answer
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(totals: tuple[int, int], top):
+def _in_order(keys: np.ndarray, bucket: np.ndarray, answers: dict[int, bytes], read) -> np.ndarray:
+    """Answers of all buckets put in the order of the block's sorted keys."""
+    order = np.argsort(bucket, kind="stable")
+    own, n = np.unique(bucket, return_counts=True)
+    out = np.empty(len(keys))
+    out[order] = np.concatenate([read(answers[int(b)], int(k)) for b, k in zip(own, n, strict=True)]) if len(keys) else []
+    return out
+
+
+def _score(totals: tuple[int, int], buckets: int):
     n_all, v_all = totals
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = TopNodes(*top.value)
         for row in rows_of(batches):
             raw, offsets = unpack(row)
             n = len(offsets) - 1
-            found: dict[str, list] = {"word": [], "gram": []}
+            answers: dict[str, dict[int, bytes]] = {"word": {}, "gram": {}}
             for a in row["answers"]:
-                found[a["kind"]].append((np.frombuffer(a["keys"], U), a["answer"]))
-            keys = np.concatenate([k for k, _ in found["word"]])
-            count = np.concatenate([np.frombuffer(a, np.int64) for _, a in found["word"]])
-            order = np.argsort(keys)
-            keys, count = keys[order], count[order]
-            base_log = np.log10((count + 0.1) / (n_all + 0.1 * (v_all + 1)))
+                answers[a["kind"]][a["bucket"]] = a["answer"]
             hashes, at = words_of(raw, offsets, NOT_SPACE)
             own, index = _distinct(hashes)
-            slot = np.searchsorted(keys, own)
-            end = int(np.searchsorted(keys, END_WORD))
-            upto = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
-            base = upto(base_log[slot][index]) + base_log[end]
-            known = upto((count[slot] > 0).astype(float)[index]) + (count[end] > 0)
-
-            keys = np.concatenate([k for k, _ in found["gram"]])
-            mix = np.concatenate([np.frombuffer(a, np.float32).reshape(-1, 8) for _, a in found["gram"]]).astype(float)
-            order = np.argsort(keys)
-            keys, said = keys[order], nodes.log10(keys[order], mix[order])
+            keys = np.unique(np.append(own, END_WORD))
+            count = _in_order(keys, word_bucket(keys, buckets), answers["word"], _wide)
+            base_log = np.log10((count + 0.1) / (n_all + 0.1 * (v_all + 1)))
+            slot, end = np.searchsorted(keys, own), int(np.searchsorted(keys, END_WORD))
+            doc = np.repeat(np.arange(n), np.diff(at))
+            base = np.bincount(doc, base_log[slot][index], n) + base_log[end]
+            known = np.bincount(doc, (count[slot] > 0)[index], n) + (count[end] > 0)
+
             text, at_closed = closed(raw, offsets)
+            pieces = [(lo, min(len(text), lo + PIECE)) for lo in range(0, len(text), PIECE)]
+            seen = [_distinct(grams(text, at_closed, lo, hi)) for lo, hi in pieces]
+            keys = np.unique(np.concatenate([k for k, _ in seen]))
+            logs = _in_order(keys, gram_bucket(keys, buckets), answers["gram"], lambda a, _: np.frombuffer(a, np.float32))
             total = np.zeros(n)
-            for lo in range(0, len(text), PIECE):
-                hi = min(len(text), lo + PIECE)
-                own, index = _distinct(grams(text, at_closed, lo, hi))
-                logs = said[np.searchsorted(keys, own)][index]
-                doc = np.searchsorted(at_closed, np.arange(lo, hi), "right") - 1
-                total += np.bincount(doc, logs, n)
+            for (lo, hi), (own, index) in zip(pieces, seen, strict=True):
+                total += np.bincount(texts_at(at_closed, lo, hi), logs[np.searchsorted(keys, own)][index], n)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["ids"], pa.int64()),
@@ -328,7 +347,7 @@ def _score(totals: tuple[int, int], top):
     return score
 
 
-def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, training, block_bytes: int = 32_000_000) -> DataFrame:
     """Scores every row of docs with a tree and word counts learned from the rows where `training` holds.
 
     training is a condition on doc_id. Returns doc_id, n_tokens, n_known, train_tokens,
@@ -342,24 +361,27 @@ def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) ->
     blocks = make_blocks(docs.select("doc_id", "text"), block_bytes, "ctw-blocks")
     flagged = blocks.withColumn("train", F.transform("ids", lambda i: training(i)))
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    # Blocks send about a third of their bytes as distinct keys.
-    buckets = max(8, -(-total // (3 * BUCKET_BYTES)))
+    # Blocks send about a third of their bytes as distinct keys and counts.
+    buckets = int(max(8, -(-total // (3 * BUCKET_BYTES))))
     asked = flagged.mapInArrow(_ask(buckets), ASKED)
-    answers = materialize(asked.groupBy("kind", "bucket").applyInArrow(_own, ANSWER), "ctw-answers")
-    sums = [np.frombuffer(r["answer"], np.int64) for r in answers.filter("kind = 'words'").select("answer").toLocalIterator()]
-    n_all, v_all = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    owned = materialize(asked.groupBy("kind", "bucket").applyInArrow(_own, OWNED), "ctw-model")
+    sums = [np.frombuffer(r["sums"], np.int64) for r in owned.filter("kind = 'words'").select("sums").toLocalIterator()]
+    totals = tuple(int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     # Buckets' sums are added up as they arrive; what is kept has at most 65,536 nodes.
-    held: dict[str, np.ndarray] = {"nodes": np.zeros(0, np.int64), "sums": np.zeros((0, 3))}
-    for r in answers.filter("kind = 'top'").select("keys", "answer").toLocalIterator():
-        nodes = np.concatenate([held["nodes"], np.frombuffer(r["keys"], U).astype(np.int64)])
-        sums3 = np.concatenate([held["sums"], np.frombuffer(r["answer"], np.float64).reshape(-1, 3)])
-        known, inverse = np.unique(nodes, return_inverse=True)
-        held = {"nodes": known, "sums": np.stack([np.bincount(inverse, sums3[:, j], len(known)) for j in range(3)], 1)}
-    top = spark.sparkContext.broadcast((held["nodes"], held["sums"]))
-    replies = answers.filter("kind IN ('word', 'gram')").groupBy("block").agg(
-        F.collect_list(F.struct("kind", "keys", "answer")).alias("answers")
+    nodes, held = np.zeros(0, np.int64), np.zeros((0, 3))
+    for r in owned.filter("kind = 'top'").select("known", "sums").toLocalIterator():
+        every = np.concatenate([nodes, np.frombuffer(r["known"], np.int64)])
+        values = np.concatenate([held, np.frombuffer(r["sums"], np.float64).reshape(-1, 3)])
+        nodes, inverse = np.unique(every, return_inverse=True)
+        held = np.stack([np.bincount(inverse, values[:, j], len(nodes)) for j in range(3)], 1)
+    top = spark.sparkContext.broadcast((nodes, held))
+    answers = (
+        owned.filter("kind IN ('word', 'gram')")
+        .mapInArrow(_answer(top), ANSWER)
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
     )
-    return flagged.join(replies, "block").mapInArrow(_score((n_all, v_all), top), SCORES)
+    return blocks.join(answers, "block").mapInArrow(_score(totals, buckets), SCORES)
 
 
 def language_model_report(docs: DataFrame) -> DataFrame:
