@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontam, exact_dedup, mixing, quality, secrets
+from . import chat, ctw, decontam, exact_dedup, minhash_forest, mixing, quality, secrets
 from .common import read_table
 
 
+def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.language_model_report(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_join": op1_near_join,
     "op2_context_tree": op2_context_tree,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
