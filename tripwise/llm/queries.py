@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontam, exact_dedup, minhash_forest, mixing, quality, secrets
+from . import chat, ctw, decontam, exact_dedup, minhash_forest, mixing, quality, secrets, suffix_dedup
 from .common import read_table
 
 
@@ -38,6 +38,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(rows.unionByName(probe))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op8_repeats": op8_repeats,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
