@@ -255,9 +255,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
     sizes = sizes.select("hub", F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("words") / CHUNK_WORDS)).alias("chunks"))
     wanted = members.groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
+    # The texts that meet others are read and moved once, and by a shuffle whatever their number.
+    held = materialize(texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hubs"), "near-texts")
     placed = (
-        texts.join(wanted, "doc_id")
-        .select("doc_id", "text", "hubs", F.explode("hubs").alias("hub"))
+        held.select("doc_id", "text", "hubs", F.explode("hubs").alias("hub"))
         .join(sizes, "hub")
         .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
     )
@@ -271,7 +272,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     crowded = sizes.filter("chunks > 1")
     alone = found.join(crowded, "hub").filter("NOT with_hub").select("hub", "doc_id", "chunks")
     if not alone.isEmpty():
-        found = found.unionByName(_between_chunks(texts, wanted, sizes, materialize(alone, "near-alone"), threshold))
+        found = found.unionByName(_between_chunks(held, sizes, materialize(alone, "near-alone"), threshold))
     found = materialize(found, "near-found")
     joined = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("n_links"))
@@ -290,11 +291,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     )
 
 
-def _between_chunks(texts: DataFrame, wanted: DataFrame, sizes: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
+def _between_chunks(held: DataFrame, sizes: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
     """Links of members that their crowded group's hub does not link, with the other chunks of the group."""
     crowd = (
-        texts.join(wanted, "doc_id")
-        .select("doc_id", "text", "hubs", F.explode("hubs").alias("hub"))
+        held.select("doc_id", "text", "hubs", F.explode("hubs").alias("hub"))
         .join(sizes.filter("chunks > 1"), "hub")
         .join(alone.select("hub", "doc_id", F.lit(True).alias("is_alone")), ["hub", "doc_id"], "left")
         .withColumn("alone", F.coalesce("is_alone", F.lit(False)))
