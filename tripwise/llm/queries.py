@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontam, exact_dedup, minhash_forest, mixing, quality, secrets, suffix_dedup
+from . import chat, ctw, decontam, exact_dedup, licenses, minhash_forest, mixing, quality, secrets, suffix_dedup
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.language_model_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"), licenses.notices(spark))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_join": op1_near_join,
     "op2_context_tree": op2_context_tree,
+    "op3_licenses": op3_licenses,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
