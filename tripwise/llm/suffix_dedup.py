@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import make_blocks, rows_of, unpack
 from .common import materialize
-from .words import _VALUE, PIECE, mixed, powers
+from .words import _VALUE, mixed, powers
 
 MIN_LENGTH = 50
 GRAM = 24
@@ -39,7 +39,8 @@ WINDOW = MIN_LENGTH - GRAM + 1  # grams in a string of MIN_LENGTH
 LEFT, RIGHT = WINDOW - 1, MIN_LENGTH  # bytes of a context before and from its anchor
 WIDTH = LEFT + RIGHT
 HOT_BLOCKS = 4096
-BUCKET_BYTES = 24_000_000
+PIECE = 2_000_000  # positions worked on at once
+HASH_BYTES, CONTEXT_BYTES = 6_000_000, 12_000_000  # of what a bucket gets; it needs some 30 and 15 times as much
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
 U = np.uint64
@@ -90,7 +91,7 @@ def _digests(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def _hash_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((codes >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
+    return ((codes >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
 def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -462,8 +463,8 @@ def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = 8_000
     blocks = make_blocks(docs.select("doc_id", "text"), block_bytes, "suffix-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     # About 0.41 bytes of hashes and, where a sixth of all anchors repeat, 0.8 bytes of contexts for each byte of text.
-    buckets = int(min(65_536, max(12, -(-total * 41 // (100 * BUCKET_BYTES)))))
-    context_buckets = int(max(12, -(-total * 8 // (10 * BUCKET_BYTES))))
+    buckets = int(max(12, -(-total * 41 // (100 * HASH_BYTES))))
+    context_buckets = int(max(12, -(-total * 8 // (10 * CONTEXT_BYTES))))
     asked = blocks.mapInArrow(_ask(buckets), ASKED)
     repeats = asked.groupBy("kind", "bucket").applyInArrow(_repeats(hot_blocks), REPEATS).groupBy("block").agg(
         F.collect_list(F.struct("kind", "bucket", "answer")).alias("repeats")
