@@ -45,9 +45,11 @@ def levels(sources: DataFrame, budget, repeats: int) -> DataFrame:
             (budget - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(after) >= F.col("full")
         ).alias("used_up"),
     )
-    level = (budget - F.sum(F.when(F.col("used_up"), cap).otherwise(0)).over(whole)) / F.sum(
-        F.when(F.col("used_up"), 0).otherwise(F.col("weight"))
-    ).over(whole)
+    # Null once all sources are used up, which an enlarged budget or an empty table does.
+    level = F.try_divide(
+        budget - F.sum(F.when(F.col("used_up"), cap).otherwise(0)).over(whole),
+        F.sum(F.when(F.col("used_up"), 0).otherwise(F.col("weight"))).over(whole),
+    )
     return tested.select(
         *sources.columns,
         F.when(F.col("used_up"), cap.cast("double")).otherwise(F.col("weight") * level).alias("target"),

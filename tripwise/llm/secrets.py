@@ -108,10 +108,12 @@ def _states(token: Column) -> Column:
     return F.concat(F.array(F.lit(0)), inner, F.array(F.lit(0)))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, prior: float = 5.0, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of each pair of states, row by row.
 
-    The transition counts reaching the driver are bounded by the alphabet.
+    A transition is smoothed with the model's own frequency of the second state, which counts
+    like `prior` observations. The transition counts reaching the driver are bounded by the
+    alphabet.
     """
     states = samples.select("random", _states(F.col("value")).alias("s"))
     pairs = states.select(
@@ -127,12 +129,14 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     counts = {True: [0] * STATES**2, False: [0] * STATES**2}
     for row in pairs.groupBy("random", "pair").count().collect():
         counts[row["random"]][row["pair"]] = row["count"]
-    table = []
-    for a in range(STATES):
-        r, o = (counts[k][a * STATES : (a + 1) * STATES] for k in (True, False))
-        nr, no = sum(r) + smoothing * STATES, sum(o) + smoothing * STATES
-        table += [math.log((x + smoothing) / nr) - math.log((y + smoothing) / no) for x, y in zip(r, o, strict=True)]
-    return table
+
+    def logs(n: list[int]) -> list[float]:
+        total = sum(n) + smoothing * STATES
+        share = [(sum(n[b::STATES]) + smoothing) / total for b in range(STATES)]
+        seen = [sum(n[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
+        return [math.log((x + prior * share[i % STATES]) / (seen[i // STATES] + prior)) for i, x in enumerate(n)]
+
+    return [x - y for x, y in zip(logs(counts[True]), logs(counts[False]), strict=True)]
 
 
 def ratio(token: Column, table: list[float]) -> Column:
