@@ -30,7 +30,7 @@ DEPTH = 5
 END_BYTE = 0xFF  # never occurs in UTF-8; closes each text
 END_WORD = np.uint64(0x51ED270B35A7F9C5)
 BUCKET_BYTES = 16_000_000
-PIECE = 2_000_000  # positions worked on at once
+PIECE = 1_000_000  # positions worked on at once
 
 U = np.uint64
 
@@ -348,7 +348,7 @@ def _score(totals: tuple[int, int], buckets: int):
     return score
 
 
-def score_documents(docs: DataFrame, training, block_bytes: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) -> DataFrame:
     """Scores every row of docs with a tree and word counts learned from the rows where `training` holds.
 
     training is a condition on doc_id. Returns doc_id, n_tokens, n_known, train_tokens,
