@@ -28,7 +28,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, LABELS, LABEL_BITS = 16, 6, 10
 RECALL = 0.9995
-CHUNK_DOCS, CHUNK_WORDS = 512, 2_000_000
+CHUNK_DOCS, CHUNK_WORDS = 512, 1_000_000
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(1729))

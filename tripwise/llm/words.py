@@ -15,7 +15,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-PIECE = 4_000_000
+PIECE = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
