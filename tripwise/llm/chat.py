@@ -125,6 +125,10 @@ def turns_log(conversations: DataFrame) -> DataFrame:
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
+    """One row per conversation, read back from its rendered form; see fold_log and turns_log for nulls and ties.
+
+    A null conv_id is a conversation of its own; no rows give none; other columns are not looked at.
+    """
     rendered = render(fold_log(turns_log(conversations)))
     read = rendered.select(
         "conv_id",

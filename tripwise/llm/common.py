@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -24,10 +26,29 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_cleared: set[str] = set()
+
+
+def tables_root(spark: SparkSession) -> str:
+    """This application's folder for tables; removed when the process ends."""
+    root = f"{scratch_root(spark)}/tables-{spark.sparkContext.applicationId}"
+    if root not in _cleared:
+        _cleared.add(root)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # the session may be gone already
+                path = jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(conf).delete(path, True)
+
+        atexit.register(clear)
+    return root
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -386,7 +386,7 @@ def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) ->
 
 
 def language_model_report(docs: DataFrame) -> DataFrame:
-    """Scores learned from the documents whose id's crc32 modulo 10 is not 0, which are the held-out ones."""
+    """Scores learned from the documents whose id's crc32 modulo 10 is not 0; the others are held out."""
     scored = score_documents(docs, lambda i: F.crc32(F.coalesce(i.cast("string"), F.lit("")).cast("binary")) % 10 != 0)
     return scored.select(
         "doc_id", (doc_bucket(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
