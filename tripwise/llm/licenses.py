@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -118,9 +118,8 @@ def find_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     """Matches (doc_id, license, word, share): the first word's place (from 0) and the template's share found there.
 
     A match needs `containment` of the template's distinct shingles within the place that the
-    retrieved window gives it, with a quarter of its length to spare on both sides; of
-    overlapping places of a license in a document the best is returned once per half template
-    length. Templates (license, text) without words match nothing, null texts are empty,
+    retrieved window gives it, with a quarter of its length to spare on both sides; of places of
+    a license less than half a template apart the best is returned. Templates (license, text) without words match nothing, null texts are empty,
     templates of equal words share their matches. At most MAX_TEMPLATE_WORDS words of templates
     are taken: a longer list has to be split by the caller.
     """
@@ -171,9 +170,13 @@ def find_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
         checked = placed.select("doc_id", "license", start.alias("start"), share.alias("share"), F.size("t").alias("n")).filter(
             F.col("share") >= containment
         )
-        cell = F.floor(F.col("start") / F.greatest(F.lit(1), F.expr("n div 2")))
-        best = checked.groupBy("doc_id", "license", cell.alias("cell")).agg(
-            F.max_by("start", F.struct("share", -F.col("start"))).alias("start"), F.max("share").alias("share")
+        # Windows that share a band by a shingle alone place the template a little off: most bands name the right place.
+        voted = checked.groupBy("doc_id", "license", "start", "n").agg(F.max("share").alias("share"), F.count(F.lit(1)).alias("votes"))
+        in_order = Window.partitionBy("doc_id", "license").orderBy("start", "n")
+        apart = F.col("start") - F.lag("start").over(in_order) >= F.greatest(F.lit(1), F.expr("n div 2"))
+        placed = voted.withColumn("place", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("place", F.sum("place").over(in_order))
+        best = placed.groupBy("doc_id", "license", "place").agg(
+            F.max_by("start", F.struct("share", "votes", -F.col("start"))).alias("start"), F.max("share").alias("share")
         )
         found = found.unionByName(
             best.select("doc_id", "license", F.greatest(F.lit(0), F.col("start") - 1).cast("int").alias("word"), "share")
