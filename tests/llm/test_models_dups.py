@@ -74,6 +74,33 @@ def test_near_classes(spark, make_docs):
     assert minhash_forest.near_classes(make_docs([(1, None), (2, "")])).filter("n_links > 0").count() == 0
 
 
+def test_crowded_groups_lose_no_link(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(minhash_forest, "BLOCK_DOCS", 9)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g, changes in enumerate((1, 3, 9)):
+        words = [f"{w}{i % 7}" for i, w in enumerate(prose(rng, 160).split())]
+        for k in range(30):
+            copy = list(words)
+            for at in rng.integers(0, 160, changes):
+                copy[at] = f"changed{rng.integers(0, 3)}"
+            rows.append((1000 * g + k, " ".join(copy)))
+    want = brute_classes(rows)
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in minhash_forest.near_classes(make_docs(rows)).collect()}
+    assert max(v[2] for v in want.values()) > 20
+    assert got == want
+
+
+def test_common_counts_every_shared_code():
+    rng = np.random.default_rng(5)
+    draw = lambda: np.unique(np.concatenate([rng.integers(0, 40, 20), rng.integers(0, 3000, 30)]).astype(np.uint64))
+    for m, n in ((300, 170), (1, 4), (0, 3)):
+        a, b = [draw() for _ in range(m)], [draw() for _ in range(n)]
+        want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+        assert minhash_forest.common(a, b).tolist() == want
+
+
 def test_crowded_groups_lose_no_class(spark, make_docs, monkeypatch):
     monkeypatch.setattr(minhash_forest, "CHUNK_DOCS", 4)
     rng = np.random.default_rng(3)

@@ -8,12 +8,14 @@ every pair of a subtree meets in the hub's group, where exact Jaccard similarity
 
 Subtrees of any size are worked on in chunks of bounded size, each with a copy of the hub. In
 one that needs several chunks, members linked to the hub are already in one class; all others
-are compared with every other chunk too, so no class misses a link. Tasks send on a spanning
-forest and link counts instead of pairs.
+are compared with every other chunk too, so no class misses a link. Where link counts are wanted,
+the members linked to the hub are compared across chunks as well, in pairs of bounded blocks.
+Tasks send on a spanning forest and link counts instead of pairs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ THRESHOLD = 0.8
 TREES, LABELS, LABEL_BITS = 16, 6, 10
 RECALL = 0.9995
 CHUNK_DOCS, CHUNK_WORDS = 512, 1_000_000
+BLOCK_DOCS, STRIP = 4096, 256
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(1729))
@@ -116,31 +119,68 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(code[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
 
 
-def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the Jaccard similarity; sets without elements reach it with none."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    codes = np.concatenate(sets) if m else np.zeros(0, U)
-    owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(codes, kind="stable")
-    codes, owner = codes[order], owner[order]
-    new = np.concatenate([[True], codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, bool)
-    column = np.cumsum(new) - 1
-    often = np.bincount(column)[column] > 1 if len(codes) else new
-    owner, column = owner[often], column[often]
-    if len(column):
-        column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]]))
-    common = np.zeros((m, m), np.float32)
-    width = max(1, 4_000_000 // max(m, 1))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        part = np.zeros((m, int(column[b - 1]) - lo + 1), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        common += part @ part.T
-    both = sizes[:, None] + sizes[None, :] - common.astype(float)
-    hit = common / np.maximum(both, 1) >= threshold
-    np.fill_diagonal(hit, False)
-    return hit & (common > 0)
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many codes each set of a has in common with each set of b.
+
+    Codes that many sets hold are counted by matrix products, the others pair by pair.
+    """
+    m, n = len(a), len(b)
+    out = np.zeros((m, n), np.float32)
+    codes = [np.concatenate(sets) if sets else np.zeros(0, U) for sets in (a, b)]
+    both = np.intersect1d(*codes)
+    if not len(both):
+        return out
+    sides = []
+    for own, sets in zip(codes, (a, b), strict=True):
+        column = np.minimum(np.searchsorted(both, own), len(both) - 1)
+        held = np.flatnonzero(both[column] == own)
+        held = held[np.argsort(column[held], kind="stable")]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sides.append((column[held], owner[held]))
+    (ca, oa), (cb, ob) = sides
+    na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
+    often = na * nb * 256 >= m * n
+    dense = np.flatnonzero(often)
+    width = max(1, 4_000_000 // max(m, n))
+    for lo in range(0, len(dense), width):
+        some = dense[lo : lo + width]
+        parts = []
+        for column, owner, rows in ((ca, oa, m), (cb, ob, n)):
+            i, j = np.searchsorted(column, [some[0], some[-1] + 1])
+            inside = often[column[i:j]]
+            part = np.zeros((rows, len(some)), np.float32)
+            part[owner[i:j][inside], np.searchsorted(some, column[i:j][inside])] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    rare = ~often[ca]
+    ca, oa = ca[rare], oa[rare]
+    first_b = np.cumsum(nb) - nb
+    ends = np.cumsum(nb[ca])
+    lo = 0
+    while lo < len(ca):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+        times = nb[ca[lo:hi]]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        with_b = ob[np.repeat(first_b[ca[lo:hi]], times) + nth]
+        out += np.bincount(np.repeat(oa[lo:hi], times) * n + with_b, minlength=m * n).reshape(m, n)
+        lo = hi
+    return out
+
+
+def similar(sets: list[np.ndarray], threshold: float, others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets reach the Jaccard similarity with which others (of the same sets, where none are
+    given; none with itself); sets without elements reach it with none."""
+    shared = common(sets, sets if others is None else others)
+    if others is None:
+        np.fill_diagonal(shared, 0)
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (sets, sets if others is None else others)]
+    either = sizes[0][:, None] + sizes[1][None, :] - shared
+    return (shared > 0) & (shared / np.maximum(either, 1) >= threshold)
+
+
+def _earlier(hubs: list[list[int]], hub: int) -> list[np.ndarray]:
+    """Each member's hubs before this one: a pair that meets in several groups counts in that of its smallest hub."""
+    return [np.array([h for h in own if h < hub], np.int64).view(U) for own in hubs]
 
 
 def roots(linked: np.ndarray) -> np.ndarray:
@@ -163,8 +203,7 @@ def _verify(threshold: float):
         ids = table["doc_id"].to_numpy()
         hub, chunk = table["hub"][0].as_py(), table["chunk"][0].as_py()
         guest, alone = np.array(table["visitor"].to_pylist(), bool), np.array(table["alone"].to_pylist(), bool)
-        linked = similar(_sets(table["text"].combine_chunks()), threshold)
-        linked &= ids[:, None] != ids[None, :]
+        linked = similar(_sets(table["text"].combine_chunks()), threshold) & (ids[:, None] != ids[None, :])
         if guest.any():
             # Both members without the hub's link visit each other: counted where the guest's id is smaller.
             twice = alone[:, None] & alone[None, :]
@@ -173,13 +212,8 @@ def _verify(threshold: float):
             linked &= guest[:, None] ^ guest[None, :]
         else:
             counted = linked.copy()
-        hubs = [set(h) for h in table["hubs"].to_pylist()]
-        counts = np.zeros(len(ids), np.int64)
-        for i, j in zip(*np.nonzero(np.triu(counted)), strict=True):
-            # A pair that meets in several groups counts in that of its smallest common hub.
-            if len(hubs[i]) == 1 or len(hubs[j]) == 1 or min(hubs[i] & hubs[j]) == hub:
-                counts[i] += 1
-                counts[j] += 1
+        earlier = _earlier(table["hubs"].to_pylist(), hub)
+        counts = (counted & (common(earlier, earlier) == 0)).sum(axis=1)
         at_hub = np.flatnonzero((ids == hub) & ~guest)
         with_hub = linked[:, at_hub].any(axis=1) | (ids == hub)
         n = len(ids)
@@ -198,6 +232,33 @@ def _verify(threshold: float):
     return verify
 
 
+def _count(threshold: float):
+    def count(table: pa.Table) -> pa.Table:
+        """Link counts between different chunks of two blocks of a group, or of one block."""
+        hub, left, right = (table[c][0].as_py() for c in ("hub", "left", "right"))
+        block, chunk, ids = (table[c].to_numpy() for c in ("block", "chunk", "doc_id"))
+        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        sets = _sets(table["text"].combine_chunks())
+        earlier = _earlier(table["hubs"].to_pylist(), hub)
+        pick = lambda items, at: [items[i] for i in at]
+        links = np.zeros(len(ids), np.int64)
+        sets_b, earlier_b = pick(sets, b), pick(earlier, b)
+        for lo in range(0, len(a), STRIP):
+            rows = a[lo : lo + STRIP]
+            linked = similar(pick(sets, rows), threshold, sets_b) & (chunk[rows][:, None] != chunk[b][None, :])
+            linked &= common(pick(earlier, rows), earlier_b) == 0
+            links[rows] += linked.sum(axis=1)
+            if left != right:
+                links[b] += linked.sum(axis=0)
+        n = len(ids)
+        return pa.table(
+            [pa.array(np.full(n, hub)), pa.array(chunk), pa.array(ids), pa.array(ids), pa.array(links), pa.array(np.zeros(n, bool))],
+            ["hub", "chunk", "doc_id", "root", "links", "with_hub"],
+        )
+
+    return count
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root): the least id of each node's connected component, for the nodes of edges (a, b).
 
@@ -225,16 +286,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """One row per input row: doc_id, class_id, copy_id, n_links.
 
     Words are lower-cased (A-Z) runs of other than white space; similarity is Jaccard's over the
     sets of five-word shingles (fewer words: one shingle of all). Rows of equal words are
     copies: copy_id is their least doc_id. class_id is the least doc_id of all documents joined
-    by links of at least `threshold`, directly or through others. n_links counts the links of
-    the copies' text with other texts; in subtrees of more than a chunk it leaves out links
-    between chunks of two texts that are both linked to the hub. Texts without words are copies
-    of each other and have no links. A row without doc_id has neither class nor links; rows
+    by links of at least `threshold`, directly or through others. n_links counts all links of
+    the copies' text with other texts. Without `count_links` it leaves out, in subtrees of more
+    than a chunk, those between chunks of two texts that are both linked to the hub: classes
+    don't need them. Texts without words are copies of each other and have no links. A row without doc_id has neither class nor links; rows
     that repeat an id are one document.
     """
     depth = prefix_depth(threshold, recall)
@@ -253,7 +314,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     met = prefixes.join(hubs.filter("hub <> top"), ["tree", "prefix"])
     members = materialize(met.select("hub", F.col("copy_id").alias("doc_id"), "n_words").distinct(), "near-members")
     sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
-    sizes = sizes.select("hub", F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("words") / CHUNK_WORDS)).alias("chunks"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("words") / CHUNK_WORDS)).alias("blocks")
+    sizes = sizes.select("hub", blocks, F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("words") / CHUNK_WORDS)).alias("chunks"))
     wanted = members.groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
     # The texts that meet others are read and moved once, and by a shuffle whatever their number.
     held = materialize(texts.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "hubs"), "near-texts")
@@ -271,8 +333,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     found = materialize(own.groupBy("hub", "chunk").applyInArrow(_verify(threshold), LINKS), "near-links")
     crowded = sizes.filter("chunks > 1")
     alone = found.join(crowded, "hub").filter("NOT with_hub").select("hub", "doc_id", "chunks")
+    parts = [found]
     if not alone.isEmpty():
-        found = found.unionByName(_between_chunks(held, sizes, materialize(alone, "near-alone"), threshold))
+        parts.append(_between_chunks(held, sizes, materialize(alone, "near-alone"), threshold))
+    if count_links and not crowded.isEmpty():
+        parts.append(_across_chunks(held, found.join(crowded, "hub").filter("with_hub AND doc_id <> hub"), threshold))
+    found = functools.reduce(DataFrame.unionByName, parts)
     found = materialize(found, "near-found")
     joined = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("n_links"))
@@ -312,7 +378,19 @@ def _between_chunks(held: DataFrame, sizes: DataFrame, alone: DataFrame, thresho
     return hosts.unionByName(guests).groupBy("hub", "chunk", "party").applyInArrow(_verify(threshold), LINKS)
 
 
+def _across_chunks(held: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """Link counts between chunks of members that their crowded group's hub links, block by block."""
+    block = F.floor(F.col("chunk") * F.col("blocks") / F.col("chunks"))
+    own = (
+        held.select("doc_id", "text", "hubs", F.explode("hubs").alias("hub"))
+        .join(linked.select("hub", "doc_id", "chunk", block.alias("block"), "blocks"), ["hub", "doc_id"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    )
+    met = own.select("hub", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "chunk", "doc_id", "hubs", "text")
+    return met.groupBy("hub", "left", "right").applyInArrow(_count(threshold), LINKS)
+
+
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the least doc_id of each class only (rows without doc_id stay); columns unchanged."""
-    gone = near_classes(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_classes(docs, threshold, count_links=False).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
