@@ -451,7 +451,7 @@ def _rows_out(row: dict, b: Block, gone: np.ndarray, texts: bool) -> pa.RecordBa
     )
 
 
-def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = 8_000_000, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = 3_000_000, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, spans.
 
     A byte is removed if a string of MIN_LENGTH bytes that covers it also starts in a document
