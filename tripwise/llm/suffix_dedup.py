@@ -40,7 +40,7 @@ LEFT, RIGHT = WINDOW - 1, MIN_LENGTH  # bytes of a context before and from its a
 WIDTH = LEFT + RIGHT
 HOT_BLOCKS = 4096
 PIECE = 1_000_000  # positions worked on at once
-HASH_BYTES, CONTEXT_BYTES = 6_000_000, 12_000_000  # of what a bucket gets; it needs some 30 and 15 times as much
+HASH_BYTES, CONTEXT_BYTES = 2_000_000, 5_000_000  # of what a bucket gets; it needs some 30 and 15 times as much
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
 U = np.uint64
