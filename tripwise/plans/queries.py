@@ -175,7 +175,7 @@ def video_path_of_detection(s, d):
 
 @query
 def event_preview(s, d):
-    return reports.event_preview(views.detection_events(s, d).filter("detection_id <= 400"), "detection_id", 3)
+    return reports.event_preview(views.detection_events(s, d), "detection_id", 3)
 
 
 @query
