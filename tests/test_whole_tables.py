@@ -25,3 +25,8 @@ def test_event_preview_of_all_detections(spark, tables):
     got = {r.detection_id: r.preview for r in QUERIES["event_preview"](spark, tables).collect()}
     clock = lambda n: ", ".join(f"00:00:00.{k:03}" for k in range(1, min(n, 3) + 1)) + (f" +{n - 3} more" if n > 3 else "")
     assert got == {i: clock(i % 5 + 1) for i in IDS}
+
+
+def test_snapshot_plan_of_all_events(spark, tables):
+    got = sorted((r.path, r.detection_id, r.t_ms, r.seek_ms, r.target) for r in QUERIES["snapshot_plan"](spark, tables).collect())
+    assert got == sorted(("/inbox/cam.mp4", i, n + 1, 0, f"out/cam/det_{i}/event_{n + 1}.jpg") for i in IDS for n in range(i % 5 + 1))
