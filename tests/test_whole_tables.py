@@ -30,3 +30,8 @@ def test_event_preview_of_all_detections(spark, tables):
 def test_snapshot_plan_of_all_events(spark, tables):
     got = sorted((r.path, r.detection_id, r.t_ms, r.seek_ms, r.target) for r in QUERIES["snapshot_plan"](spark, tables).collect())
     assert got == sorted(("/inbox/cam.mp4", i, n + 1, 0, f"out/cam/det_{i}/event_{n + 1}.jpg") for i in IDS for n in range(i % 5 + 1))
+
+
+def test_parse_detection_id_of_all_rows(spark, tables):
+    got = [(r.id, r.parsed) for r in QUERIES["parse_detection_id"](spark, tables).collect()]
+    assert sorted(got) == [(i, i if i % 5 else None) for i in IDS]

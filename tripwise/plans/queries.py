@@ -272,7 +272,7 @@ def camera_url_class(s, d):
 
 @query
 def parse_detection_id(s, d):
-    rows = reports.recent_detections(views.detections(s, d), views.videos(s, d), 300)
+    rows = reports.joined(views.detections(s, d), views.videos(s, d)).select("id", reports.row_text().alias("row_text"))
     line = F.when(F.col("id") % 5 == 0, F.concat(F.lit("x"), "row_text")).when(F.col("id") % 5 == 1, F.replace("row_text", F.lit(" |"), F.lit(""))).otherwise(F.col("row_text"))
     return rows.select("id", text.parse_detection_id(line).alias("parsed"))
 
