@@ -252,9 +252,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a benchmark window; columns unchanged."""
-    bad = find_matches(docs, benchmark, window).filter(F.size("runs") > 0).select(F.col("doc_id").alias("__gone"))
-    return docs.join(bad, docs["doc_id"] == bad["__gone"], "left_anti")
+    """docs without the documents that hold a benchmark window; columns unchanged.
+
+    Rows that repeat an id are one document and go together; a row without id is a document of
+    its own, known by 64 bits of its text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keyed = docs.withColumn("__key", key)
+    found = find_matches(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, window)
+    bad = found.filter(F.size("runs") > 0).select(F.col("doc_id").alias("__gone"))
+    return keyed.join(bad, keyed["__key"] == bad["__gone"], "left_anti").drop("__key")
 
 
 ORACLE = r"""

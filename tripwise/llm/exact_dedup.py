@@ -21,9 +21,12 @@ from .common import SPACES, materialize, text_or_empty
 DEPTHS = 5
 
 
+def _norm():
+    return F.regexp_replace(text_or_empty(), SPACES, " ")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    norm = F.regexp_replace(text_or_empty(), SPACES, " ")
-    return docs.select("doc_id", norm.alias("norm")).select(
+    return docs.select("doc_id", _norm().alias("norm")).select(
         "doc_id", "norm", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha")
     )
 
@@ -96,9 +99,14 @@ def exact_groups(docs: DataFrame, capacity: int = 8192) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, capacity: int = 8192) -> DataFrame:
-    """docs without the rows whose text another row with a smaller doc_id has; columns unchanged."""
-    gone = exact_groups(docs, capacity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the rows whose text another row with a smaller doc_id has; columns unchanged.
+
+    A row is known by its id and its text: other texts under the same id stay. A null id comes
+    after all others; rows that agree in id (or in having none) and text stay or go together.
+    """
+    gone = exact_groups(docs, capacity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["__gone"]) & (F.sha2(_norm(), 256) == gone["__sha"])
+    return docs.join(gone, same, "left_anti")
 
 
 ORACLE = r"""

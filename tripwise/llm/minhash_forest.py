@@ -391,6 +391,23 @@ def _across_chunks(held: DataFrame, linked: DataFrame, threshold: float) -> Data
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the least doc_id of each class only (rows without doc_id stay); columns unchanged."""
-    gone = near_classes(docs, threshold, count_links=False).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs with the least doc_id of each class only; columns unchanged.
+
+    Where rows repeat an id with other texts or have none, each (id, text) is a document of its
+    own, known by 64 bits. A null id comes after all others; rows that agree in id (or in having
+    none) and text stay or go together.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    seen = docs.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high"))
+    split = materialize(seen.filter("doc_id IS NULL OR low <> high").select(F.col("doc_id").alias("__split")), "near-split")
+    if split.isEmpty():
+        gone = near_classes(docs, threshold, count_links=False).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    own = F.when(F.col("doc_id").isNull() | F.col("__split").isNotNull(), F.xxhash64("doc_id", text)).otherwise(F.col("doc_id").cast("long"))
+    marked = docs.join(split, docs["doc_id"] == split["__split"], "left").withColumn("__own", own)
+    each = materialize(marked.select("__own", F.col("doc_id").alias("id"), "text").dropDuplicates(["__own"]), "near-each")
+    classes = near_classes(each.select(F.col("__own").alias("doc_id"), "text"), threshold, count_links=False)
+    named = materialize(classes.select(F.col("doc_id").alias("__own"), "class_id").join(each.select("__own", "id"), "__own"), "near-named")
+    least = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__own"))["__own"].alias("stays"))
+    gone = named.join(least, "class_id").filter("__own <> stays").select(F.col("__own").alias("__gone"))
+    return marked.join(gone, marked["__own"] == gone["__gone"], "left_anti").select(*docs.columns)
