@@ -1,6 +1,9 @@
+import collections
 import hashlib
+import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripwise.llm import chat, exact_dedup, mixing
@@ -29,12 +32,46 @@ def test_exact_groups(spark, make_docs):
     assert exact_dedup.exact_groups(make_docs([])).count() == 0
 
 
-def test_directory_doubles(spark, make_docs):
-    docs = make_docs([(i, f"text {i}") for i in range(500)])
-    index = exact_dedup.build_index(docs, capacity=20)
-    sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
-    assert sum(sizes) == 500 and len(sizes) > 25
-    assert index.filter("chain > 1").count() == 0
+@pytest.mark.parametrize(("capacity", "n"), [(1, 400), (20, 500), (7, 60), (5, 1), (5, 0)])
+def test_directory_doubles_until_buckets_fit(spark, make_docs, capacity, n):
+    index = exact_dedup.build_index(make_docs([(i, f"text {i}") for i in range(n)]), capacity)
+    rows = index.buckets.collect()
+    assert len(rows) == n and {r.chain for r in rows} <= {1}
+    sizes = collections.Counter(r.bucket for r in rows)
+    assert max(sizes.values(), default=0) <= capacity
+    cells = {r.cell: r for r in index.cells.collect()}
+    for r in rows:  # each key's cell leads to its bucket, whose bits the key begins with
+        unsigned = r.key % 2**64
+        cell = cells[unsigned >> (64 - index.depth) if index.depth else 0]
+        assert cell.bucket == r.bucket
+        assert unsigned >> (64 - cell.local_depth) == r.bucket % 2**64 >> (64 - cell.local_depth)
+    for bucket, r in {r.bucket: r for r in cells.values()}.items():  # no split without need
+        pair = [s for b, s in sizes.items() if (b % 2**64) >> (65 - r.local_depth) == (bucket % 2**64) >> (65 - r.local_depth)]
+        assert sum(pair) > capacity or r.local_depth <= max(0, math.floor(math.log2(max(1, n / capacity))) - 1)
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_colliding_keys_form_chains(spark, make_docs, bits):
+    rows = [(i, f"text {i % 40}") for i in range(100)] + [(200, None), (201, ""), (None, "text 3")]
+    docs = make_docs(rows)
+    index = exact_dedup.build_index(docs, capacity=1, key_bits=bits)
+    kept = index.buckets.collect()
+    assert len(kept) == 41 and max(r.chain for r in kept) > 4 and all(r.norm is not None for r in kept if r.chained > 1)
+    assert max(collections.Counter({(r.bucket, r.key) for r in kept}).values()) == 1 and len({r.bucket for r in kept}) == len({r.key for r in kept})
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert plain(exact_dedup.exact_groups(docs, 1, bits)) == plain(exact_dedup.exact_groups(docs))
+
+
+def test_result_comes_through_the_index(spark, make_docs, monkeypatch):
+    build = exact_dedup.build_index
+
+    def emptied(*args):
+        index = build(*args)
+        index.buckets = index.buckets.limit(0)
+        return index
+
+    monkeypatch.setattr(exact_dedup, "build_index", emptied)
+    assert exact_dedup.exact_groups(make_docs([(1, "a"), (2, "a")])).count() == 0
 
 
 def test_mix(spark, make_docs):
