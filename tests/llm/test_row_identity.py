@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tripwise.llm import decontam, exact_dedup, minhash_forest
+from tripwise.llm import decontam, exact_dedup, minhash_forest, mixing
 
 
 def prose(seed, n):
@@ -30,10 +30,47 @@ def test_near_keeps_unique_texts_of_repeated_ids(make_docs):
     assert none.count() == 1
 
 
-def test_leaks_without_id_go(spark, make_docs):
+def test_leaks_go_row_by_row(spark, make_docs):
     leak = prose(4, 25)
-    kept = [(1, prose(6, 40)), (None, prose(8, 40)), (3, None), (None, None)]
-    docs = make_docs([*kept, (2, "x " + leak), (2, prose(7, 40)), (None, leak + " y")])
+    kept = [(1, prose(6, 40)), (None, prose(8, 40)), (3, None), (None, None), (2, prose(7, 40))]
+    docs = make_docs([*kept, (2, "x " + leak), (None, leak + " y")])
     items = spark.createDataFrame([("b", leak)], "item_id string, text string")
     got = decontam.drop_contaminated(docs, items)
     assert left(got) == sorted(kept, key=str) and got.columns == docs.columns
+
+
+def test_no_text_is_lost_with_its_id(make_docs):
+    docs = make_docs([(1, "a"), (7, "a"), (7, "unique text")])
+    assert left(exact_dedup.drop_exact_copies(docs)) == [(1, "a"), (7, "unique text")]
+
+
+def test_mix_keeps_each_rows_size(make_docs):
+    rows = [(5, "w " * 10), (5, "v " * 3), (6, "u " * 4), (None, "t " * 6), (None, "t " * 6), (None, None), (8, " "), (9, "s " * 5), (9, "s " * 5)]
+    sources = ["a", "a", "a", "b", "b", "b", "a", None, None]
+    docs = make_docs(rows, source=sources)
+    for per_bin in (1, 100):
+        plan = mixing.mix(docs, rows_per_bin=per_bin).collect()
+        want = sorted((str(r.doc_id), r.size, r.taken // r.size) for r in plan if r.taken)
+        got = mixing.mixed_documents(docs, rows_per_bin=per_bin)
+        assert got.columns == [*docs.columns, "n_words", "copies"]
+        assert sorted((str(r.doc_id), len(r.text.split()), r.copies) for r in got.collect()) == want
+        assert all(r.n_words == len(r.text.split()) for r in got.collect())
+
+
+def test_equal_rows_may_be_taken_differently_often(make_docs):
+    docs = make_docs([(1, "w w w")] * 5 + [(2, "v " * 8)], source=["a"] * 5 + ["b"])
+    plan = mixing.mix(docs).collect()
+    taken = sorted(r.taken // r.size for r in plan if r.doc_id == 1)
+    assert len(set(taken)) > 1
+    got = mixing.mixed_documents(docs).collect()
+    assert sorted(r.copies for r in got if r.doc_id == 1) == [t for t in taken if t]
+
+
+def test_running_sums_in_two_levels(spark):
+    rows = [(p, k, (k * 7 + p) % 11) for p in range(3) for k in range(0, 300, p + 1)]
+    sums = spark.createDataFrame(rows, "p long, k long, v long")
+    got = {(r.p, r.k): r.s for r in mixing.before(sums, "k", "v", "s", ["p"], fan=16).collect()}
+    assert got == {(p, k): sum(v for q, j, v in rows if q == p and j < k) for p, k, _ in rows}
+    every = sums.filter("p = 1").drop("p")
+    got = {r.k: r.s for r in mixing.before(every, "k", "v", "s", fan=16).collect()}
+    assert got == {k: sum(v for p, j, v in rows if p == 1 and j < k) for p, k, _ in rows if p == 1}

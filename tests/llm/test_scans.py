@@ -87,8 +87,11 @@ def test_decontamination(spark, make_docs):
     assert longest[1] == 20 and longest[3] == 10 and longest[2] == 0
     assert decontam.contamination(make_docs([]), bench).count() == 0
     assert decontam.contamination(df, bench.limit(0)).filter("contaminated").count() == 0
-    kept = decontam.drop_contaminated(df, bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6] and kept.columns == df.columns
+    for block in (32_000_000, 60):  # each row by its own text: of the two rows with id 10 the clean one stays
+        kept = decontam.drop_contaminated(df.withColumn("__text", F.lit(7)), bench, block_bytes=block)
+        assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 10] and kept.columns == [*df.columns, "__text"]
+        assert kept.filter("doc_id = 10").first().text == "short"
+    assert decontam.drop_contaminated(df.limit(0), bench).count() == 0
 
 
 def test_licenses(spark, make_docs):

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .words import ALNUM, doc_slices, text_bytes, words_of
 
 WINDOW = 10
@@ -178,46 +180,55 @@ def scan_shard(doc_ids: pa.Array, rows: pa.Array, texts: pa.Array, tests: TestSu
     )
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32_000_000) -> DataFrame:
-    """One row per document: doc_id, n_words, runs of hit words, items with occurring windows, longest match in words.
-
-    Words are lower-cased runs of ASCII letters, digits and non-ASCII characters; null has
-    none. A window is `window` consecutive words of an item, or all words of a shorter item.
-    Items without words match nothing; without items nothing is hit; a null item_id is the
-    item "". Items come in blocks of at most `block_bytes` of text (or one item), searched one
-    after another, so what a task holds of them is bounded.
-    """
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple]:
+    """Broadcast blocks of at most `block_bytes` of item text (or one item), one after another."""
+    spark = benchmark.sparkSession
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    for k in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+        yield k, blocks, spark.sparkContext.broadcast((block["item_id"].to_pylist(), block["text"].combine_chunks(), window))
+
+
+def tests_of(sent) -> TestSuffixes:
+    names, texts, window = sent.value
+    return TestSuffixes(names, texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, window)
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32_000_000) -> DataFrame:
+    """One row per document: doc_id, n_words, runs of hit words, items with occurring windows, longest match in words.
+
+    Words are lower-cased runs of ASCII letters, digits and non-ASCII characters, compared by 64
+    bits each; null has none. A window is `window` consecutive words of an item, or all words of a
+    shorter item. Items without words match nothing; without items nothing is hit; a null item_id
+    is the item "". Rows that repeat an id are documents of their own, a null id stays null. Items
+    come in blocks of at most `block_bytes` of text (or one item), each searched by a job of its
+    own, so what a task and the driver hold of them is bounded.
+    """
     keyed = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")
     )
-    if blocks > 1:  # the rows' numbers must be the same for every block
-        from .common import materialize
-
-        keyed = materialize(keyed, "decontam-docs")
-    parts = []
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        sent = spark.sparkContext.broadcast((block["item_id"].to_pylist(), block["text"].combine_chunks(), window))
+    parts: list[DataFrame] = []
+    for _, blocks, sent in item_blocks(benchmark, window, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, texts, size = sent.value
-            tests = TestSuffixes(names, texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, size)
+            tests = tests_of(sent)
             for batch in batches:
                 _, offsets = text_bytes(batch.column("text"))
                 for i, j in doc_slices(offsets):
                     part = batch.slice(i, j - i)
                     yield scan_shard(part.column("doc_id"), part.column("row"), part.column("text"), tests)
 
-        parts.append(keyed.mapInArrow(scan, FOUND))
-    if blocks == 1:
-        return parts[0].drop("row")
+        if blocks == 1:
+            return keyed.mapInArrow(scan, FOUND).drop("row")
+        if not parts:  # the rows' numbers must be the same for every block
+            keyed = materialize(keyed, "decontam-docs")
+        parts.append(materialize(keyed.mapInArrow(scan, FOUND), "decontam-block"))
+        sent.unpersist()
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -238,6 +249,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    n_hit counts the words inside any occurrence of a window, n_items the items with occurring
+    windows, items_sha256 is of their sorted ids, comma-joined. See find_matches for nulls,
+    repeated ids and empty tables; columns other than doc_id and text are not looked at.
+    """
     found = find_matches(docs, benchmark, window)
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     items = F.array_sort(F.array_distinct("items"))
@@ -251,17 +268,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a benchmark window; columns unchanged.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32_000_000) -> DataFrame:
+    """docs without the rows whose text holds a benchmark window; columns unchanged.
 
-    Rows that repeat an id are one document and go together; a row without id is a document of
-    its own, known by 64 bits of its text.
+    Each row is judged by its own text, whatever its id: rows that repeat an id, or have none, stay
+    or go on their own. Rows stay where they are: each block of items filters what the last left.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    keyed = docs.withColumn("__key", key)
-    found = find_matches(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, window)
-    bad = found.filter(F.size("runs") > 0).select(F.col("doc_id").alias("__gone"))
-    return keyed.join(bad, keyed["__key"] == bad["__gone"], "left_anti").drop("__key")
+    name = "__text"
+    while name in docs.columns:
+        name += "_"
+    left = docs.withColumn(name, F.col("text").cast("string"))
+    for _, _, sent in item_blocks(benchmark, window, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tests = tests_of(sent)
+            for batch in batches:
+                at = batch.schema.get_field_index(name)
+                _, offsets = text_bytes(batch.column(at))
+                for i, j in doc_slices(offsets):
+                    part = batch.slice(i, j - i)
+                    none = pa.nulls(j - i, pa.int64())
+                    found = scan_shard(none, none, part.column(at), tests)
+                    yield part.filter(pc.equal(pc.list_value_length(found.column("runs")), 0))
+
+        left = left.mapInArrow(clean, left.schema)
+    return left.drop(name)
 
 
 ORACLE = r"""

@@ -19,10 +19,11 @@ REPEATS = 3
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size in words, and the shuffled position `h` (hex digits)."""
+    """doc_id, source, digest of the text, size in words, and the shuffled position `h` (hex digits)."""
     return docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
+        F.xxhash64(text_or_empty()).alias("digest"),
         F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
     )
@@ -74,14 +75,34 @@ def plan_sources(rows: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> Da
     return levels(base, F.col("total"), repeats).join(last, "rank")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, rows_per_bin: int = 8192) -> DataFrame:
+def before(sums: DataFrame, key: str, value: str, name: str, by: list[str] | None = None, fan: int = 4096) -> DataFrame:
+    """Adds `name`, the sum of `value` at smaller keys (of the same `by`); keys are whole numbers from 0, each once.
+
+    Sums of `fan` keys each are added up first, so one task has a `fan`-th of the keys at most.
+    """
+    by = by or []
+    group = F.expr(f"{key} div {fan}")
+    smaller = Window.rowsBetween(Window.unboundedPreceding, -1)
+    coarse = sums.groupBy(*by, group.alias("__group")).agg(F.sum(value).alias("__held"))
+    coarse = coarse.select(*by, "__group", F.sum("__held").over(smaller.partitionBy(*by).orderBy("__group")).alias("__before"))
+    fine = sums.withColumn("__group", group).join(coarse, [*by, "__group"])
+    within = F.sum(value).over(smaller.partitionBy(*by, "__group").orderBy(key))
+    return fine.withColumn(name, F.coalesce("__before", F.lit(0)) + F.coalesce(within, F.lit(0))).drop("__group", "__before")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, rows_per_bin: int = 1024) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
     size counts words (null text: 0); source_size and target belong to the row's source (null
     is a source, ranked last). taken is size times the number of repeats the mix takes, 0 to
     `repeats`. Reruns agree; ties in virtual time fall to the source's rank, then the repeat,
-    the shuffled position and the id. Rows repeating a doc_id are documents of their own.
+    the shuffled position, the id, the size and the text. Rows repeating a doc_id are documents
+    of their own; of rows that agree in id, source and text any may be the one taken more often.
     """
+    return _mixed(docs, weights, repeats, rows_per_bin).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, weights, repeats: int, rows_per_bin: int) -> DataFrame:
     spark = docs.sparkSession
     rows = materialize(sized(docs), "mix-sizes")
     plan = materialize(plan_sources(rows, weights, repeats), "mix-sources")
@@ -95,12 +116,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, rows_per_bin:
     position = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     cells = keyed.filter("size > 0").withColumn("cell", (position * bins / F.lit(2**32)).cast("long"))
     offsets = cells.groupBy("rank", "cell").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("rank").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("rank", "cell", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("rank", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = before(offsets, "cell", "held", "offset", ["rank"]).drop("held")
+    queue = Window.partitionBy("rank", "cell").orderBy("h", "doc_id", "size", "digest")
+    within = queue.rowsBetween(Window.unboundedPreceding, 0)
     queued = (
         cells.withColumn("within", F.sum("size").over(within))
-        .withColumn("copy", F.row_number().over(Window.partitionBy("rank", "cell").orderBy("h", "doc_id", "size")))
+        .withColumn("copy", F.row_number().over(queue))
         .join(offsets, ["rank", "cell"])
         .withColumn("round", F.explode(F.array(*[F.lit(k) for k in range(repeats)])))
         .withColumn("time", (F.col("round") * F.col("source_size") + F.col("offset") + F.col("within")) / F.col("weight"))
@@ -108,16 +129,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, rows_per_bin:
         .withColumn("bin", (F.col("time") / F.col("level") * F.lit(float(bins))).cast("long"))
     )
     queued = materialize(
-        queued.select("doc_id", "rank", "cell", "copy", "round", "h", "size", "time", "bin", "total"), "mix-queue"
-    )
-    starts = queued.groupBy("bin").agg(F.sum("size").alias("held"))
-    starts = starts.select(
-        "bin",
-        F.coalesce(
-            F.sum("held").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("start"),
+        queued.select("doc_id", "rank", "cell", "copy", "round", "h", "size", "digest", "time", "bin", "total"), "mix-queue"
     )
-    order = Window.partitionBy("bin").orderBy("time", "rank", "round", "h", "doc_id", "size")
+    starts = before(queued.groupBy("bin").agg(F.sum("size").alias("held")), "bin", "held", "start").drop("held")
+    order = Window.partitionBy("bin").orderBy("time", "rank", "round", "h", "doc_id", "size", "digest")
     taken = (
         queued.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .join(starts, "bin")
@@ -125,33 +140,55 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, rows_per_bin:
         .groupBy("rank", "cell", "copy")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    numbered = cells.select("doc_id", "h", "size", "rank", "cell").withColumn(
-        "copy", F.row_number().over(Window.partitionBy("rank", "cell").orderBy("h", "doc_id", "size"))
-    )
+    numbered = cells.select("doc_id", "source", "digest", "h", "size", "rank", "cell").withColumn("copy", F.row_number().over(queue))
     counted = numbered.join(taken, ["rank", "cell", "copy"], "left").select(
-        "doc_id", "size", "rank", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken")
-    )
-    empty = keyed.filter("size = 0").select("doc_id", "size", "rank", F.lit(0).cast("long").alias("taken"))
-    return (
-        counted.unionByName(empty)
-        .join(plan.select("rank", "source_size", "target"), "rank")
-        .select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+        "doc_id", "source", "digest", "size", "rank", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken")
     )
+    empty = keyed.filter("size = 0").select("doc_id", "source", "digest", "size", "rank", F.lit(0).cast("long").alias("taken"))
+    return counted.unionByName(empty).join(plan.select("rank", "source_size", F.col("target").cast("double").alias("target")), "rank")
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, rows_per_bin: int = 1024) -> DataFrame:
     """The documents the mix takes, with their columns, `n_words` and `copies` (1 to `repeats`).
 
-    An input column named n_words or copies is replaced.
+    A row is known by its id, its source and 64 bits of its text, so rows that repeat an id keep
+    their own size and copies. Of rows that agree in all three some may be taken more often than
+    others; then as many rows have each number of copies as the mix says. Rows without words (null
+    or blank texts) are never taken. An input column named n_words or copies is replaced; an
+    empty table stays empty.
     """
-    taken = (
-        mix(docs, weights, repeats)
-        .filter("taken > 0")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max("size").alias("n_words"), F.max(F.expr("taken div size")).cast("int").alias("copies"))
+    name = ["__id", "__source", "__digest"]
+    times = (
+        _mixed(docs, weights, repeats, rows_per_bin)
+        .filter("size > 0")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), F.col("size").alias("n_words"),
+                 F.expr("taken div size").cast("int").alias("copies"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    known = Window.partitionBy(*name)
+    times = times.withColumn("__split", F.count(F.lit(1)).over(known) > 1).withColumn(
+        "__upto", F.sum("__n").over(known.orderBy(F.desc("copies")).rowsBetween(Window.unboundedPreceding, 0))
     )
+    times = materialize(times.filter("__split OR copies > 0"), "mix-times")
     kept = docs.drop("n_words", "copies")
-    return kept.join(taken, kept["doc_id"].eqNullSafe(taken["__id"])).drop("__id")
+    mine = [F.col("doc_id"), F.col("source").cast("string"), F.xxhash64(text_or_empty())]
+
+    def same(mark: DataFrame) -> list:
+        return [a.eqNullSafe(mark[n]) for a, n in zip(mine, name, strict=True)]
+
+    whole = times.filter("NOT __split").drop("__n", "__split", "__upto")
+    found = kept.join(whole, same(whole)).drop(*name)
+    split = times.filter("__split")
+    if not split.isEmpty():
+        # Rows that only differ in how often they are taken are numbered: the first ones are taken most often.
+        ids = split.select(*name).distinct()
+        rows = kept.join(ids, same(ids), "left_semi")
+        rows = rows.select("*", *[m.alias(n) for m, n in zip(mine, ["__a", "__b", "__c"], strict=True)])
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__a", "__b", "__c").orderBy(F.lit(1))))
+        cut = [F.col(a).eqNullSafe(split[n]) for a, n in zip(("__a", "__b", "__c"), name, strict=True)]
+        cut += [F.col("__nth") <= split["__upto"], F.col("__nth") > split["__upto"] - split["__n"], split["copies"] > 0]
+        found = found.unionByName(rows.join(split, cut).select(*found.columns))
+    return found
 
 
 ORACLE = r"""
