@@ -4,12 +4,11 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 DataFrame that run() writes as Parquet to the shared folder and reads again as the next
 stage's docs. All stages but the last return the columns of documents.
 
-Null texts count as empty and pass every stage unless they copy an earlier row; an empty table
-passes through as an empty table; columns beyond those of documents are carried along.
-The copy stages tell rows apart by id and text: of rows that repeat an id only those whose own text is
-a copy go. The benchmark stage takes them as one document, so a leak takes all rows of its id along.
-A null id comes after all others: its row goes where another row has its text, or where its own text
-leaks. Rows that agree in id (or in having none) and text stay or go together.
+Null texts count as empty; an empty table passes through as an empty table; columns beyond those of
+documents are carried along. Stages judge rows, not ids: of rows that repeat an id only those go whose
+own text is rejected, a copy or a leak. A null id comes after all others: its row goes where another row
+has its text. Rows that agree in id (or in having none) and text stay or go together in the copy
+stages. The mix takes words, so rows without any (null or blank texts) end there.
 """
 
 from __future__ import annotations
