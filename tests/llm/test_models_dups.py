@@ -120,10 +120,52 @@ def test_prefix_depth_reaches_recall():
 
 def test_similar_sets():
     sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4], [9], [], [1, 2, 3])]
-    hit = minhash_forest.similar(sets, 0.8)
+    hit = minhash_forest.similarity(sets) >= 0.8
     assert sorted(map(tuple, np.argwhere(hit))) == [(0, 1), (1, 0)]
 
 
+def test_trie_nodes_branch_once(spark):
+    bits, n = minhash_forest.LABEL_BITS, minhash_forest.LABELS
+    label = lambda *parts: sum(p << (bits * (n - 1 - k)) for k, p in enumerate((*parts, *[0] * (n - len(parts)))))
+    strings = spark.createDataFrame(
+        [(1, 9, 0, label(1, 2, 3, 4, 5, 6)), (2, 9, 0, label(1, 2, 3, 4, 5, 6)), (3, 9, 0, label(1, 2, 3, 4, 9)), (4, 9, 0, label(7)), (4, 9, 1, label(1)), (1, 9, 1, label(1, 0, 0, 0, 0, 1))],
+        "copy_id long, n_words long, tree int, labels long",
+    )
+    at = lambda d: sorted((r.hub, r.doc_id) for r in minhash_forest.branching(strings, d).collect())
+    assert at(6) == [(1, 1), (1, 2)]
+    assert at(5) == [(1, 1), (1, 4)]  # in tree 0 nothing branches at 5 labels
+    assert at(4) == [(1, 1), (1, 2), (1, 3)]
+
+
+def similar_rows(rng, groups, changes, start=0):
+    rows = []
+    for g in range(groups):
+        words = [f"{w}{g}x{i}" for i, w in enumerate(prose(rng, 150).split())]
+        for k in range(2):
+            copy = list(words)
+            for at in rng.choice(150, changes if k else 0, replace=False):
+                copy[at] = f"changed{g}"
+            rows.append((start + 2 * g + k, " ".join(copy)))
+    return rows
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark, make_docs, monkeypatch):
+    depths, work = [], minhash_forest._in_chunks
+    monkeypatch.setattr(minhash_forest, "_in_chunks", lambda held, depth, *a: (depths.append(depth), work(held, depth, *a))[1])
+    rng = np.random.default_rng(21)
+    close = similar_rows(rng, 300, 1)  # similarity 0.93: the longest prefixes find them all
+    got = {r.doc_id: r.class_id for r in minhash_forest.near_classes(make_docs(close)).collect()}
+    assert depths == [6] and sum(c == i - i % 2 for i, c in got.items()) >= 0.999 * len(got)
+    depths.clear()
+    rows = close + similar_rows(rng, 60, 3, start=10_000)  # some at 0.82
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in minhash_forest.near_classes(make_docs(rows)).collect()}
+    assert depths[0] == 6 and len(depths) > 1
+    assert sum(got[i] == v for i, v in brute_classes(rows).items()) >= 0.999 * len(got)
+    depths.clear()
+    minhash_forest.near_classes(make_docs(close[:4])).count()  # few links prove nothing
+    assert depths == [6, 5, 4]
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k + 1, k) for k in range(400, 440)]

@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_join": minhash_forest.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_mixing": mixing.ORACLE,
