@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tripwise.plans import oracle
 from tripwise.plans.oracle import ORACLES
 from tripwise.plans.queries import QUERIES
 from tripwise.streaming import trips as streamed
@@ -44,6 +45,7 @@ def test_query(spark, db, name):
     assert sorted(names) == sorted(df.columns)
     want = [tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall()]
     assert sorted(got) == sorted(want)
+    assert got, "a query without rows says nothing"
 
 
 def test_entry(spark):
@@ -51,6 +53,27 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_the_machine_takes_every_branch(sf):
+    """Counted in the SQL's own steps: openings, closings too short to count, cool-downs, drops in warm-up, events and ends of video."""
+    d = f"/root/testdata/sf{sf}"
+    if not Path(d).exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    count = lambda sql: con.execute(sql).fetchone()[0]
+    steps = f"WITH RECURSIVE {oracle.machine()} SELECT count(*) FROM fsm"
+    limited = f"WITH RECURSIVE {oracle.machine('WHERE ms < 2200', 1000, f'CASE WHEN n >= 56 THEN 56 ELSE {oracle.EOF} END')} SELECT count(*)"
+    free = f"WITH RECURSIVE {oracle.machine('WHERE ms < 2200', 0, f'CASE WHEN n >= 56 THEN 56 ELSE {oracle.EOF} END')} SELECT count(*)"
+    assert count(f"{steps} WHERE a AND shown = 'IDLE'") > 5  # opened
+    assert count(f"{steps} WHERE t IS NOT NULL") > 5  # events
+    assert count(f"{steps} WHERE a AND shown = 'ACTIVE'") > 5  # held open
+    assert count(f"{steps} WHERE NOT a AND frame - l = 2 AND e >= 0.55") > 0  # not opened: still cooling down
+    flushed = count(f"WITH RECURSIVE {oracle.machine()} SELECT count(*) FROM found") - count(f"{steps} WHERE t IS NOT NULL")
+    assert flushed > 0
+    assert 0 < count(f"{limited} FROM found") < count(f"{free} FROM found")  # some dropped in warm-up
+
+
 def test_stream_equals_batch(spark):
     live = {(r.detection_id, r.t_start_ms, r.events_count) for r in QUERIES["trips_stream"](spark, SF).collect()}
     batch = {(r.detection_id, r.t_start_ms, r.events_count) for r in QUERIES["trips_time_only"](spark, SF).collect()}

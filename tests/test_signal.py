@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripwise.config import DEFAULT, SHIPPED, DetectParams
-from tripwise.operators import signal
+from tripwise.operators import folds, signal
 
 FPS = 10.0
 P = DetectParams(1, 45, 0.5, 2, 10, 1, 0.5, 0.5, 200, 0, 0)
@@ -70,6 +70,38 @@ def test_random_signals(spark):
     assert trace.agg(F.sum("event")).first()[0] <= sum(map(len, want.values()))
 
 
+def test_strides_agree_with_the_loop_over_every_nth_frame(spark):
+    rng = np.random.default_rng(9)
+    for step, n in ((2, 61), (2, 60), (5, 123)):
+        ratios = np.round(np.clip(rng.normal(0.4, 0.35, n), 0, 1), 3).tolist()
+        p = DetectParams(**(P.__dict__ | {"step_frames": step}))
+        thinned = [r if (i + 1) % step == 0 else 0.0 for i, r in enumerate(ratios)]
+        last = n // step * step
+        want = loop(thinned[:last], p, FPS)
+        if len(loop(thinned[:last] + [0.0] * (max(last + 1, n) - last - 1), p, FPS)) == len(want):
+            want = loop(thinned[:last] + [0.0] * (max(last + 1, n) - last - 1), p, FPS)
+        assert sorted(r.t_ms for r in signal.motion_events(frames(spark, ratios), p, FPS).collect()) == want
+
+
+def test_trace_is_the_machine_step_by_step(spark):
+    ratios = [0.9] * 4 + [0.02] * 6 + [0.9] * 3
+    rows = signal.motion_trace(frames(spark, ratios), P, FPS).orderBy("frame").collect()
+    assert [r.state for r in rows[:5]] == ["IDLE", "IDLE", "ACTIVE", "ACTIVE", "ACTIVE"]
+    ended = [r for r in rows if r.event]
+    assert len(ended) == 1 and ended[0].state == "IDLE" and [r.t_ms for r in signal.motion_events(frames(spark, ratios), P, FPS).orderBy("t_ms").collect()][0] < ended[0].ms
+    lines = {r.frame: r.line for r in signal.trace_lines(signal.motion_trace(frames(spark, ratios), P, FPS)).collect()}
+    assert lines[-1] == "ms,frame,ratio,ema,state,event" and lines[1] == "100,1,0.900000,0.450000,IDLE,0"
+
+
+def test_folds_carry_state_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(folds, "STRETCH", 7)
+    step = lambda state, x: F.struct((state + x).alias("state"), F.when(x % 3 == 0, F.array(state + x)).otherwise(F.expr("cast(array() as array<bigint>)")).alias("emitted"))
+    for n in (0, 1, 6, 7, 8, 50):
+        df = spark.range(1).select(F.expr(f"slice(sequence(0L, 60L), 1, {n})").alias("x"))
+        got = df.select(folds.stepped(F.col("x"), F.lit(0).cast("bigint"), step, "array<bigint>").alias("r")).first().r
+        assert got.state == sum(range(n)) and got.out == [sum(range(i + 1)) for i in range(n) if i % 3 == 0]
+
+
 def test_sampling_and_limits(spark):
     p = DetectParams(step_frames=5, max_ms=1600, min_changed_pixels=0)
     kept = signal.sampled(frames(spark, [0.5] * 22), p, FPS)

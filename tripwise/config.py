@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -58,8 +59,8 @@ SHIPPED = DetectParams(15, 45, 0.16, 150, 35_000, 1, 0.45, 0.96, 300, 700, 2500)
 DEFAULT = DetectParams()
 LEGACY6 = DetectParams(min_changed_pixels=5000, merge_ms=4000, ema_alpha=0.20, low_factor=0.60, trace=True)
 
-#: For the driver's event series: hour-sized gaps, one sample a frame.
-SERIES = DetectParams(1, 45, 0.55, 2, 20_000, 1, 0.45, 0.9, 80, 36_000_000, 90_000_000)
+#: For the driver's event series: hour-sized gaps, every second sample a frame.
+SERIES = DetectParams(2, 45, 0.55, 2, 20_000, 1, 0.45, 0.9, 80, 36_000_000, 90_000_000)
 FPS = 25.0
 HOUR_MS = 3_600_000
 
@@ -80,3 +81,44 @@ class OcrParams:
 
 
 AUDIT = OcrParams(max_calls=1000, max_roi=324)
+
+
+def parse_args(argv: list[str]) -> dict[str, str]:
+    """`--key=value` arguments; others are passed over, the last of a key counts."""
+    pairs = (a[2:].split("=", 1) for a in argv if a.startswith("--") and "=" in a)
+    return dict(pairs)
+
+
+def settings_of(lines: list[str]) -> dict[str, str]:
+    """`key: value` lines, with keys under an indented section named `section.key`; comments and other lines are passed over."""
+    found, section = {}, ""
+    for line in lines:
+        text = line.split("#", 1)[0].rstrip()
+        key, colon, value = text.strip().partition(":")
+        if not colon:
+            continue
+        indented = text[:1].isspace()
+        if not value.strip():
+            section = f"{section}.{key}" if indented and section else key
+            continue
+        if not indented:
+            section = ""
+        found[f"{section}.{key}" if indented and section else key] = value.strip().strip("'\"")
+    return found
+
+
+PREFIX = "tripwise.detect."
+
+
+def resolved(conf, file: str | None = None, defaults: DetectParams = SHIPPED, **given) -> DetectParams:
+    """Parameters within their limits: what is given, else the session's `tripwise.detect.<name>`, else the file's
+    `detect` section, else the defaults. The session may name the file as `tripwise.config`; a missing one is empty."""
+    path = Path(conf.get("tripwise.config", None) or file or "application.yaml")
+    in_file = settings_of(path.read_text().splitlines()) if path.is_file() else {}
+    values = {}
+    for f in fields(DetectParams):
+        text = conf.get(PREFIX + f.name, None) or in_file.get(f"detect.{f.name}")
+        if text is not None:
+            kind = type(getattr(DEFAULT, f.name))
+            values[f.name] = text.lower() in ("true", "1", "yes") if kind is bool else float(text) if kind is float else int(text)
+    return replace(defaults, **values | given).clamped()

@@ -66,11 +66,6 @@ def shape_score(text: Column) -> Column:
     return full + ru + F.when(F.length(text) == 8, 10).otherwise(0)
 
 
-def score(cleaned: Column, normalized: Column) -> Column:
-    """100 and the length of a normalised plate, else the length of the cleaned token."""
-    return F.when(normalized.isNotNull(), 100 + F.length(normalized)).otherwise(F.length(cleaned))
-
-
 def loose_equal(a: Column, b: Column) -> Column:
     """Equal but for H and O in the last two of at least six characters."""
     n = F.length(a)

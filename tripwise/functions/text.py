@@ -20,6 +20,11 @@ def frame_ms(frame: Column, fps: Column) -> Column:
     return (frame / fps * 1000).cast("bigint")
 
 
+def known_fps(fps: Column) -> Column:
+    """A video's frame rate, 25 where it says none."""
+    return F.when(fps > 1e-3, fps).otherwise(25.0)
+
+
 def mask_url(url: Column) -> Column:
     """Credentials of a URL hidden; a URL without a password unchanged; null becomes empty."""
     scheme = F.instr(url, "://")

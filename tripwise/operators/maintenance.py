@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, file_name
+from ..functions.text import blank, clamp, error_text, file_name
+from ..schemas import DETECTIONS, conform
 
 
 def upsert_videos(log: DataFrame) -> DataFrame:
@@ -30,6 +34,39 @@ def detection_conflicts(detections: DataFrame) -> DataFrame:
     return detections.withColumn("rn", F.row_number().over(w)).filter("rn > 1").drop("rn")
 
 
+def accepted(existing: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request_id, video_id, merge_ms and more) that a unique (video_id, merge_ms) lets in: of several the first, none that exists."""
+    first = requests.groupBy("video_id", "merge_ms").agg(F.min("request_id").alias("request_id"))
+    fresh = first.join(existing.select("video_id", "merge_ms"), ["video_id", "merge_ms"], "left_anti")
+    return requests.join(fresh.select("request_id"), "request_id")
+
+
+def refused(existing: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests that are not let in."""
+    return requests.join(accepted(existing, requests).select("request_id"), "request_id", "left_anti")
+
+
+def inserted(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New detections and their events (detection_id, t_ms, plate) of requests with lists `stamps` and `plates`.
+
+    Ids follow the largest existing one by request_id, so a refused request leaves a gap, as a
+    sequence does. plates may be null or shorter than stamps; blank plates are null.
+    """
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    new = accepted(existing, requests).crossJoin(last).withColumn("id", F.col("last") + F.col("request_id"))
+    detections = new.select("id", "video_id", "merge_ms", F.coalesce(F.size("stamps"), F.lit(0)).alias("events_count"), "created_at")
+    events = new.select(F.col("id").alias("detection_id"), "plates", F.posexplode("stamps").alias("pos", "t_ms"))
+    plate = F.get("plates", F.col("pos"))
+    return conform(detections, DETECTIONS), events.select("detection_id", "t_ms", F.when(~blank(plate), plate).alias("plate"))
+
+
+def append_detections(existing: DataFrame, requests: DataFrame, detections_path: str, events_path: str) -> None:
+    """Appends what `inserted` gives. Events are written first: a detection that is seen has its events."""
+    detections, events = inserted(existing, requests)
+    events.write.mode("append").parquet(events_path)
+    detections.write.mode("append").parquet(detections_path)
+
+
 def delete_cascade(parents: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows whose key (column `key`) is not in gone (column id)."""
     return parents.join(gone.select(F.col("id").alias(key)), key, "left_anti")
@@ -92,6 +129,33 @@ def unfinished(tasks: DataFrame) -> DataFrame:
     return tasks.filter(~F.col("status").isin("DONE", "FAILED", "CANCELED"))
 
 
+def processed(tasks: DataFrame, work: Callable[[int], None]) -> DataFrame:
+    """A queue log (task_id, op, progress, error) of running `work` for each unfinished task, in Spark tasks.
+
+    A task starts, then is done, or fails with its error cut to 1000 characters; one failure stops no other task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for task in pdf["task_id"].tolist():
+                rows.append((task, "start", 0, None))
+                try:
+                    work(task)
+                    rows.append((task, "done", 100, None))
+                except Exception as e:
+                    rows.append((task, "fail", 0, str(e)))
+            yield pd.DataFrame(rows, columns=["task_id", "op", "progress", "error"])
+
+    log = unfinished(tasks).select(F.col("task_id").cast("long").alias("task_id"))
+    return log.mapInPandas(run, "task_id long, op string, progress int, error string").withColumn("error", error_text(F.col("error")))
+
+
+def notify(log: DataFrame, listener: Callable[[DataFrame, int], None], checkpoint: str):
+    """Runs `listener` on each batch of a streamed queue log; started, to be awaited by the caller."""
+    return log.writeStream.foreachBatch(listener).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def glob_pattern(patterns: list[str]) -> str:
     """Glob patterns as one regular expression over a full path or a file name."""
     import re
@@ -117,6 +181,15 @@ def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return first.join(manifest.select("sha256"), "sha256", "left_anti").select("f.ord", "f.path", "sha256")
 
 
+def manifest_line(sha256: Column, path: Column, duration_ms: Column) -> Column:
+    return F.concat(sha256, F.lit(" "), path, F.lit(" duration="), duration_ms.cast("string"), F.lit("ms"))
+
+
+def append_manifest(files: DataFrame, duration_ms: Column, path: str) -> None:
+    """Appends a line for each new file (sha256, path) to a text manifest, one file a task."""
+    files.select(manifest_line(F.col("sha256"), F.col("path"), duration_ms).alias("value")).write.mode("append").text(path)
+
+
 def inbox_collisions(files: DataFrame) -> DataFrame:
     """File names that several ingested files share: the last copied stays in the inbox."""
     named = files.withColumn("file_name", file_name(F.col("path")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,30 @@ FH = [0.08, 0.12, 0.18]
 
 
 class OcrBackend(Protocol):
-    """What reads text from an image region; called in tasks."""
+    """What reads words and their confidence from an image region; called in tasks."""
 
     def words(self, png: bytes) -> list[tuple[str, float]]: ...
 
-    def text(self, png: bytes, psm: int) -> str: ...
+
+def read_tokens(regions: DataFrame, backend: OcrBackend) -> DataFrame:
+    """(event, offset_ord, roi_idx, raw, conf) of regions (event, offset_ord, roi_idx, png): a row per word.
+
+    A region that cannot be read gives a row without text, so it still counts as a call.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for event, offset, roi, png in zip(pdf["event"], pdf["offset_ord"], pdf["roi_idx"], pdf["png"], strict=True):
+                try:
+                    found = backend.words(bytes(png)) if png is not None else []
+                except Exception:  # a backend's failure is one region's, not the job's
+                    found = []
+                rows += [(event, offset, roi, text, conf) for text, conf in found] or [(event, offset, roi, None, None)]
+            yield pd.DataFrame(rows, columns=["event", "offset_ord", "roi_idx", "raw", "conf"])
+
+    wanted = regions.select("event", "offset_ord", "roi_idx", "png")
+    return wanted.mapInPandas(read, "event long, offset_ord int, roi_idx int, raw string, conf double")
 
 
 def snapshot_frames(events: DataFrame, fps: float, offsets: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from .folds import stepped
 
 EVENT = "array<struct<t_ms:bigint,plate:string>>"
 
@@ -25,29 +26,35 @@ def sorted_events(events: DataFrame, key: str, order: list[str] | None = None) -
 
 def suppressed(events: Column, window_ms: int) -> Column:
     """Events kept: the first, then each that comes more than window_ms after the last kept one."""
-    last = lambda kept: F.try_element_at(kept, F.lit(-1))["t_ms"]
-    return F.aggregate(
-        events,
-        F.expr(f"cast(array() as {EVENT})"),
-        lambda kept, e: F.when(
-            (F.size(kept) == 0) | (e["t_ms"] - last(kept) > window_ms), F.concat(kept, F.array(e))
-        ).otherwise(kept),
-    )
+
+    def step(last: Column, e: Column) -> Column:
+        keep = last.isNull() | (e["t_ms"] - last > window_ms)
+        return F.struct(
+            F.when(keep, e["t_ms"]).otherwise(last).alias("state"), F.when(keep, F.array(e)).otherwise(F.expr(f"cast(array() as {EVENT})")).alias("emitted")
+        )
+
+    return stepped(events, F.lit(None).cast("bigint"), step, EVENT)["out"]
 
 
 def merged(events: Column, merge_ms: int) -> Column:
-    """Events more than merge_ms after the last kept one; a blank head takes the first plate of its group."""
-    last = lambda kept: F.try_element_at(kept, F.lit(-1))
-    filled = lambda kept, e: F.concat(
-        F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(F.struct(last(kept)["t_ms"].alias("t_ms"), e["plate"].alias("plate")))
-    )
-    return F.aggregate(
-        events,
-        F.expr(f"cast(array() as {EVENT})"),
-        lambda kept, e: F.when((F.size(kept) == 0) | (e["t_ms"] - last(kept)["t_ms"] > merge_ms), F.concat(kept, F.array(e)))
-        .when(blank(last(kept)["plate"]) & ~blank(e["plate"]), filled(kept, e))
-        .otherwise(kept),
-    )
+    """Events more than merge_ms after the last kept one; a blank head takes the first plate of its group.
+
+    The open group's head is the state; it is put out once the next group begins.
+    """
+    none = F.expr(f"cast(array() as {EVENT})")
+    head = "struct<t_ms:bigint,plate:string>"
+
+    def step(held: Column, e: Column) -> Column:
+        opens = held.isNull() | (e["t_ms"] - held["t_ms"] > merge_ms)
+        filled = F.struct(held["t_ms"].alias("t_ms"), F.when(blank(held["plate"]) & ~blank(e["plate"]), e["plate"]).otherwise(held["plate"]).alias("plate"))
+        return F.struct(
+            F.when(opens, e.cast(head)).otherwise(filled.cast(head)).alias("state"),
+            F.when(opens & held.isNotNull(), F.array(held)).otherwise(none).alias("emitted"),
+        )
+
+    fold = stepped(events, F.lit(None).cast(head), step, EVENT)
+    last = F.filter(F.array(fold["state"]), lambda h: h.isNotNull())
+    return F.concat(fold["out"], last)
 
 
 def exploded(keyed: DataFrame, key: str) -> DataFrame:
@@ -66,28 +73,38 @@ def with_trips(events: DataFrame, key: str, gap_ms: int, order: list[str] | None
     )
 
 
+def counted(marked: DataFrame, key: str) -> DataFrame:
+    """One row per (key, trip, plate, blank plates as null): its votes and what the trip's sums need."""
+    plate = F.when(~blank(F.col("plate")), F.col("plate"))
+    return marked.groupBy(key, "trip", plate.alias("plate")).agg(
+        F.count(F.lit(1)).alias("n"), *[f("idx").alias(f"{f.__name__}_idx") for f in (F.min, F.max)], *[f("t_ms").alias(f"{f.__name__}_ms") for f in (F.min, F.max)]
+    )
+
+
+def winner() -> Column:
+    """The (votes, plate) of the plate most named, at least twice; ties go to the smallest plate."""
+    ballot = F.struct((-F.col("n")).alias("n"), "plate")
+    return F.min(F.when(F.col("plate").isNotNull() & (F.col("n") >= 2), ballot))
+
+
 def votes(events: DataFrame, key: str) -> DataFrame:
-    """(key, trip, plate, votes): the plate most named in a trip, at least twice; ties go to the smallest plate."""
-    counted = events.filter(~blank(F.col("plate"))).groupBy(key, "trip", "plate").agg(F.count(F.lit(1)).alias("votes"))
-    best = Window.partitionBy(key, "trip").orderBy(F.desc("votes"), "plate")
-    return counted.filter("votes >= 2").withColumn("rk", F.row_number().over(best)).filter("rk = 1").drop("rk")
+    """(key, trip, plate, votes): the winner of each trip that has one."""
+    best = counted(events, key).groupBy(key, "trip").agg(winner().alias("w"))
+    return best.filter("w IS NOT NULL").select(key, "trip", "w.plate", (-F.col("w.n")).alias("votes"))
 
 
 def trips(events: DataFrame, key: str, gap_ms: int = 60_000, with_plates: bool = True, order: list[str] | None = None) -> DataFrame:
-    """Trips of each key: plate, from_index, to_index, t_start_ms, t_end_ms, events_count."""
-    marked = with_trips(events, key, gap_ms, order)
-    rolled = marked.groupBy(key, "trip").agg(
-        F.min("idx").alias("from_index"),
-        F.max("idx").alias("to_index"),
-        F.min("t_ms").alias("t_start_ms"),
-        F.max("t_ms").alias("t_end_ms"),
-        F.count(F.lit(1)).cast("int").alias("events_count"),
+    """Trips of each key: plate, from_index, to_index, t_start_ms, t_end_ms, events_count; one shuffle, by the key."""
+    marked = counted(with_trips(events, key, gap_ms, order), key)
+    plate = winner()["plate"] if with_plates else F.lit(None).cast("string")
+    return marked.groupBy(key, "trip").agg(
+        plate.alias("plate"),
+        F.min("min_idx").alias("from_index"),
+        F.max("max_idx").alias("to_index"),
+        F.min("min_ms").alias("t_start_ms"),
+        F.max("max_ms").alias("t_end_ms"),
+        F.sum("n").cast("int").alias("events_count"),
     )
-    if with_plates:
-        rolled = rolled.join(votes(marked, key).drop("votes"), [key, "trip"], "left")
-    else:
-        rolled = rolled.withColumn("plate", F.lit(None).cast("string"))
-    return rolled.select(key, "trip", "plate", "from_index", "to_index", "t_start_ms", "t_end_ms", "events_count")
 
 
 def zipped(times: Column, plates: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetectParams
 from ..functions.text import frame_ms
+from .folds import stepped
 
 
 def sampled(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
@@ -39,83 +40,78 @@ def eof_frames(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
     return end.join(first, "video_id", "left").select("video_id", F.coalesce("cut", eof).alias("eof"))
 
 
-STATE = "struct<ema:double,active:boolean,start:bigint,last:bigint,out:array<bigint>>"
+STATE = "struct<ema:double,active:boolean,start:bigint,last:bigint>"
+STEP = "struct<ms:bigint,frame:bigint,ratio:double,ema:double,state:string,event:int,t_ms:bigint>"
 
 
-def _step(state: Column, s: Column, ema: Column, p: DetectParams, fps: float, least: int) -> Column:
+def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> DataFrame:
+    """(video_id, state, out): the two-threshold machine folded over each video's moving frames.
+
+    out lists its steps in order: all of them (`every`), or those that end an event; t_ms is the
+    event's middle. The state shown is the one before the step, IDLE once closed.
+    """
+    least = p.min_frames(fps)
     ms = lambda frame: frame_ms(frame, F.lit(fps))
-    idx = s["frame_idx"]
-    opens = ~state["active"] & (idx - state["last"] > p.cooldown_frames) & (ema >= p.high)
-    closes = state["active"] & (ema < p.low)
-    length = idx - state["start"]
-    emits = closes & (length >= least)
-    if p.warmup_ms > 0:
-        emits = emits & (ms(F.greatest(state["start"], idx - 1)) > p.warmup_ms)
-    middle = ms(state["start"] + F.floor(length / 2).cast("bigint"))
-    return F.struct(
-        ema.alias("ema"),
-        (opens | (state["active"] & ~closes)).alias("active"),
-        F.when(opens, idx).otherwise(state["start"]).alias("start"),
-        F.when(emits, idx).otherwise(state["last"]).alias("last"),
-        F.when(emits, F.concat(state["out"], F.array(middle))).otherwise(state["out"]).alias("out"),
-    )
+
+    def step(state: Column, s: Column) -> Column:
+        def judged(ema: Column) -> Column:
+            idx, length = s["frame_idx"], s["frame_idx"] - state["start"]
+            opens = ~state["active"] & (idx - state["last"] > p.cooldown_frames) & (ema >= p.high)
+            closes = state["active"] & (ema < p.low)
+            emits = closes & (length >= least)
+            if p.warmup_ms > 0:
+                emits = emits & (ms(F.greatest(state["start"], idx - 1)) > p.warmup_ms)
+            after = F.struct(
+                ema.alias("ema"),
+                (opens | (state["active"] & ~closes)).alias("active"),
+                F.when(opens, idx).otherwise(state["start"]).alias("start"),
+                F.when(emits, idx).otherwise(state["last"]).alias("last"),
+            )
+            shown = F.struct(
+                s["ms"].alias("ms"),
+                idx.alias("frame"),
+                s["ratio"].alias("ratio"),
+                ema.alias("ema"),
+                F.when(state["active"] & ~closes, "ACTIVE").otherwise("IDLE").alias("state"),
+                emits.cast("int").alias("event"),
+                F.when(emits, ms(state["start"] + F.floor(length / 2).cast("bigint"))).alias("t_ms"),
+            )
+            emitted = F.array(shown) if every else F.when(emits, F.array(shown)).otherwise(F.expr(f"cast(array() as array<{STEP}>)"))
+            return F.struct(after.cast(STATE).alias("state"), emitted.cast(f"array<{STEP}>").alias("emitted"))
+
+        return F.transform(F.array(p.ema_alpha * s["ratio"] + (1 - p.ema_alpha) * state["ema"]), judged)[0]
+
+    frames = F.array_sort(F.collect_list(F.struct("frame_idx", "ms", "ratio")))
+    keyed = moving(signal, p, fps).groupBy("video_id").agg(frames.alias("frames"))
+    start = F.expr(f"named_struct('ema', 0D, 'active', false, 'start', -1L, 'last', {-p.cooldown_frames - 1}L)").cast(STATE)
+    folded = keyed.withColumn("fold", stepped(F.col("frames"), start, step, f"array<{STEP}>"))
+    return folded.select("video_id", "fold.state", "fold.out")
 
 
 def motion_events(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
-    """(video_id, t_ms) of the events: a fold over each video's frames, with a flush at its end."""
+    """(video_id, t_ms) of the events: the machine's, and one flushed at a video's end if it is active then."""
     p = p.clamped()
-    least = p.min_frames(fps)
-    frames = F.array_sort(F.collect_list(F.struct("frame_idx", "ratio")))
-    keyed = moving(signal, p, fps).groupBy("video_id").agg(frames.alias("frames"))
-    start = F.expr(
-        f"named_struct('ema', 0D, 'active', false, 'start', -1L, 'last', {-p.cooldown_frames - 1}L, 'out', cast(array() as array<bigint>))"
-    )
-    fold = F.aggregate(
-        "frames",
-        start,
-        # A one-element list names the new average, so that it is worked out once.
-        lambda state, s: F.transform(
-            F.array(p.ema_alpha * s["ratio"] + (1 - p.ema_alpha) * state["ema"]), lambda ema: _step(state, s, ema, p, fps, least).cast(STATE)
-        )[0],
-    )
-    ended = keyed.withColumn("state", fold).join(eof_frames(signal, p, fps), "video_id")
+    ended = machine(signal, p, fps, every=False).join(eof_frames(signal, p, fps), "video_id")
     length = F.col("eof") - F.col("state.start")
     tail = F.when(
-        F.col("state.active") & (length >= least),
+        F.col("state.active") & (length >= p.min_frames(fps)),
         F.array(frame_ms(F.col("state.start") + F.floor(length / 2).cast("bigint"), F.lit(fps))),
     ).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return ended.select("video_id", F.explode(F.concat("state.out", tail)).alias("t_ms"))
-
-
-TRACE = "video_id long, ms long, frame long, ratio double, ema double, state string, event int"
+    return ended.select("video_id", F.explode(F.concat(F.transform("out", lambda s: s["t_ms"]), tail)).alias("t_ms"))
 
 
 def motion_trace(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
-    """A row per moving frame: ms, frame, ratio, ema (6 decimals), state before the step (IDLE once closed), event."""
-    p = p.clamped()
-    least = p.min_frames(fps)
+    """A row per moving frame: video_id, ms, frame, ratio, ema (6 decimals), state, event (1 where one ends)."""
+    steps = machine(signal, p.clamped(), fps, every=True).select("video_id", F.explode("out").alias("s"))
+    six = lambda c: (F.floor(F.col(f"s.{c}") * 1e6 + 0.5) / 1e6).alias(c)
+    return steps.select("video_id", "s.ms", "s.frame", six("ratio"), six("ema"), "s.state", "s.event")
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        ema, active, start, last = 0.0, False, -1, -p.cooldown_frames - 1
-        rows = []
-        for idx, ms, ratio in zip(pdf["frame_idx"].tolist(), pdf["ms"].tolist(), pdf["ratio"].tolist(), strict=True):
-            ema = p.ema_alpha * ratio + (1 - p.ema_alpha) * ema
-            shown, event = "ACTIVE" if active else "IDLE", 0
-            if not active:
-                if idx - last > p.cooldown_frames and ema >= p.high:
-                    active, start = True, idx
-            elif ema < p.low:
-                warm = p.warmup_ms > 0 and int(max(start, idx - 1) / fps * 1000) <= p.warmup_ms
-                if idx - start >= least and not warm:
-                    event, last = 1, idx
-                active, shown = False, "IDLE"
-            rows.append((ms, idx, round(ratio, 6), round(ema, 6), shown, event))
-        out = pd.DataFrame(rows, columns=["ms", "frame", "ratio", "ema", "state", "event"])
-        out.insert(0, "video_id", pdf["video_id"].iloc[0])
-        return out
 
-    return moving(signal, p, fps).select("video_id", "ms", "frame_idx", "ratio").groupBy("video_id").applyInPandas(trace, TRACE)
+def trace_lines(trace: DataFrame) -> DataFrame:
+    """(video_id, frame, line): the trace as CSV lines; a header line has frame -1."""
+    line = F.format_string("%d,%d,%.6f,%.6f,%s,%d", "ms", "frame", "ratio", "ema", "state", "event")
+    head = trace.select("video_id").distinct().select("video_id", F.lit(-1).cast("long").alias("frame"), F.lit("ms,frame,ratio,ema,state,event").alias("line"))
+    return trace.select("video_id", "frame", line.alias("line")).unionByName(head)
 
 
 def opened(mask: np.ndarray, size: int) -> np.ndarray:

@@ -17,7 +17,7 @@ series AS (SELECT *, CASE k % 5 WHEN 0 THEN 'о' || lpad(CAST(k AS VARCHAR), 3,
   WHEN 2 THEN 'A8' || translate({FOUR}, '0', 'O') WHEN 3 THEN ' ' END AS raw FROM series0)"""
 CAMERAS = """cameras AS (SELECT s_suppkey AS id, s_name AS name, 'rtsp://user:pw@cam' || s_suppkey || '/stream' AS url,
   s_acctbal > 0 AS active FROM supplier)"""
-FILES = """files AS (SELECT doc_id AS ord, '/usb/' || source || '/clip' || (doc_id % 300) ||
+FILES = """files AS (SELECT doc_id AS ord, '/usb/' || source || '/clip' || (doc_id % 100) ||
   CASE doc_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.mkv' WHEN 2 THEN '.ts' ELSE '.txt' END AS path, text AS content,
   sha256(coalesce(text, '')) AS sha256 FROM documents)"""
 
@@ -100,10 +100,14 @@ SELECT w.detection_id, w.head AS t_ms, arg_min(n.plate, n.t_ms) FILTER (WHERE tr
 FROM walk2 w JOIN numbered2 n USING (detection_id, rn) GROUP BY w.detection_id, w.head"""
 
 MOVING = f"""{SERIES}, moving AS (SELECT video_id, frame_idx, CAST(trunc(frame_idx / CAST(25 AS DOUBLE) * 1000) AS BIGINT) AS ms,
-  changed_px / CAST(500000 AS DOUBLE) AS ratio FROM series WHERE frame_idx > 0 AND changed_px >= 20000)"""
+  changed_px / CAST(100000 AS DOUBLE) AS ratio FROM series WHERE frame_idx > 0 AND frame_idx % 2 = 0 AND changed_px >= 20000)"""
 
 
-def machine(extra_where: str = "", warmup: int = 0, eof: str = "n + 1") -> str:
+six = lambda x: f"floor({x} * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1e6 AS DOUBLE)"
+EOF = "greatest(n // 2 * 2 + 1, n)"
+
+
+def machine(extra_where: str = "", warmup: int = 0, eof: str = EOF) -> str:
     """The state machine stepped row by row: e is the average, a whether active, s the start, l the last end, t the event."""
     ms = lambda f: f"CAST(trunc(({f}) / CAST(25 AS DOUBLE) * 1000) AS BIGINT)"
     warm = f" AND {ms('greatest(f.s, k.frame_idx - 1)')} > {warmup}" if warmup else ""
@@ -150,12 +154,29 @@ tasks AS (SELECT task_id, min(seq) FILTER (WHERE op = 'start') AS started, min(s
   FROM queue_log GROUP BY task_id),
 state AS (SELECT task_id, CASE WHEN canceled IS NOT NULL AND (started IS NULL OR canceled < started) THEN 'CANCELED' WHEN ended = 'done' THEN 'DONE'
   WHEN ended = 'fail' THEN 'FAILED' WHEN started IS NOT NULL THEN 'RUNNING' ELSE 'PENDING' END AS status, coalesce(progress, 0) AS p FROM tasks)"""
+REQUESTS = f"""{DETECTIONS}, requests AS (SELECT c_custkey, c_custkey + 1 AS request_id, c_custkey % 400 AS video_id, CAST(1000 * (c_custkey % 7 + 1) AS INTEGER) AS merge_ms FROM customer),
+accepted AS (SELECT *, (SELECT max(id) FROM detections) AS last FROM requests r
+  WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.video_id = r.video_id AND d.merge_ms = r.merge_ms)
+  QUALIFY row_number() OVER (PARTITION BY video_id, merge_ms ORDER BY request_id) = 1)"""
 DAILY = lambda days: f"""SELECT CAST(created_at AS DATE) AS day, {COUNTED} FROM detections
   WHERE created_at >= (SELECT max(o_orderdate) FROM orders) - INTERVAL {days} DAY GROUP BY 1"""
 WEEK = f"""{DETECTIONS}, week AS (SELECT CAST(g AS INTEGER) AS iso, count(id) AS detections, CAST(coalesce(sum(events_count), 0) AS BIGINT) AS events
   FROM range(1, 8) r(g) LEFT JOIN detections ON isodow(created_at) = g GROUP BY g)"""
 Q3 = "replace(path, '\"', '\"\"')"
 
+# Pictures of 8 x 8: the blur is a 5 x 5 binomial mirrored at the edges, the opening takes neighbours within the picture only.
+PIXELS = """pics AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1:64] AS e FROM embeddings),
+px AS (SELECT video_id, frame, p // 8 AS y, p % 8 AS x, greatest(0, least(255, floor(CAST(e[p + 1] AS DOUBLE) * 400 + 128))) AS v
+  FROM (SELECT *, unnest(range(0, 64)) AS p FROM pics WHERE frame % 2 = 0)),
+taps AS (SELECT a.y, a.x, m.d AS dy, n.d AS dx, m.w * n.w AS w FROM (SELECT i // 8 AS y, i % 8 AS x FROM range(0, 64) r(i)) a,
+  (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) m(d, w), (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) n(d, w)),
+edged AS (SELECT y, x, w, CASE WHEN y + dy < 0 THEN -(y + dy) WHEN y + dy > 7 THEN 14 - (y + dy) ELSE y + dy END AS sy,
+  CASE WHEN x + dx < 0 THEN -(x + dx) WHEN x + dx > 7 THEN 14 - (x + dx) ELSE x + dx END AS sx FROM taps),
+soft AS (SELECT video_id, frame, edged.y, edged.x, round_even(sum(w * v) / CAST(256 AS DOUBLE), 0) AS v FROM edged JOIN px ON px.y = edged.sy AND px.x = edged.sx GROUP BY ALL),
+moved AS (SELECT b.video_id, b.frame, b.y, b.x, CAST(abs(b.v - a.v) > 12 AS INTEGER) AS m FROM soft b JOIN soft a ON a.video_id = b.video_id AND a.frame = b.frame - 2 AND a.y = b.y AND a.x = b.x),
+eroded AS (SELECT a.video_id, a.frame, a.y, a.x, min(b.m) AS m FROM moved a JOIN moved b ON b.video_id = a.video_id AND b.frame = a.frame AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL),
+grown AS (SELECT a.video_id, a.frame, a.y, a.x, max(b.m) AS m FROM eroded a JOIN eroded b ON b.video_id = a.video_id AND b.frame = a.frame AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
     "trips": trips(21600000, "any_value(v.plate)"),
     "trips_time_only": trips(21600000, "CAST(NULL AS VARCHAR)"),
@@ -164,11 +185,14 @@ ORACLES: dict[str, str] = {
     "merge_events": MERGE,
     "heartbeat_throttle": f"WITH RECURSIVE {SERIES}, {anchored('series', 'video_id', 43199999)} SELECT video_id, t_ms FROM walk WHERE keep",
     "motion_filter": f"WITH {MOVING} SELECT video_id, frame_idx, ms, ratio FROM moving",
-    "motion_trace": f"WITH RECURSIVE {machine()} SELECT video_id, ms, frame, round(ratio, 6) AS ratio, round(e, 6) AS ema, shown AS state, "
+    "motion_trace": f"WITH RECURSIVE {machine()} SELECT video_id, ms, frame, {six('ratio')} AS ratio, {six('e')} AS ema, shown AS state, "
     "CAST(t IS NOT NULL AS INTEGER) AS event FROM fsm WHERE rn > 0",
-    "motion_ema": f"WITH RECURSIVE {machine()} SELECT video_id, frame, round(e, 6) AS ema FROM fsm WHERE rn > 0",
+    "motion_trace_lines": f"""WITH RECURSIVE {machine()}
+SELECT video_id, frame, printf('%d,%d,%.6f,%.6f,%s,%d', ms, frame, {six('ratio')}, {six('e')}, shown, CAST(t IS NOT NULL AS INTEGER)) AS line FROM fsm WHERE rn > 0
+UNION ALL SELECT DISTINCT video_id, CAST(-1 AS BIGINT), 'ms,frame,ratio,ema,state,event' FROM fsm WHERE rn > 0""",
+    "motion_ema": f"WITH RECURSIVE {machine()} SELECT video_id, frame, {six('e')} AS ema FROM fsm WHERE rn > 0",
     "motion_events": f"WITH RECURSIVE {machine()} SELECT * FROM found",
-    "motion_events_warmup": f"WITH RECURSIVE {machine('WHERE ms < 2200', 900, 'least(n + 1, 55)')} SELECT * FROM found",
+    "motion_events_warmup": f"WITH RECURSIVE {machine('WHERE ms < 2200', 1000, f'CASE WHEN n >= 56 THEN 56 ELSE {EOF} END')} SELECT * FROM found",
     "summary_counts": "SELECT (SELECT count(*) FROM customer) AS videos, (SELECT count(*) FROM orders) AS detections, (SELECT count(*) FROM lineitem) AS events",
     "week_agg": f"""WITH {WEEK} SELECT iso, ['MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY', 'SATURDAY', 'SUNDAY'][iso] AS day, detections, events FROM week""",
     "week_heatmap": f"""WITH {WEEK}, r AS (SELECT iso, events, CASE WHEN max(events) OVER () = 0 THEN 0.0 ELSE events / CAST(max(events) OVER () AS DOUBLE) END AS r FROM week),
@@ -188,7 +212,7 @@ SELECT iso, events, CAST(40 + floor(r * 240 + 0.5) AS INTEGER) AS width, red, CA
     "events_of_detection": f"WITH {DET_EVENTS} SELECT * FROM det_events WHERE detection_id = 3",
     "video_path_of_detection": f"WITH {PAGED} SELECT id, path FROM joined WHERE id = 3",
     "event_preview": f"""WITH {DET_EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY detection_id ORDER BY t_ms) AS rn,
-  count(*) OVER (PARTITION BY detection_id) AS c FROM det_events WHERE detection_id <= 400)
+  count(*) OVER (PARTITION BY detection_id) AS c FROM det_events)
 SELECT detection_id, string_agg({clock('t_ms')}, ', ' ORDER BY t_ms) || CASE WHEN any_value(c) > 3 THEN ' +' || (any_value(c) - 3) || ' more' ELSE '' END AS preview
 FROM n WHERE rn <= 3 GROUP BY detection_id""",
     "events_csv_lines": f"""WITH {PAGED}, {DET_EVENTS}, b AS (SELECT t_ms, row_number() OVER (ORDER BY t_ms) AS n FROM det_events WHERE detection_id = 3)
@@ -200,9 +224,15 @@ UNION ALL SELECT 'daily', row_number() OVER (ORDER BY day DESC), day || ',' || d
 UNION ALL SELECT 'videos', row_number() OVER (ORDER BY path), '"' || {Q3} || '",' || detections || ',' || events FROM tops""",
     "snapshot_plan": f"""WITH {PAGED}, {DET_EVENTS} SELECT path, detection_id, t_ms, greatest(0, t_ms - 700) AS seek_ms,
   'out/' || regexp_extract(path, '([^/]+)[.][^.]+$', 1) || '/det_' || detection_id || '/event_' || t_ms || '.jpg' AS target
-FROM joined JOIN det_events ON detection_id = id WHERE detection_id <= 2000""",
-    "detection_event_counts": f"""WITH {DETECTIONS} SELECT events_count, count(*) AS n, count(*) FILTER (WHERE events_count <> coalesce(r, 0)) AS wrong
-FROM detections LEFT JOIN (SELECT l_orderkey, count(*) AS r FROM lineitem GROUP BY 1) ON l_orderkey = id GROUP BY 1""",
+FROM joined JOIN det_events ON detection_id = id""",
+    "snapshot_tally": f"""WITH {VIDEOS}, {DETECTIONS}, {DET_EVENTS}, p AS (SELECT greatest(0, t_ms - 700) < CAST(trunc(frames / fps * 1000) AS BIGINT) * 50 AS ok
+  FROM det_events JOIN detections d ON d.id = detection_id JOIN videos v ON v.id = d.video_id)
+SELECT count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE ok IS NOT TRUE) AS failed FROM p""",
+    "snapshot_sql": f"""WITH {PAGED}, {DET_EVENTS} SELECT path AS video_path, t_ms, id AS detection_id, t_ms % 10 AS event_id
+FROM joined JOIN det_events ON detection_id = id WHERE merge_ms = 1000""",
+    "detection_event_counts": f"""WITH {DETECTIONS}, s AS (SELECT id, CAST(events_count + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS events_count FROM detections)
+SELECT events_count, count(*) AS n, count(*) FILTER (WHERE events_count <> coalesce(r, 0)) AS wrong
+FROM s LEFT JOIN (SELECT l_orderkey, count(*) AS r FROM lineitem GROUP BY 1) ON l_orderkey = id GROUP BY 1""",
     "plate_normalize": f"WITH {SERIES} SELECT event_id, raw, {plate('raw')} AS plate FROM series",
     "plate_normalize_region": f"WITH {SERIES}, x AS (SELECT event_id, raw || (event_id % 1000) AS raw FROM series) SELECT event_id, {plate('raw', True)} AS plate FROM x",
     "plate_kind": f"WITH {SERIES}, x AS (SELECT event_id, coalesce({plate('raw')}, '') AS p FROM series) SELECT event_id, {kind('p')} AS kind FROM x",
@@ -216,9 +246,12 @@ SELECT event_id, a = b OR (length(a) >= 6 AND left(a, length(a) - 2) = left(b, l
 SELECT page_id, url, CASE WHEN url ILIKE '%youtube.com%' OR url ILIKE '%youtu.be%' THEN 'youtube' WHEN url ILIKE 'rtsp://%' THEN 'rtsp'
   WHEN url ILIKE 'http://%' OR url ILIKE 'https://%' THEN 'http' ELSE 'file' END AS kind FROM b""",
     "parse_detection_id": f"""WITH {PAGED} SELECT id, CAST(CASE WHEN id % 5 IN (0) THEN NULL WHEN id % 5 = 1 THEN id ELSE id END AS INTEGER) AS parsed
-FROM (SELECT id FROM joined ORDER BY id DESC LIMIT 300)""",
+FROM joined""",
     "ocr_token_clean": f"WITH {SERIES} SELECT event_id, {clean('''raw || '-' ''')} AS token FROM series",
     "camera_backoff": "SELECT CAST(n AS INTEGER) AS retries, CASE WHEN n <= 3 THEN CAST(least(2000, 500 * 2 ** least(3, n - 1)) AS INTEGER) END AS wait_ms FROM range(1, 8) r(n)",
+    "camera_error_text": "SELECT page_id, left(html, 1000) AS last_error FROM pages",
+    "ocr_line_fold": "SELECT page_id, nullif(trim(translate(html, chr(10) || chr(13), '  ')), '') AS line FROM pages",
+    "parallel_lists": f"WITH {PLATED} SELECT detection_id, t_ms, CASE WHEN detection_id % 3 > 0 THEN coalesce(plate, '') END AS plate FROM plated",
     "undefined_plates": f"WITH {SERIES} SELECT coalesce(nullif(trim(raw), ''), 'undefined') AS label, count(*) AS n FROM series GROUP BY 1",
     "ocr_snapshot_frames": f"""WITH {SERIES}, {VIDEOS} SELECT event_id, CAST(o AS INTEGER) AS offset_ord,
   greatest(0, least(frames - 1, frame_idx + s * 25)) AS frame FROM series JOIN videos ON id = video_id, (VALUES (0, 0), (1, -4), (2, 4)) f(o, s)""",
@@ -255,6 +288,8 @@ QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(w0 * (t - w0) *
 SELECT event, calls, ms, CASE WHEN calls > 0 THEN ms // calls ELSE 0 END AS avg_ms FROM c""",
     "ingest_pattern_filter": f"WITH {FILES} SELECT ord, path FROM files WHERE path LIKE '%.mp4' OR path LIKE '%.mkv' OR path LIKE '%.ts'",
     "manifest_parse": f"WITH {MANIFEST} SELECT sha256, path, CAST(1200 AS BIGINT) AS duration_ms FROM manifest",
+    "manifest_append": f"""WITH {NEW_FILES} SELECT sha256 || ' ' || path || ' duration=1200ms' AS value FROM manifest
+UNION ALL SELECT sha256 || ' ' || path || ' duration=' || (ord * 40) || 'ms' FROM fresh""",
     "ingest_new_files": f"WITH {NEW_FILES} SELECT ord, path, sha256 FROM fresh",
     "inbox_collisions": f"""WITH {NEW_FILES}, n AS (SELECT *, regexp_extract(path, '([^/]+)$', 1) AS file_name FROM fresh)
 SELECT file_name, count(*) AS n, arg_max(path, ord) AS stays FROM n GROUP BY 1 HAVING count(*) > 1""",
@@ -262,6 +297,12 @@ SELECT file_name, count(*) AS n, arg_max(path, ord) AS stays FROM n GROUP BY 1 H
     "upsert_videos": f"""WITH {DETECTIONS} SELECT '/inbox/' || (video_id % 500) || '.mp4' AS path, min(id) AS id, arg_max(merge_ms / CAST(100 AS DOUBLE), id) AS fps,
   arg_max(events_count, id) AS frames, arg_min(created_at, id) AS created_at FROM detections GROUP BY 1""",
     "dedup_detections": f"WITH {DETECTIONS} SELECT * FROM detections QUALIFY row_number() OVER (PARTITION BY video_id, merge_ms ORDER BY created_at DESC, id DESC) = 1",
+    "insert_detections": f"""WITH {REQUESTS} SELECT CAST(last + request_id AS INTEGER) AS id, CAST(video_id AS INTEGER) AS video_id, merge_ms,
+  CAST(c_custkey % 4 AS INTEGER) AS events_count FROM accepted""",
+    "insert_detection_events": f"""WITH {REQUESTS}, u AS (SELECT *, unnest(range(0, c_custkey % 4)) AS n FROM accepted WHERE c_custkey % 4 > 0)
+SELECT last + request_id AS detection_id, CAST(c_custkey * 1000 + 10 * (n + 1) AS BIGINT) AS t_ms,
+  CASE WHEN n = 0 AND c_custkey % 5 > 0 AND c_custkey % 3 > 0 THEN 'A' || c_custkey END AS plate FROM u""",
+    "insert_detections_refused": f"WITH {REQUESTS} SELECT request_id, video_id, merge_ms FROM requests WHERE request_id NOT IN (SELECT request_id FROM accepted)",
     "detection_conflicts": f"WITH {DETECTIONS} SELECT id, video_id, merge_ms FROM detections QUALIFY row_number() OVER (PARTITION BY video_id, merge_ms ORDER BY id) > 1",
     "delete_detection_cascade": """SELECT l_orderkey AS detection_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 3 <> 0 GROUP BY 1""",
@@ -271,12 +312,20 @@ SELECT file_name, count(*) AS n, arg_max(path, ord) AS stays FROM n GROUP BY 1 H
     "cameras_to_start": f"WITH {CAMERAS} SELECT id, name FROM cameras WHERE active AND id % 4 <> 0",
     "queue_state": f"""WITH {QUEUE} SELECT task_id, status, CAST(CASE status WHEN 'CANCELED' THEN 0 WHEN 'DONE' THEN 100 ELSE greatest(0, least(100, p)) END AS INTEGER) AS progress FROM state""",
     "queue_unfinished": f"WITH {QUEUE} SELECT task_id FROM state WHERE status IN ('PENDING', 'RUNNING')",
+    "queue_processed": f"""WITH {QUEUE}, u AS (SELECT task_id FROM state WHERE status IN ('PENDING', 'RUNNING'))
+SELECT task_id, 'start' AS op, 0 AS progress, CAST(NULL AS VARCHAR) AS error FROM u
+UNION ALL SELECT task_id, CASE WHEN task_id % 5 = 0 THEN 'fail' ELSE 'done' END, CASE WHEN task_id % 5 = 0 THEN 0 ELSE 100 END,
+  CASE WHEN task_id % 5 = 0 THEN left('task ' || task_id || ' ' || repeat('x', 2000), 1000) END FROM u""",
     "queue_progress": f"WITH {QUEUE} SELECT seq, CAST(greatest(0, least(100, progress)) AS INTEGER) AS progress FROM queue_log",
     "snapshot_csv_parse": f"""WITH {SERIES} SELECT event_id AS ord, '/v' || video_id || '.mp4' AS video_path, t_ms, CAST(video_id AS VARCHAR) AS detection_id,
   CAST(event_id AS VARCHAR) AS event_id FROM series WHERE event_id <> 0 AND k % 10 <> 0""",
     "frame_differences": """WITH p AS (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)
 SELECT vec_id, CAST(len(list_filter(list_zip(embedding, before), lambda x: abs(x[1] - x[2]) > 0.05)) AS BIGINT) AS changed FROM p WHERE before IS NOT NULL""",
+    "pixel_changes": f"""WITH {PIXELS} SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx, CAST(sum(m) AS BIGINT) AS changed_px,
+  CAST(64 AS BIGINT) AS total_px FROM grown GROUP BY ALL""",
     "wanted_frames": f"WITH {SERIES} SELECT video_id, frame_idx, changed_px FROM series WHERE frame_idx % 3 = 0",
     "trips_stream": f"""WITH {marked(21600000)} SELECT detection_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, count(*) AS events_count FROM marked GROUP BY detection_id, trip""",
+    "heartbeat_throttle_stream": f"""WITH RECURSIVE {SERIES}, {anchored('series', 'video_id', 43199999)}
+SELECT video_id AS camera_id, t_ms FROM walk WHERE keep""",
     "heartbeat_stream": "SELECT user_id AS camera_id, epoch_us(max(ts)) // 1000 AS last_seen_ms, count(*) AS beats FROM events GROUP BY 1",
 }

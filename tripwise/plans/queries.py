@@ -82,6 +82,11 @@ def motion_trace(s, d):
     return signal.motion_trace(views.series(s, d), SERIES, FPS)
 
 
+@query
+def motion_trace_lines(s, d):
+    return signal.trace_lines(signal.motion_trace(views.series(s, d), SERIES, FPS))
+
+
 @query
 def motion_ema(s, d):
     return signal.motion_trace(views.series(s, d), SERIES, FPS).select("video_id", "frame", "ema")
@@ -94,7 +99,7 @@ def motion_events(s, d):
 
 @query
 def motion_events_warmup(s, d):
-    p = DetectParams(**(SERIES.__dict__ | {"warmup_ms": 900, "max_ms": 2200}))
+    p = DetectParams(**(SERIES.__dict__ | {"warmup_ms": 1000, "max_ms": 2200}))
     return signal.motion_events(views.series(s, d), p, FPS)
 
 
@@ -205,11 +210,28 @@ def snapshot_plan(s, d):
     )
 
 
+@query
+def snapshot_tally(s, d):
+    """Pictures of the plan that lie within their video, and those that do not."""
+    lasts = views.videos(s, d).select("path", (text.frame_ms(F.col("frames"), text.known_fps(F.col("fps"))) * 50).alias("lasts_ms"))
+    return reports.snapshot_tally(snapshot_plan(s, d).join(lasts, "path"), F.col("lasts_ms"))
+
+
+@query
+def snapshot_sql(s, d):
+    """Events of a user's own SQL over the stored tables."""
+    reports.joined(views.detections(s, d).withColumnRenamed("id", "detection_id"), views.videos(s, d)).createOrReplaceTempView("stored_detections")
+    views.detection_events(s, d).createOrReplaceTempView("stored_events")
+    user_sql = "SELECT path, t_ms, detection_id AS d, t_ms % 10 FROM stored_detections JOIN stored_events USING (detection_id) WHERE merge_ms = 1000"
+    return views.sql_events(s, user_sql)
+
+
 @query
 def detection_event_counts(s, d):
-    """Stored event counts that differ from the events there are."""
+    """Stored event counts that differ from the events there are: each seventh detection has lost one."""
+    stored = (F.col("events_count") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("events_count")
     real = views.detection_events(s, d).groupBy(F.col("detection_id").alias("id")).agg(F.count(F.lit(1)).alias("real"))
-    both = views.detections(s, d).join(real, "id", "left").select("events_count", F.coalesce("real", F.lit(0)).alias("real"))
+    both = views.detections(s, d).select("id", stored).join(real, "id", "left").select("events_count", F.coalesce("real", F.lit(0)).alias("real"))
     return both.groupBy("events_count").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("real") != F.col("events_count")).alias("wrong"))
 
 
@@ -287,6 +309,25 @@ def camera_backoff(s, d):
     return s.range(1, 8).select(F.col("id").cast("int").alias("retries"), text.backoff_ms(F.col("id").cast("int")).alias("wait_ms"))
 
 
+@query
+def camera_error_text(s, d):
+    return views.table(s, d, "pages").select("page_id", text.error_text(F.col("html")).alias("last_error"))
+
+
+@query
+def ocr_line_fold(s, d):
+    return views.table(s, d, "pages").select("page_id", text.fold_lines(F.col("html")).alias("line"))
+
+
+@query
+def parallel_lists(s, d):
+    """Events of parallel lists of times and plates; each third video has no list of plates."""
+    lists = plated(s, d).groupBy("detection_id").agg(F.array_sort(F.collect_list(F.struct("t_ms", F.coalesce("plate", F.lit("")).alias("plate")))).alias("e"))
+    names = F.when(F.col("detection_id") % 3 > 0, F.transform("e", lambda e: e["plate"]))
+    both = lists.select("detection_id", sequence.zipped(F.transform("e", lambda e: e["t_ms"]), names).alias("events"))
+    return sequence.exploded(both, "detection_id")
+
+
 @query
 def undefined_plates(s, d):
     return raws(s, d).groupBy(text.plate_label(F.trim("raw")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -387,6 +428,15 @@ def manifest_parse(s, d):
     return views.manifest_lines(manifest(s, d))
 
 
+@query
+def manifest_append(s, d):
+    """The manifest's lines once the new files are appended."""
+    known = manifest(s, d)
+    new = maintenance.new_files(views.files(s, d), views.manifest_lines(known))
+    line = maintenance.manifest_line(F.col("sha256"), F.col("path"), F.col("ord") * 40)
+    return known.select("value").unionByName(new.select(line.alias("value")))
+
+
 @query
 def ingest_new_files(s, d):
     return maintenance.new_files(views.files(s, d), views.manifest_lines(manifest(s, d)))
@@ -400,7 +450,7 @@ def inbox_collisions(s, d):
 @query
 def video_duration_ms(s, d):
     rate = F.when(F.col("id") % 10 == 0, 0.0).otherwise(F.col("fps"))
-    return views.videos(s, d).select("id", text.frame_ms(F.col("frames"), F.when(rate > 0, rate).otherwise(25.0)).alias("duration_ms"))
+    return views.videos(s, d).select("id", text.frame_ms(F.col("frames"), text.known_fps(rate)).alias("duration_ms"))
 
 
 @query
@@ -416,6 +466,36 @@ def upsert_videos(s, d):
     return maintenance.upsert_videos(log)
 
 
+def requests(s, d) -> DataFrame:
+    """A detection of each video to insert, with up to three events and at most two plates."""
+    key = F.col("c_custkey")
+    stamps = F.slice(F.array(*[(key * 1000 + n).cast("bigint") for n in (10, 20, 30)]), F.lit(1), (key % 4).cast("int"))
+    names = F.slice(F.array(F.concat(F.lit("A"), key.cast("string")), F.lit(" ")), F.lit(1), (key % 3).cast("int"))
+    return views.table(s, d, "customer").select(
+        (key + 1).alias("request_id"),
+        (key % 400).alias("video_id"),
+        (1000 * (key % 7 + 1)).cast("int").alias("merge_ms"),
+        stamps.alias("stamps"),
+        F.when(key % 5 > 0, names).alias("plates"),
+        F.expr("timestamp'2024-01-01 00:00:00'").alias("created_at"),
+    )
+
+
+@query
+def insert_detections(s, d):
+    return maintenance.inserted(views.detections(s, d), requests(s, d))[0].drop("created_at")
+
+
+@query
+def insert_detection_events(s, d):
+    return maintenance.inserted(views.detections(s, d), requests(s, d))[1]
+
+
+@query
+def insert_detections_refused(s, d):
+    return maintenance.refused(views.detections(s, d), requests(s, d)).select("request_id", "video_id", "merge_ms")
+
+
 @query
 def dedup_detections(s, d):
     return maintenance.dedup_detections(views.detections(s, d))
@@ -495,6 +575,17 @@ def queue_unfinished(s, d):
     return maintenance.unfinished(maintenance.queue_state(queue_log(s, d))).select("task_id")
 
 
+@query
+def queue_processed(s, d):
+    """The log of working off all unfinished tasks; each fifth one fails."""
+
+    def work(task: int) -> None:
+        if task % 5 == 0:
+            raise ValueError(f"task {task} " + "x" * 2000)
+
+    return maintenance.processed(maintenance.queue_state(queue_log(s, d)), work)
+
+
 @query
 def queue_progress(s, d):
     return queue_log(s, d).select("seq", text.clamp(F.col("progress"), 0, 100).cast("int").alias("progress"))
@@ -521,6 +612,22 @@ def frame_differences(s, d):
     return pairs.select("vec_id", F.size(moved).cast("bigint").alias("changed"))
 
 
+def pictures(s, d) -> DataFrame:
+    """Vectors as pictures of 8 x 8 grey pixels (video_id, frame_idx, width, height, gray), numbered along each label."""
+    number = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    level = F.transform(F.slice("embedding", 1, 64), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 400 + 128))))
+    hexed = F.array_join(F.transform(level, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
+    return views.table(s, d, "embeddings").select(
+        F.col("label").cast("bigint").alias("video_id"), number.cast("bigint").alias("frame_idx"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexed).alias("gray")
+    )
+
+
+@query
+def pixel_changes(s, d):
+    """Blurred differences of neighbouring pictures, opened by a square of three pixels."""
+    return signal.changed_pixels(pictures(s, d), DetectParams(step_frames=2, diff_threshold=12, morph_kernel=3))
+
+
 @query
 def wanted_frames(s, d):
     """Frames fetched by number."""
@@ -536,6 +643,11 @@ def trips_stream(s, d):
     return streamed.session_trips_once(s, f"{d}/events.parquet", "6 hours")
 
 
+@query
+def heartbeat_throttle_stream(s, d):
+    return streamed.throttled_once(s, f"{d}/events.parquet", 12 * HOUR_MS)
+
+
 @query
 def heartbeat_stream(s, d):
     return streamed.camera_health_once(s, f"{d}/events.parquet")

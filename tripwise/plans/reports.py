@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import detection_row, fmt_ms, jround, plate_label, quoted
+from ..functions.text import detection_row, fmt_ms, jround, quoted
 
 # Days by their ISO number.
 DAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
@@ -55,9 +55,12 @@ def week_heatmap(detections: DataFrame) -> DataFrame:
 
 
 def daily_agg(detections: DataFrame, now: DataFrame, last_days: int) -> DataFrame:
-    """Days with detections in the trailing days, newest first; `now` is one row with the column now."""
-    bound = F.col("now") - F.make_interval(days=F.lit(max(1, last_days)))
-    recent = detections.crossJoin(now).filter(F.col("created_at") >= bound)
+    """Days with detections in the trailing days, newest first; `now` is one row with the column now.
+
+    The bound is a scalar subquery, so the scan gets it as a literal.
+    """
+    bound = now.select((F.col("now") - F.make_interval(days=F.lit(max(1, last_days)))).alias("bound")).scalar()
+    recent = detections.filter(F.col("created_at") >= bound)
     return recent.groupBy(F.to_date("created_at").alias("day")).agg(*counted()).orderBy(F.desc("day"))
 
 
@@ -71,8 +74,9 @@ def merge_agg(detections: DataFrame) -> DataFrame:
 
 
 def detections_page(detections: DataFrame, videos: DataFrame, limit: int, offset: int) -> DataFrame:
-    page = joined(detections, videos).orderBy(F.desc("id")).offset(max(0, offset)).limit(max(1, limit))
-    return page.select("id", "video_id", "path", "merge_ms", "events_count", "created_at")
+    """A page of detections, newest id first. Each has a video (a foreign key), so the page is taken before the join."""
+    page = detections.orderBy(F.desc("id")).offset(max(0, offset)).limit(max(1, limit))
+    return joined(page, videos).orderBy(F.desc("id")).select("id", "video_id", "path", "merge_ms", "events_count", "created_at")
 
 
 def row_text() -> F.Column:
@@ -152,5 +156,7 @@ def report_csv_lines(summary: DataFrame, daily: DataFrame, per_video: DataFrame)
     return head.unionByName(days).unionByName(tops)
 
 
-def labelled(plates: DataFrame) -> DataFrame:
-    return plates.withColumn("plate", plate_label(F.col("plate")))
+def snapshot_tally(plan: DataFrame, lasts_ms: F.Column) -> DataFrame:
+    """How many pictures of a plan can be taken (their time lies within the video) and how many fail."""
+    fits = F.col("seek_ms") < lasts_ms
+    return plan.agg(F.count_if(fits).alias("ok"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("failed"))

@@ -1,15 +1,34 @@
 """Schemas of the persistent tables, version 6."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VIDEOS = T.StructType.fromDDL("id INT NOT NULL, path STRING NOT NULL, fps DOUBLE NOT NULL, frames BIGINT NOT NULL, created_at TIMESTAMP NOT NULL")
-DETECTIONS = T.StructType.fromDDL(
-    "id INT NOT NULL, video_id INT NOT NULL, merge_ms INT NOT NULL, events_count INT NOT NULL, created_at TIMESTAMP NOT NULL"
-)
-EVENTS = T.StructType.fromDDL("id INT NOT NULL, detection_id INT NOT NULL, t_ms BIGINT NOT NULL, plate STRING")
-CAMERAS = T.StructType.fromDDL(
-    "id INT NOT NULL, name STRING NOT NULL, url STRING NOT NULL, active BOOLEAN NOT NULL, created_at TIMESTAMP, last_seen_at TIMESTAMP, last_error STRING"
-)
-SIGNAL = T.StructType.fromDDL("video_id BIGINT, frame_idx BIGINT, changed_px BIGINT, total_px BIGINT")
-OCR_TOKENS = T.StructType.fromDDL("video_id BIGINT, event_idx BIGINT, offset_ord INT, roi_idx INT, raw STRING, conf DOUBLE")
-MANIFEST = T.StructType.fromDDL("sha256 STRING, path STRING, duration_ms BIGINT")
+_KINDS = {"int": T.IntegerType, "bigint": T.LongType, "double": T.DoubleType, "string": T.StringType, "timestamp": T.TimestampType, "boolean": T.BooleanType}
+
+
+def _table(columns: str) -> T.StructType:
+    """A schema from `name kind` pairs; `name kind!` may not be null. Needs no session, so it can be a constant."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind.rstrip("!")](), not kind.endswith("!")) for name, kind in pairs])
+
+
+VIDEOS = _table("id int!, path string!, fps double!, frames bigint!, created_at timestamp!")
+DETECTIONS = _table("id int!, video_id int!, merge_ms int!, events_count int!, created_at timestamp!")
+EVENTS = _table("id int!, detection_id int!, t_ms bigint!, plate string")
+CAMERAS = _table("id int!, name string!, url string!, active boolean!, created_at timestamp, last_seen_at timestamp, last_error string")
+SIGNAL = _table("video_id bigint, frame_idx bigint, changed_px bigint, total_px bigint")
+OCR_TOKENS = _table("video_id bigint, event_idx bigint, offset_ord int, roi_idx int, raw string, conf double")
+MANIFEST = _table("sha256 string, path string, duration_ms bigint")
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns of df, cast; a null where none may be is an error that names the column."""
+
+    def column(f: T.StructField):
+        cast = F.col(f.name).cast(f.dataType)
+        if not f.nullable:
+            cast = F.when(cast.isNull(), F.raise_error(F.lit(f"{f.name} is null")).cast(f.dataType)).otherwise(cast)
+        return cast.alias(f.name)
+
+    return df.select(*[column(f) for f in schema.fields])

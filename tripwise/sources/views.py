@@ -62,7 +62,7 @@ def series(spark, d) -> DataFrame:
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"),
         F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).cast("bigint").alias("frame_idx"),
         F.floor(F.col("value") * 1000).cast("bigint").alias("changed_px"),
-        F.lit(500_000).cast("bigint").alias("total_px"),
+        F.lit(100_000).cast("bigint").alias("total_px"),
         k.alias("k"),
         raw_plate(k).alias("raw"),
     )
@@ -82,7 +82,7 @@ def files(spark, d) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(x) for x in (".mp4", ".mkv", ".ts", ".txt")]), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("ord"),
-        F.concat(F.lit("/usb/"), "source", F.lit("/clip"), (F.col("doc_id") % 300).cast("string"), ext).alias("path"),
+        F.concat(F.lit("/usb/"), "source", F.lit("/clip"), (F.col("doc_id") % 100).cast("string"), ext).alias("path"),
         F.col("text").alias("content"),
     )
 
@@ -98,8 +98,15 @@ def video_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None, tasks: int = 8, **options: str) -> DataFrame:
+    """A database table; with a numeric `key`, read by `tasks` tasks that each take a range of it."""
+    table_reader = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    reader = table_reader()
+    if key:
+        ends = table_reader().option("query", f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {name}").load().first()
+        if ends[0] is not None:
+            reader = table_reader(partitionColumn=key, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(tasks))
+    return reader.option("dbtable", name).load()
 
 
 def manifest_lines(lines: DataFrame) -> DataFrame:

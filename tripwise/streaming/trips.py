@@ -1,13 +1,16 @@
-"""Streaming trips and camera health.
+"""Streaming trips, camera health and heartbeat throttling.
 
-Trips are session windows with a watermark; health keeps the latest heartbeat per camera.
-The *_once functions drive a stream over files to its end and return what its sink holds.
+Trips are session windows, put out once the watermark has closed them, so the state holds open
+trips only. Health keeps the latest heartbeat per camera. Every batch is written to a folder of
+its own number, so a batch that is run again replaces itself. The *_once functions drive a
+stream over files to its end and return what its sink holds.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,29 +43,50 @@ def session_trips(events: DataFrame, gap: str, lateness: str = "1 hour") -> Data
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder below the shared one that spark.checkpoint.dir names; where it is unset: a temporary
+    one in local mode, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = tempfile.mkdtemp(prefix="spark-stream-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
-def session_trips_once(spark: SparkSession, path: str, gap: str) -> DataFrame:
-    """All trips of a finite stream, the open ones too: complete updates, the last of each trip start wins."""
-    at = _folder(spark)
+def batches_to(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to its own folder: running a batch again does not store it twice."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{at}/out")
+    return write
 
+
+def run_to_end(stream: DataFrame, mode: str, at: str) -> None:
     started = (
-        session_trips(read_events(spark, path), gap)
-        .writeStream.outputMode("complete")
-        .foreachBatch(keep)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(batches_to(f"{at}/out"))
         .option("checkpointLocation", f"{at}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     started.awaitTermination()
-    out = spark.read.parquet(f"{at}/out")
-    last = out.agg(F.max("epoch").alias("last"))
-    return out.join(last, out["epoch"] == last["last"]).drop("epoch", "last")
+
+
+def session_trips_once(spark: SparkSession, path: str, gap: str) -> DataFrame:
+    """All trips of a finite stream, in append mode.
+
+    Once the stream is read, a closing event far in the future moves the watermark past the open
+    trips; a second run from the same checkpoint puts them out. The closing event's own trip stays open.
+    """
+    at = _folder(spark)
+    closing = f"{at}/closing"
+    spark.createDataFrame([], EVENTS).write.parquet(closing)
+    late = spark.readStream.schema(EVENTS).parquet(closing).withColumn("ts", F.col("ts").cast("timestamp"))
+    trips = session_trips(read_events(spark, path).unionByName(late), gap)
+    run_to_end(trips, "append", at)
+    spark.range(1).select(F.expr("timestamp_ntz'9000-01-01'").alias("ts")).write.mode("append").parquet(closing)
+    run_to_end(trips, "append", at)
+    return spark.read.parquet(f"{at}/out").drop("epoch")
 
 
 def camera_health(events: DataFrame) -> DataFrame:
@@ -71,20 +95,9 @@ def camera_health(events: DataFrame) -> DataFrame:
 
 
 def camera_health_once(spark: SparkSession, path: str) -> DataFrame:
+    """The latest state of each camera at the end of a finite stream: of its updates the one of the last batch."""
     at = _folder(spark)
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{at}/out")
-
-    started = (
-        camera_health(read_events(spark, path))
-        .writeStream.outputMode("update")
-        .foreachBatch(upsert)
-        .option("checkpointLocation", f"{at}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    run_to_end(camera_health(read_events(spark, path)), "update", at)
     latest = spark.read.parquet(f"{at}/out").groupBy("camera_id")
     return latest.agg(F.max_by("last_seen_ms", "epoch").alias("last_seen_ms"), F.max_by("beats", "epoch").alias("beats"))
 
@@ -118,3 +131,19 @@ def throttled_stream(ticks: DataFrame, every_ms: int = 2000) -> DataFrame:
     return ticks.groupBy("camera_id").transformWithStateInPandas(
         statefulProcessor=Throttle(every_ms), outputStructType="camera_id long, t_ms long", outputMode="Append", timeMode="None"
     )
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def throttled_once(spark: SparkSession, path: str, every_ms: int) -> DataFrame:
+    """The heartbeats (camera_id, t_ms) that a finite stream sends on."""
+    at = _folder(spark)
+    ticks = read_events(spark, path).select(F.col("user_id").alias("camera_id"), F.unix_millis("ts").alias("t_ms"))
+    held = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run_to_end(throttled_stream(ticks, every_ms), "append", at)
+    finally:
+        spark.conf.set(STORE, held) if held else spark.conf.unset(STORE)
+    return spark.read.parquet(f"{at}/out").drop("epoch")
