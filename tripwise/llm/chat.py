@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import running
+
 # The template's control strings.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -76,16 +78,14 @@ def render(messages: DataFrame) -> DataFrame:
             (t["role"] == "assistant").alias("learn"),
         ),
     )
-    lengths = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE))
-    starts = F.transform(
+    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE))
+    # A piece ends where the sum of all sizes up to it says.
+    starts = F.zip_with(
         "pieces",
-        lambda p, i: F.struct(
-            (F.aggregate(F.slice("lengths", F.lit(1), i), F.lit(0), lambda a, b: a + b) + F.length(p["head"])).alias("start"),
-            F.length(p["body"]).alias("length"),
-            p["learn"].alias("learn"),
-        ),
+        "ends",
+        lambda p, end: F.struct((end - len(CLOSE) - F.length(p["body"])).cast("int").alias("start"), F.length(p["body"]).alias("length"), p["learn"].alias("learn")),
     )
-    shaped = turns.select("conv_id", pieces.alias("pieces")).withColumn("lengths", lengths)
+    shaped = turns.select("conv_id", pieces.alias("pieces")).withColumn("ends", running(sizes))
     return shaped.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("formatted"),
