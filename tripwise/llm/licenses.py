@@ -4,13 +4,14 @@ Templates and texts are sequences of word shingles of K words (five, or all word
 shorter template). Windows of V shingles are cut from texts at half their length and from
 templates at every place, so a verbatim copy always has a text window that equals a template
 window; such a pair shares all BANDS one-row bands. A window that still has a share J of its
-shingles in common shares a band with probability 1 - (1 - J) ** BANDS: 0.998 at 0.8. A hit
-places the template in the text; there the share of its shingles that the text really has is
-computed exactly.
-
-Only texts that hold a word of a set that meets every shingle of every template are looked
-at: no other text can share a shingle. Everything is a column expression; what is sent to all
-tasks is made of the templates only.
+shingles in common shares a band with probability 1 - (1 - J) ** BANDS: 0.998 at 0.8. A band
+keeps the place of its least shingle, so a hit says where in the text the template begins. Hits
+are counted for each such place before anything else is done with them; then the share of
+the template's shingles that the text really has there is computed exactly, once for each place.
+
+Only texts that hold the longest word of some template shingle are looked at: no other text can
+share a shingle. Everything is a column expression; the driver gets those words only, and
+templates may be as many and as long as a table holds.
 """
 
 from __future__ import annotations
@@ -21,45 +22,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
+from .license_texts import LICENSES
 
 SHINGLE = 5
 BANDS = 4
 CONTAINMENT = 0.8
-MAX_TEMPLATE_WORDS = 200_000
-
-# Public license notices, by name.
-NOTICES = [
-    ("all-rights-reserved", "All rights reserved."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    (
-        "mit-grant",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ),
-    (
-        "bsd-clauses",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met",
-    ),
-    (
-        "apache-2.0-header",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
-        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ),
-    (
-        "gpl-notice",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation",
-    ),
-]
+#: Window lengths, the longest first; a template takes the first of which any verbatim copy holds a window.
+LENGTHS = (8, 4, 2, 1)
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "license string, text string")
+    """The templates (license, text) of license_texts."""
+    return spark.createDataFrame(LICENSES, "license string, text string")
+
+
+def templates_below(spark: SparkSession, folder: str) -> DataFrame:
+    """A template for each text file below a folder, named by its file."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.regexp_extract(F.input_file_name(), "([^/]+?)([.]txt)?$", 1).alias("license"), F.col("value").alias("text"))
 
 
 def words(text: Column) -> Column:
@@ -67,139 +47,151 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _each(n: Column, f) -> Column:
+    """A list of f(i) for i from 1 to n; empty where n is below 1."""
+    return F.transform(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)")), f)
+
+
 def shingles(words: Column, k: int) -> Column:
-    return F.when(
-        F.size(words) >= k,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (k - 1)),
-            lambda i: F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(k)]),
-        ),
-    ).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return _each(F.size(words) - (k - 1), lambda i: F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(k)]))
 
 
-def windows(shingled: Column, v: int, step: int) -> Column:
-    """(at, band, code) of each window of v shingles at every step-th place, counted from 1."""
+def bands(shingled: Column, v: int, step: int) -> Column:
+    """(band, code, pos) of the windows of v shingles at every step-th place: the least shingle's hash and its place (from 1)."""
     last = F.size(shingled) - (v - 1)
-    places = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.expr("cast(array() as array<int>)"))
-    if v == 1:
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(0).alias("band"), F.get(shingled, i - 1).alias("code")))
-    least = lambda i, b: F.array_min(F.transform(F.slice(shingled, i, v), lambda s: F.xxhash64(s, F.lit(b))))
-    return F.flatten(
-        F.transform(
-            places,
-            lambda i: F.array(
-                *[F.struct(i.alias("at"), F.lit(b).alias("band"), least(i, b).alias("code")) for b in range(BANDS)]
-            ),
-        )
-    )
 
+    def least(i: Column, b: int) -> Column:
+        low = F.array_min(F.transform(F.slice(shingled, i, v), lambda s, j: F.struct(F.xxhash64(s, F.lit(b)).alias("code"), (i + j).alias("pos"))))
+        return F.struct(F.lit(b).alias("band"), low["code"].alias("code"), low["pos"].alias("pos"))
 
-def window_length(n: int) -> int:
-    """The longest window of which any verbatim copy of n shingles holds one at half-length steps."""
-    return next(v for v in (8, 4, 2, 1) if n >= v + max(1, v // 2) - 1)
+    places = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.flatten(F.transform(places, lambda i: F.array(*[least(i, b) for b in range(BANDS)])))
 
 
-def hitting_words(templates: list[tuple[str, list[str]]]) -> list[str]:
-    """Words of which every shingle of every template has one; chosen greedily, longest words first among equals."""
-    open_ = {tuple(w[i : i + min(SHINGLE, len(w))]) for _, w in templates for i in range(max(1, len(w) - SHINGLE + 1))}
-    chosen = []
-    while open_:
-        score: dict[str, int] = {}
-        for s in open_:
-            for w in set(s):
-                score[w] = score.get(w, 0) + len(w)
-        best = max(score, key=lambda w: (len(w) >= 6, score[w], w))
-        chosen.append(best)
-        open_ = {s for s in open_ if best not in s}
-    return chosen
+def hitting_words(known: DataFrame) -> list[str]:
+    """The longest word of each shingle of each template (w): every shared shingle brings one of them."""
+    k = F.least(F.lit(SHINGLE), F.size("w"))
+    longest = _each(
+        F.size("w") - (k - 1), lambda i: F.array_max(F.transform(F.slice("w", i, k), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    )
+    return sorted(r["x"] for r in known.select(F.explode(longest).alias("x")).distinct().collect())
+
+
+def pattern_of(found: list[str]) -> str:
+    """A regular expression for any of the words, told apart by their first characters first."""
+    heads: dict[str, list[str]] = {}
+    for w in found:
+        heads.setdefault(w[:1], []).append(re.escape(w[1:]))
+    any_of = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(heads.items()))
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{any_of})(?![\p{{L}}\p{{N}}])"
+
+
+PLACED = "row long, license string, word int, share double"
+
+
+def _places(texts: DataFrame, known: DataFrame, k: int, v: int, containment: float) -> DataFrame:
+    """Matches (row, license, word, share) of the templates whose shingles have k words and whose windows v shingles."""
+    table = known.filter((F.col("k") == k) & (F.col("v") == v)).select("tid", "license", shingles(F.col("w"), k).alias("t"))
+    table = materialize(table.select("*", F.size("t").alias("n")), "license-templates")
+    coded = table.select("tid", "n", F.explode(bands(F.col("t"), v, 1)).alias("x")).select("tid", "n", "x.band", "x.code", F.col("x.pos").alias("t_pos")).distinct()
+    shingled = texts.select("row", shingles(F.col("w"), k).alias("s")).filter(F.size("s") >= v)
+    seen = shingled.select("row", F.explode(bands(F.col("s"), v, max(1, v // 2))).alias("x")).select("row", "x.band", "x.code", "x.pos")
+    # Votes for each beginning, then the best beginning of each eighth of a template's length.
+    hits = seen.join(coded, ["band", "code"]).groupBy("row", "tid", "n", (F.col("pos") - F.col("t_pos")).alias("start")).agg(
+        F.count(F.lit(1)).alias("votes")
+    )
+    step = F.greatest(F.lit(1), F.expr("n div 8"))
+    best = hits.groupBy("row", "tid", "n", F.floor(F.col("start") / step).alias("bin")).agg(
+        F.max_by("start", F.struct("votes", -F.col("start"))).alias("start"), F.sum("votes").alias("votes")
+    )
+    lists = best.groupBy("row").agg(F.collect_list(F.struct("tid", "n", "start", "votes")).alias("places"))
+    slack = lambda p: F.floor(p["n"] / 4).cast("int")
+    first = lambda p: F.greatest(F.lit(0), p["start"] - slack(p)).cast("int")
+    around = lambda p: F.slice("s", first(p) + 1, F.greatest(F.lit(0), p["start"] + p["n"] + slack(p) - first(p)).cast("int"))
+    read = shingled.join(lists, "row").select(
+        "row", F.explode(F.transform("places", lambda p: F.struct(p["tid"].alias("tid"), p["start"].alias("start"), p["votes"].alias("votes"), around(p).alias("here")))).alias("p")
+    )
+    share = F.size(F.array_intersect("t", "here")) / F.size(F.array_distinct("t"))
+    checked = read.select("row", "p.*").join(table, "tid").select("row", "license", "n", "start", "votes", share.alias("share"))
+    checked = checked.filter(F.col("share") >= containment)
+    in_order = Window.partitionBy("row", "license").orderBy("start")
+    apart = F.col("start") - F.lag("start").over(in_order) >= F.greatest(F.lit(1), F.expr("n div 2"))
+    placed = checked.withColumn("place", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("place", F.sum("place").over(in_order))
+    return placed.groupBy("row", "license", "place").agg(
+        F.greatest(F.lit(0), F.max_by("start", F.struct("share", "votes", -F.col("start")))).cast("int").alias("word"), F.max("share").alias("share")
+    ).drop("place")
+
+
+def _scanned(docs: DataFrame, templates: DataFrame, containment: float) -> tuple[DataFrame, DataFrame]:
+    """All rows of docs as (row, doc_id), numbered, and the matches by row."""
+    spark = docs.sparkSession
+    known = templates.select(F.col("license").cast("string").alias("license"), words(text_or_empty()).alias("w")).filter(F.size("w") > 0)
+    known = known.groupBy("license", "w").agg(F.first(F.least(F.lit(SHINGLE), F.size("w"))).alias("k"))
+    n = F.size("w") - F.col("k") + 1
+    v = F.coalesce(*[F.when(n >= x + max(1, x // 2) - 1, F.lit(x)) for x in LENGTHS])
+    known = materialize(known.select(F.monotonically_increasing_id().alias("tid"), "license", "w", "k", v.alias("v")), "license-words")
+    found = hitting_words(known)
+    text = F.lower(text_or_empty())
+    w = F.when(text.rlike(pattern_of(found)), words(text_or_empty())) if found else F.lit(None).cast("array<string>")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")), "license-rows")
+    places = spark.createDataFrame([], PLACED)
+    for r in known.select("k", "v").distinct().orderBy("k", "v").collect():  # at most SHINGLE and one for each further length
+        places = places.unionByName(_places(rows.filter("w IS NOT NULL"), known, r["k"], r["v"], containment))
+    return rows.select("row", "doc_id"), places
 
 
 def find_licenses(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Matches (doc_id, license, word, share): the first word's place (from 0) and the template's share found there.
 
     A match needs `containment` of the template's distinct shingles within the place that the
-    retrieved window gives it, with a quarter of its length to spare on both sides; of places of
-    a license less than half a template apart the best is returned. Templates (license, text) without words match nothing, null texts are empty,
-    templates of equal words share their matches. At most MAX_TEMPLATE_WORDS words of templates
-    are taken: a longer list has to be split by the caller.
+    retrieved windows give it, with a quarter of its length to spare on both sides; of places of
+    a license less than half a template apart the best is returned. Templates (license, text) of
+    one name are alternatives; those without words match nothing, and templates of equal words share
+    their matches. Null texts are empty. Rows that repeat an id, or have none, are texts of their own.
     """
-    spark = docs.sparkSession
-    known = [(r["license"], r["w"]) for r in templates.select("license", words(text_or_empty()).alias("w")).collect()]
-    known = [(name, w) for name, w in known if w]
-    if sum(len(w) for _, w in known) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
-    empty = spark.createDataFrame([], "doc_id long, license string, word int, share double")
-    if not known:
-        return empty
-    words_met = "|".join(re.escape(w) for w in sorted(hitting_words(known)))
-    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])({words_met})(?![\p{{L}}\p{{N}}])"
-    candidates = docs.select("doc_id", text_or_empty().alias("text")).filter(F.col("text").rlike(pattern))
-    candidates = materialize(candidates.select("doc_id", words(F.col("text")).alias("w")), "license-candidates")
-    groups: dict[tuple[int, int], list[tuple[str, list[str]]]] = {}
-    for name, w in known:
-        k = min(SHINGLE, len(w))
-        groups.setdefault((k, window_length(len(w) - k + 1)), []).append((name, w))
-    found = empty
-    for (k, v), members in sorted(groups.items()):
-        table = spark.createDataFrame(members, "license string, w array<string>").select("license", shingles(F.col("w"), k).alias("t"))
-        bands = (
-            table.select("license", "t", F.explode(windows(F.col("t"), v, 1)).alias("x"))
-            .select("license", "t", F.col("x.at").alias("t_at"), F.col("x.band").alias("band"), F.col("x.code").alias("code"))
-            .dropDuplicates(["license", "t_at", "band", "code"])
-        )
-        codes = [r["code"] for r in bands.select("code").collect()]
-        longest = max(len(w) - k + 1 for _, w in members)
-        reach = longest + longest // 4
-        shingled = candidates.select("doc_id", shingles(F.col("w"), k).alias("s")).filter(F.size("s") > 0)
-        hits = F.filter(windows(F.col("s"), v, max(1, v // 2)), lambda x: x["code"].isin(codes))
-        near = shingled.select("doc_id", "s", F.explode(hits).alias("x")).select(
-            "doc_id",
-            F.col("x.at").alias("at"),
-            F.col("x.band").alias("band"),
-            F.col("x.code").alias("code"),
-            F.greatest(F.lit(1), F.col("x.at") - reach).alias("from"),
-            F.expr(f"slice(s, greatest(1, x.at - {reach}), {2 * reach + v})").alias("around"),
-        )
-        placed = near.join(bands, ["band", "code"])
-        start = F.col("at") - F.col("t_at") + 1
-        slack = F.expr("size(t) div 4")
-        first = F.greatest(F.lit(1), start - slack - F.col("from") + 1)
-        length = F.greatest(F.lit(0), start + F.size("t") + slack - F.col("from") - first + 1)
-        here = F.slice("around", first, length)
-        share = F.size(F.array_intersect(F.array_distinct("t"), here)) / F.size(F.array_distinct("t"))
-        checked = placed.select("doc_id", "license", start.alias("start"), share.alias("share"), F.size("t").alias("n")).filter(
-            F.col("share") >= containment
-        )
-        # Windows that share a band by a shingle alone place the template a little off: most bands name the right place.
-        voted = checked.groupBy("doc_id", "license", "start", "n").agg(F.max("share").alias("share"), F.count(F.lit(1)).alias("votes"))
-        in_order = Window.partitionBy("doc_id", "license").orderBy("start", "n")
-        apart = F.col("start") - F.lag("start").over(in_order) >= F.greatest(F.lit(1), F.expr("n div 2"))
-        placed = voted.withColumn("place", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("place", F.sum("place").over(in_order))
-        best = placed.groupBy("doc_id", "license", "place").agg(
-            F.max_by("start", F.struct("share", "votes", -F.col("start"))).alias("start"), F.max("share").alias("share")
-        )
-        found = found.unionByName(
-            best.select("doc_id", "license", F.greatest(F.lit(0), F.col("start") - 1).cast("int").alias("word"), "share")
-        )
-    return found
+    rows, places = _scanned(docs, templates, containment)
+    return places.join(rows, "row").select("doc_id", "license", "word", "share")
 
 
 def license_report(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_matches, licenses (sorted, comma-joined), share (best); rows of one id share it."""
-    by_doc = (
-        find_licenses(docs, templates)
-        .groupBy("doc_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"),
-            F.max("share").alias("best"),
-        )
-        .withColumnRenamed("doc_id", "__id")
+    """One row per input row: doc_id, n_matches, licenses (sorted, comma-joined), share (of the best match, 0 without).
+
+    Each row is judged by its own text, whatever its id; null and empty texts have no match; an
+    empty table gives no rows; columns other than doc_id and text are not looked at.
+    """
+    rows, places = _scanned(docs, templates, CONTAINMENT)
+    by_row = places.groupBy("row").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.max("share").alias("best")
     )
-    rows = docs.select("doc_id")
-    return rows.join(by_doc, rows["doc_id"] == by_doc["__id"], "left").select(
+    return rows.join(by_row, "row", "left").select(
         "doc_id",
         F.coalesce("n", F.lit(0)).alias("n_matches"),
         F.coalesce("names", F.lit("")).alias("licenses"),
         F.coalesce("best", F.lit(0.0)).alias("share"),
     )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Every place that shares a shingle with a template, tested exactly.
+ORACLE = rf"""
+WITH t0 AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(x)})" for n, x in LICENSES)}) v(license, text)),
+t1 AS (SELECT license, w, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS n FROM t0),
+t AS (SELECT license, k, n, j, array_to_string(w[j : j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM t1)),
+d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT row, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t1))),
+m AS (SELECT s.row, t.license, t.n, s.i, t.j, s.g FROM s JOIN t ON s.k = t.k AND s.g = t.g),
+z AS (SELECT license, count(DISTINCT g) AS size FROM t GROUP BY license),
+a AS (SELECT DISTINCT row, license, n, i - j AS start FROM m),
+h AS (SELECT a.row, a.license, a.n, a.start, count(DISTINCT m.g) / CAST(any_value(z.size) AS DOUBLE) AS share
+  FROM a JOIN m ON m.row = a.row AND m.license = a.license AND m.i > a.start - a.n // 4 AND m.i <= a.start + a.n + a.n // 4
+  JOIN z ON z.license = a.license GROUP BY ALL HAVING share >= 0.8),
+c AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY row, license ORDER BY start) < greatest(1, n // 2) THEN 0 ELSE 1 END AS fresh FROM h),
+r AS (SELECT row, sum(fresh) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names, max(share) AS best FROM c GROUP BY row)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, coalesce(best, CAST(0 AS DOUBLE)) AS share
+FROM d LEFT JOIN r ON r.row = d.row
+"""
