@@ -1,28 +1,33 @@
 """Secret scanning: three fixed patterns plus character Markov models.
 
 The models are two first-order character chains, one for random strings and one for
-ordinary identifiers, fitted on labelled samples. A run of token characters is reported
-when the log-likelihood ratio of the two chains exceeds a threshold. Everything is a
-column expression: positions come from the lengths of the gaps and the matches.
+ordinary identifiers, fitted on labelled samples: what the fixed patterns found and strings
+drawn at random against other long tokens and identifiers made of the corpus's words. A run of
+token characters is reported when the log-likelihood ratio of the two chains exceeds a
+threshold. Everything is a column expression: texts are read once, for the spans of patterns and
+long tokens; samples and scores come from those.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, running, text_or_empty
 
 # The kinds in order, their patterns, the group measured and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
-HEX = r"[0-9a-f]{16,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0 stands for the ends of a token
+THRESHOLD = 12.0  # nats
+#: Bounds of the samples: corpus values of each label, and strings drawn at random.
+SAMPLE, DRAWN = 20_000, 5_000
 
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 
@@ -32,23 +37,7 @@ def spans_of(text: Column, pattern: str, kind: str, rank: int, group: int = 0, l
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(found)),
-        found,
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")),
-    )
-    ends = F.aggregate(
-        steps,
-        F.expr("cast(array() as array<bigint>)"),
-        lambda done, step: F.concat(
-            done,
-            F.array(
-                F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("bigint"))
-                + step["gap"].cast("bigint")
-                + step["hit"].cast("bigint")
-            ),
-        ),
-    )
+    ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, hit: F.length(gap) + F.length(hit)))
     located = F.zip_with(
         F.arrays_zip(ends.alias("end"), found.alias("found")),
         values,
@@ -75,32 +64,62 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def labelled_samples(docs: DataFrame, limit: int = 20_000) -> DataFrame:
-    """(value, random): what the fixed patterns found against other long tokens of the same corpus.
+def located(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, base (spans of the patterns), tokens (long runs of token characters that
+    touch none of them), and `name`, three neighbouring words of the text joined into an identifier ("" if it has none).
 
-    At most `limit` distinct values of each label, the first in the order of their hash, so
-    the sample is a uniform and reproducible one of all documents.
+    Written to the shared folder, so texts are read once.
     """
-    scanned = docs.select(text_or_empty().alias("text"))
-    hits = F.transform(base_spans(F.col("text")), lambda s: s["value"])
-    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    values = scanned.select(hits.alias("hits"), tokens.alias("tokens")).select(
-        F.explode(
-            F.concat(
-                F.transform("hits", lambda v: F.struct(v.alias("value"), F.lit(True).alias("random"))),
-                F.transform(
-                    F.filter("tokens", lambda t: ~F.exists("hits", lambda h: t.contains(h) | h.contains(t))),
-                    lambda v: F.struct(v.alias("value"), F.lit(False).alias("random")),
-                ),
-            )
-        ).alias("s")
+    text = F.col("text")
+    three = F.split(F.regexp_extract(text, "(?<![A-Za-z])[A-Za-z]{4,} [A-Za-z]{4,} [A-Za-z]{4,}", 0), " ")
+    style = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    name = (
+        F.when(style == 0, F.array_join(three, "_"))
+        .when(style == 1, F.upper(F.array_join(three, "_")))
+        .when(style == 2, F.upper(F.array_join(three, "")))
+        .otherwise(F.array_join(F.transform(three, F.initcap), ""))
     )
-    ordered = values.select("s.value", "s.random").withColumn("order", F.xxhash64("value"))
-    return (
-        ordered.filter("random").distinct().orderBy("order", "value").limit(limit)
-        .unionByName(ordered.filter("NOT random").distinct().orderBy("order", "value").limit(limit))
-        .drop("order")
-    )
+    found = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", base_spans(text).alias("base"), name.alias("name"))
+    free = F.filter(spans_of(text, TOKEN, "model", 3), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return materialize(found.select("doc_id", "base", free.alias("tokens"), "name"), "secret-spans")
+
+
+def drawn(spark: SparkSession, n: int = DRAWN) -> DataFrame:
+    """n strings (value) of 20 to 43 characters at random: base64, hexadecimal, or capitals and digits; the same each time."""
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    coded = F.base64(F.unhex(digest))
+    kind = F.col("id") % 3
+    value = F.when(kind == 0, coded).when(kind == 1, digest).otherwise(F.upper(F.regexp_replace(coded, "[+/=]", "")))
+    return spark.range(n).select(F.substring(value, F.lit(1), (20 + F.col("id") % 24).cast("int")).alias("value"))
+
+
+def labelled_samples(spans: DataFrame, limit: int = SAMPLE, n_drawn: int = DRAWN) -> DataFrame:
+    """(value, random, sure) from `located` spans: pattern hits and drawn strings against identifiers made of
+    words, and other long tokens, which are not sure to be ordinary.
+
+    Of the corpus at most `limit` distinct values of each of these kinds, the first in the order of their
+    hash, so the sample is a uniform and reproducible one of all documents.
+    """
+    sample = lambda v, random, sure: F.struct(v.alias("value"), F.lit(random).alias("random"), F.lit(sure).alias("sure"))
+    hits = F.transform("base", lambda s: sample(s["value"], True, True))
+    rest = F.transform("tokens", lambda s: sample(s["value"], False, False))
+    names = F.transform(F.filter(F.array("name"), lambda v: v != ""), lambda v: sample(v, False, True))
+    values = spans.select(F.explode(F.concat(hits, rest, names)).alias("s")).select("s.*").withColumn("order", F.xxhash64("value"))
+    kinds = [(True, True), (False, True), (False, False)]
+    found = drawn(spans.sparkSession, n_drawn).select("value", F.lit(True).alias("random"), F.lit(True).alias("sure"))
+    for random, sure in kinds:
+        kind = values.filter((F.col("random") == random) & (F.col("sure") == sure)).distinct()
+        found = found.unionByName(kind.orderBy("order", "value").limit(limit).drop("order"))
+    return found
+
+
+def fitted(samples: DataFrame) -> list[float]:
+    """The ratios learned from samples: first from the sure ones, then also from the tokens that those call ordinary.
+
+    A token that looks random to them may be a secret that no pattern knows, so it teaches nothing.
+    """
+    first = train(samples.filter("sure"))
+    return train(samples.filter(F.col("sure") | (ratio(F.col("value"), first) <= 0)))
 
 
 def _states(token: Column) -> Column:
@@ -151,23 +170,30 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda total, x: total + x)
 
 
-def scan(docs: DataFrame, table: list[float], threshold: float = 12.0) -> DataFrame:
+def scored(spans: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, base and spans of `located` spans: the model's are the tokens whose ratio exceeds the threshold."""
+    suspects = F.filter("tokens", lambda s: ratio(s["value"], table) > threshold)
+    return spans.select("doc_id", "base", F.array_sort(F.concat("base", suspects)).alias("spans"))
+
+
+def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, base (spans of the patterns) and spans (those and the model's, by start and rank).
 
     A model span is a run of at least 16 token characters whose ratio exceeds `threshold`
     and that touches no base span. Null text counts as empty and has no spans; one row is
-    returned for each input row; other columns are not looked at.
+    returned for each input row, whatever its id; other columns are not looked at.
     """
-    text = F.col("text")
-    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("base", base_spans(text))
-    suspects = F.filter(
-        spans_of(text, TOKEN, "model", 3),
-        lambda s: (ratio(s["value"], table) > threshold)
-        & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return base.withColumn("suspects", suspects).select(
-        "doc_id", "base", F.array_sort(F.concat("base", "suspects")).alias("spans")
-    )
+    return scored(located(docs), table, threshold)
+
+
+def held_out(spans: DataFrame, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """(precision, recall) of the ratio on a fifth of the sure samples, by their hash, learned from the other four."""
+    samples = materialize(labelled_samples(spans).withColumn("fold", F.pmod(F.xxhash64("value", F.lit(5)), F.lit(5))), "secret-samples")
+    table = fitted(samples.filter("fold > 0"))
+    said = samples.filter("fold = 0 AND sure").select("random", (ratio(F.col("value"), table) > threshold).alias("said"))
+    n = {(r["random"], r["said"]): r["count"] for r in said.groupBy("random", "said").count().collect()}
+    right = n.get((True, True), 0)
+    return right / max(1, right + n.get((False, True), 0)), right / max(1, right + n.get((True, False), 0))
 
 
 def digest(spans: Column) -> Column:
@@ -175,7 +201,13 @@ def digest(spans: Column) -> Column:
 
 
 def secrets_report(docs: DataFrame) -> DataFrame:
-    found = scan(docs, train(labelled_samples(docs)))
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    The models learn from these documents' own samples. Null and empty texts have no spans; rows
+    that repeat an id, or have none, are texts of their own; an empty table gives no rows.
+    """
+    spans = located(docs)
+    found = scored(spans, fitted(materialize(labelled_samples(spans), "secret-samples")))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
