@@ -15,6 +15,7 @@ the baseline travel the same way, in buckets by hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,12 +90,12 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
-def block_grams(raw: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct grams of a block and how often training texts have each."""
+def block_grams(raw: np.ndarray, offsets: np.ndarray, train: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of a block and how often training texts have each; `piece` positions are worked on at once."""
     raw, at = closed(raw, offsets)
     keys, counts = [], []
-    for lo in range(0, len(raw), PIECE):
-        hi = min(len(raw), lo + PIECE)
+    for lo in range(0, len(raw), piece):
+        hi = min(len(raw), lo + piece)
         own, index = _distinct(grams(raw, at, lo, hi))
         learned = train[texts_at(at, lo, hi)]
         keys.append(own)
@@ -112,9 +113,11 @@ def block_words(raw: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tupl
 
 
 def split_by(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     sorted_bucket = bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_bucket[1:] != sorted_bucket[:-1]])) if len(bucket) else []
+    first = np.flatnonzero(np.concatenate([[True], sorted_bucket[1:] != sorted_bucket[:-1]]))
     for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
         yield int(sorted_bucket[a]), [x[order[a:b]] for x in arrays]
 
@@ -234,7 +237,7 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, piece: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             raw, offsets = unpack(row)
@@ -242,7 +245,7 @@ def _ask(buckets: int):
             keys, counts, _, _ = block_words(raw, offsets, train)
             parts = split_by(word_bucket(keys, buckets), keys, counts)
             yield _batch([("word", b, row["block"], k.tobytes(), _narrow(c)) for b, (k, c) in parts], ASKED)
-            keys, counts = block_grams(raw, offsets, train)
+            keys, counts = block_grams(raw, offsets, train, piece)
             parts = split_by(gram_bucket(keys, buckets), keys, counts)
             yield _batch([("gram", b, row["block"], k.tobytes(), _narrow(c)) for b, (k, c) in parts], ASKED)
 
@@ -293,7 +296,22 @@ def _answer(top):
     return answer
 
 
-SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SUMS = "node long, zeros double, ones double, children double"
+WORDS = -1  # the node number of the word totals, kept in zeros (tokens) and ones (distinct ones)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a bucket says about depth 0 and 1, or about words, as rows that can be added up."""
+    for row in rows_of(batches):
+        if row["kind"] == "words":
+            n, v = np.frombuffer(row["sums"], np.int64).tolist()
+            nodes, sums = np.array([WORDS]), np.array([[n, v, 0]], float)
+        else:
+            nodes, sums = np.frombuffer(row["known"], np.int64), np.frombuffer(row["sums"], np.float64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], ["node", "zeros", "ones", "children"])
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
 def _in_order(keys: np.ndarray, bucket: np.ndarray, answers: dict[int, bytes], read) -> np.ndarray:
@@ -305,7 +323,7 @@ def _in_order(keys: np.ndarray, bucket: np.ndarray, answers: dict[int, bytes], r
     return out
 
 
-def _score(totals: tuple[int, int], buckets: int):
+def _score(totals: tuple[int, int], buckets: int, piece: int):
     n_all, v_all = totals
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +344,7 @@ def _score(totals: tuple[int, int], buckets: int):
             known = np.bincount(doc, (count[slot] > 0)[index], n) + (count[end] > 0)
 
             text, at_closed = closed(raw, offsets)
-            pieces = [(lo, min(len(text), lo + PIECE)) for lo in range(0, len(text), PIECE)]
+            pieces = [(lo, min(len(text), lo + piece)) for lo in range(0, len(text), piece)]
             seen = [_distinct(grams(text, at_closed, lo, hi)) for lo, hi in pieces]
             keys = np.unique(np.concatenate([k for k, _ in seen]))
             logs = _in_order(keys, gram_bucket(keys, buckets), answers["gram"], lambda a, _: np.frombuffer(a, np.float32))
@@ -341,19 +359,20 @@ def _score(totals: tuple[int, int], buckets: int):
                     pa.array(np.full(n, n_all, np.int64)),
                     pa.array(base),
                     pa.array(total),
+                    pa.array(np.diff(at_closed), pa.int64()),
                 ],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
             )
 
     return score
 
 
-def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000, piece: int = PIECE) -> DataFrame:
     """Scores every row of docs with a tree and word counts learned from the rows where `training` holds.
 
     training is a condition on doc_id. Returns doc_id, n_tokens, n_known, train_tokens,
-    base_score and score. Texts are lower-cased (A-Z); null texts are empty; every text is
-    closed by an end symbol, so an empty one has a score too. A depth whose context training
+    base_score, score (log10) and n_bytes. Texts are lower-cased (A-Z); null texts are empty; every
+    text is closed by an end symbol, counted in n_bytes, so an empty one has a score too. A depth whose context training
     never saw is left out of the mixture. Without training rows all decisions are even.
     Repeated rows count as often as they occur. What a task holds is bounded by the block and
     bucket sizes (one longer text: by that text).
@@ -364,17 +383,15 @@ def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) ->
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     # Blocks send about a third of their bytes as distinct keys and counts.
     buckets = int(max(8, -(-total // (3 * BUCKET_BYTES))))
-    asked = flagged.mapInArrow(_ask(buckets), ASKED)
+    asked = flagged.mapInArrow(_ask(buckets, piece), ASKED)
     owned = materialize(asked.groupBy("kind", "bucket").applyInArrow(_own, OWNED), "ctw-model")
-    sums = [np.frombuffer(r["sums"], np.int64) for r in owned.filter("kind = 'words'").select("sums").toLocalIterator()]
-    totals = tuple(int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    # Buckets' sums are added up as they arrive; what is kept has at most 65,536 nodes.
-    nodes, held = np.zeros(0, np.int64), np.zeros((0, 3))
-    for r in owned.filter("kind = 'top'").select("known", "sums").toLocalIterator():
-        every = np.concatenate([nodes, np.frombuffer(r["known"], np.int64)])
-        values = np.concatenate([held, np.frombuffer(r["sums"], np.float64).reshape(-1, 3)])
-        nodes, inverse = np.unique(every, return_inverse=True)
-        held = np.stack([np.bincount(inverse, values[:, j], len(nodes)) for j in range(3)], 1)
+    # At most 65,536 nodes and one row for the words, whatever the corpus.
+    added = (
+        owned.filter("kind IN ('words', 'top')").mapInArrow(_sums, SUMS).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).toArrow()
+    )
+    node, sums = added["node"].to_numpy(), np.stack([added[c].to_numpy() for c in ("zeros", "ones", "children")], 1).reshape(-1, 3)
+    totals = tuple(int(x) for x in sums[node == WORDS, :2].sum(0))
+    nodes, held = node[node >= 0], sums[node >= 0]
     top = spark.sparkContext.broadcast((nodes, held))
     answers = (
         owned.filter("kind IN ('word', 'gram')")
@@ -382,14 +399,19 @@ def score_documents(docs: DataFrame, training, block_bytes: int = 8_000_000) ->
         .groupBy("block")
         .agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
     )
-    return blocks.join(answers, "block").mapInArrow(_score(totals, buckets), SCORES)
+    return blocks.join(answers, "block").mapInArrow(_score(totals, buckets, piece), SCORES)
 
 
 def language_model_report(docs: DataFrame) -> DataFrame:
-    """Scores learned from the documents whose id's crc32 modulo 10 is not 0; the others are held out."""
+    """Scores learned from the documents whose id's crc32 modulo 10 is not 0; the others are held out.
+
+    One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of
+    the text's probability), bits_per_byte (its code length for each byte and the end). A null id
+    counts as the empty text in the split; rows that repeat an id are texts of their own; an empty
+    table gives no rows; columns other than doc_id and text are not looked at.
+    """
     scored = score_documents(docs, lambda i: F.crc32(F.coalesce(i.cast("string"), F.lit("")).cast("binary")) % 10 != 0)
+    bits = -F.col("score") / math.log10(2) / F.col("n_bytes")
     return scored.select(
-        "doc_id", (doc_bucket(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", (doc_bucket(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte")
     )
-
-
