@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,14 @@ from .words import text_bytes
 SCHEMA = "block string, ids array<long>, sizes array<long>, n_bytes long, data binary"
 
 
+def pressed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def opened(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def make_blocks(docs: DataFrame, block_bytes: int = 8_000_000, name: str = "blocks") -> DataFrame:
     """docs (doc_id, text) as blocks of about `block_bytes` of text, or one longer document.
 
@@ -30,7 +37,6 @@ def make_blocks(docs: DataFrame, block_bytes: int = 8_000_000, name: str = "bloc
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pressed = zstandard.ZstdCompressor(level=3)
         ids: list = []
         sizes: list = []
         texts: list = []
@@ -38,7 +44,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = 8_000_000, name: str = "bloc
 
         def flush():
             data = b"".join(texts)
-            row = {"block": uuid.uuid4().hex, "ids": list(ids), "sizes": list(sizes), "n_bytes": len(data), "data": pressed.compress(data)}
+            row = {"block": uuid.uuid4().hex, "ids": list(ids), "sizes": list(sizes), "n_bytes": len(data), "data": pressed(data)}
             ids.clear(), sizes.clear(), texts.clear()
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
@@ -78,8 +84,7 @@ ARROW = pa.schema(
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and the n + 1 offsets of a block's texts."""
     offsets = np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))]).astype(np.int64)
-    data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(offsets[-1])))
-    return np.frombuffer(data, np.uint8), offsets
+    return np.frombuffer(opened(row["data"], int(offsets[-1])), np.uint8), offsets
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -14,7 +14,8 @@ around anchors that occur in more than one document:
    whose left extensions differ are the maximal repeats, each with all its contexts.
 4. Occurrences in other documents than the one with the least doc_id are removed.
 
-Repeats longer than a context come out as overlapping pieces, one for each anchor in them.
+Repeats longer than a context come out as overlapping pieces, one for each anchor in them;
+`repeat_groups` puts them together.
 An anchor that very many blocks share is dealt by the strings through it, not by its hash.
 """
 
@@ -25,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import make_blocks, rows_of, unpack
+from .blocks import make_blocks, opened, pressed, rows_of, unpack
 from .common import materialize
 from .words import _VALUE, mixed, powers
 
@@ -91,21 +91,28 @@ def _digests(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def _hash_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((codes >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    """Anchors are least hashes, so their leading bits are mostly 0; mixed once more they fill all buckets evenly."""
+    return ((mixed(codes + U(7)) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
 def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     held = bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else []
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
     for a, b in zip(first, [*first[1:], len(held)], strict=True):
         yield int(held[a]), order[a:b]
 
 
-ASKED = "kind string, bucket long, block string, keys binary, docs binary"
-REPEATS = "block string, kind string, bucket long, answer binary"
+NAMES = "block string, digest binary, doc long"
+ASKED = "bucket long, block string, keys binary, twice binary"
+REPEATS = "block string, bucket long, answer binary"
 CONTEXTS = "bucket long, block string, rows binary, left binary, right binary, docs binary"
 COVER = "block string, bucket long, answer binary"
+GROUPS = "block string, bucket long, answer binary"
+#: A context's part in a repeat: its number among those that the block sent to the bucket, where the repeat starts in it, its length and name.
+PART = np.dtype([("context", np.int32), ("start", np.uint8), ("length", np.uint8), ("repeat", np.int64)])
 
 
 def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
@@ -134,6 +141,16 @@ class Block:
         return out
 
 
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct text of a block once, with its least doc_id there."""
+    for row in rows_of(batches):
+        raw, offsets = unpack(row)
+        least: dict[bytes, int] = {}
+        for digest, doc in zip(_digests(raw, offsets), _doc_ids(row).tolist(), strict=True):
+            least[digest] = min(doc, least.get(digest, LAST))
+        yield _batch([(row["block"], digest, doc) for digest, doc in least.items()], NAMES)
+
+
 def _ask(buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -143,11 +160,9 @@ def _ask(buckets: int):
             for bucket, at in _groups(_hash_bucket(b.codes, buckets)):
                 code = b.codes[at]
                 keys = code.astype(np.uint32).tobytes() + ((code >> U(32)).astype(np.uint16)).tobytes()
-                out.append(("anchor", bucket, row["block"], keys, np.packbits(twice[at]).tobytes()))
-            names = np.array([int.from_bytes(d[:4], "little") for d in b.digests], np.int64) % buckets
-            for bucket, at in _groups(names):
-                out.append(("text", bucket, row["block"], b"".join(b.digests[i] for i in at), b.docs[at].tobytes()))
-            yield _batch(out, ASKED)
+                out.append((bucket, row["block"], keys, np.packbits(twice[at]).tobytes()))
+            if out:
+                yield _batch(out, ASKED)
 
     return ask
 
@@ -159,29 +174,19 @@ def _keys(data: bytes) -> np.ndarray:
 
 def _repeats(hot_blocks: int):
     def repeats(table: pa.Table) -> pa.Table:
-        """anchor: which hashes occur in more than one document, and which in very many blocks. text: least doc_id."""
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        blocks, keys, docs = (table[c].to_pylist() for c in ("block", "keys", "docs"))
+        """Which hashes occur in more than one document, and which in very many blocks."""
+        bucket = table["bucket"][0].as_py()
+        blocks, twice = table["block"].to_pylist(), table["twice"].to_pylist()
+        codes = [_keys(k) for k in table["keys"].to_pylist()]
+        every = np.concatenate(codes)
+        known, n = np.unique(every, return_counts=True)
+        flags = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=len(c)) for d, c in zip(twice, codes, strict=True)])
+        repeated = (n > 1) | (np.bincount(np.searchsorted(known, every), flags, len(known)) > 0)
+        hot = n > hot_blocks
         out = []
-        if kind == "text":
-            least: dict[bytes, int] = {}
-            for k, d in zip(keys, docs, strict=True):
-                for i, doc in enumerate(np.frombuffer(d, np.int64).tolist()):
-                    name = k[16 * i : 16 * i + 16]
-                    least[name] = min(doc, least.get(name, LAST))
-            for block, k in zip(blocks, keys, strict=True):
-                found = np.array([least[k[i : i + 16]] for i in range(0, len(k), 16)], np.int64)
-                out.append((block, kind, bucket, found.tobytes()))
-        else:
-            codes = [_keys(k) for k in keys]
-            known, first, n = np.unique(np.concatenate(codes), return_index=True, return_counts=True)
-            flags = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=len(c)) for d, c in zip(docs, codes, strict=True)])
-            every = np.concatenate(codes)
-            repeated = (n > 1) | (np.bincount(np.searchsorted(known, every), flags, len(known)) > 0)
-            hot = n > hot_blocks
-            for block, c in zip(blocks, codes, strict=True):
-                slot = np.searchsorted(known, c)
-                out.append((block, kind, bucket, np.packbits(np.stack([repeated[slot], hot[slot]])).tobytes()))
+        for block, c in zip(blocks, codes, strict=True):
+            slot = np.searchsorted(known, c)
+            out.append((block, bucket, np.packbits(np.stack([repeated[slot], hot[slot]])).tobytes()))
         return pa.Table.from_batches([_batch(out, REPEATS)])
 
     return repeats
@@ -192,14 +197,15 @@ class Shared:
 
     def __init__(self, row: dict, buckets: int, context_buckets: int):
         b = self.block = Block(row)
-        told = {(a["kind"], a["bucket"]): a["answer"] for a in row["repeats"]}
+        told = {a["bucket"]: a["answer"] for a in row["repeats"] or []}
         flags = np.zeros((2, len(b.codes)), bool)
         for bucket, at in _groups(_hash_bucket(b.codes, buckets)):
-            flags[:, at] = np.unpackbits(np.frombuffer(told["anchor", bucket], np.uint8), count=2 * len(at)).reshape(2, -1)
-        least = np.zeros(len(b.docs), np.int64)
-        names = np.array([int.from_bytes(d[:4], "little") for d in b.digests], np.int64) % buckets
-        for bucket, at in _groups(names):
-            least[at] = np.frombuffer(told["text", bucket], np.int64)
+            flags[:, at] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=2 * len(at)).reshape(2, -1)
+        # The least doc_id of each text: another block's, where that is smaller than all of this one's.
+        first = {bytes(c["digest"]): c["least"] for c in row["copies"] or []}
+        for digest, doc in zip(b.digests, b.docs.tolist(), strict=True):
+            first[digest] = min(doc, first.get(digest, LAST))
+        least = np.array([first[d] for d in b.digests], np.int64)
         sizes = np.diff(b.offsets)
         self.whole = (least < b.docs) & (sizes >= MIN_LENGTH)  # copies of a text with a smaller doc_id
         # One row stands for rows that repeat id and text.
@@ -265,7 +271,6 @@ def sort_contexts(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tupl
 
 def _send(buckets: int, context_buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pressed = zstandard.ZstdCompressor(level=3)
         for row in rows_of(batches):
             s = Shared(row, buckets, context_buckets)
             out = []
@@ -274,7 +279,7 @@ def _send(buckets: int, context_buckets: int):
                     (
                         bucket,
                         row["block"],
-                        pressed.compress(np.ascontiguousarray(s.rows[at].T).tobytes()),
+                        pressed(np.ascontiguousarray(s.rows[at].T).tobytes()),
                         s.sent_left[at].astype(np.uint8).tobytes(),
                         s.sent_right[at].astype(np.uint8).tobytes(),
                         s.least[at].tobytes(),
@@ -352,29 +357,75 @@ def maximal_repeats(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> It
                     yield start, length, here[a + first : a + last + 1]
 
 
+class Gathered:
+    """All contexts that blocks sent to one bucket, and the distinct ones in suffix order."""
+
+    def __init__(self, table: pa.Table):
+        self.bucket, self.blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
+        lefts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table["left"].to_pylist()]
+        self.sizes = [len(x) for x in lefts]
+        rows = np.concatenate(
+            [
+                np.frombuffer(opened(x, WIDTH * n), np.uint8).reshape(WIDTH, n).T
+                for x, n in zip(table["rows"].to_pylist(), self.sizes, strict=True)
+            ]
+        )
+        self.left = np.concatenate(lefts)
+        self.right = np.concatenate([np.frombuffer(x, np.uint8).astype(np.int64) for x in table["right"].to_pylist()])
+        self.docs = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
+        order, new = sort_contexts(rows, self.left, self.right)
+        self.kind = np.empty(len(rows), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.d_rows, self.d_left, self.d_right = np.ascontiguousarray(rows[first]), self.left[first], self.right[first]
+
+
+def _groups_of(table: pa.Table) -> pa.Table:
+    """To each block: which of its contexts are part of which maximal repeat, and where.
+
+    A context counts as a repeat of its own, since many documents may have it whole.
+    """
+    g = Gathered(table)
+    n = len(g.d_rows)
+    found = [(np.arange(n), LEFT - g.d_left, g.d_left + g.d_right)]
+    for start, length, members in maximal_repeats(g.d_rows, g.d_left, g.d_right):
+        found.append((members, np.full(len(members), start), np.full(len(members), length)))
+    kinds, starts, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
+    name = lambda k, a, m: int.from_bytes(hashlib.blake2b(g.d_rows[k, a : a + m].tobytes(), digest_size=8).digest(), "little", signed=True)
+    names = np.array([name(k, a, m) for k, a, m in zip(kinds, starts, lengths, strict=True)], np.int64)
+    # All places of a piece are here only if the anchor is that of a string within the piece.
+    _, some, which = np.unique(np.stack([names, starts], 1), axis=0, return_index=True, return_inverse=True)
+    texts = [g.d_rows[kinds[i], starts[i] : starts[i] + lengths[i]] for i in some]
+    edges = np.cumsum([0, *map(len, texts)])
+    position, _ = anchors(np.concatenate(texts), edges)
+    owner = np.searchsorted(edges, position, "right") - 1
+    own = np.zeros(len(some), bool)
+    own[owner[position - edges[owner] == LEFT - starts[some][owner]]] = True
+    keep = own[which.ravel()]
+    kinds, starts, lengths, names = kinds[keep], starts[keep], lengths[keep], names[keep]
+    order = np.argsort(kinds, kind="stable")
+    at = np.searchsorted(kinds[order], np.arange(n + 1))
+    out, lo = [], 0
+    for block, size in zip(g.blocks, g.sizes, strict=True):
+        mine = g.kind[lo : lo + size]
+        lo += size
+        times = at[mine + 1] - at[mine]
+        which = order[np.repeat(at[mine] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        part = np.empty(len(which), PART)
+        part["context"], part["start"], part["length"], part["repeat"] = np.repeat(np.arange(size), times), starts[which], lengths[which], names[which]
+        out.append((block, g.bucket, part.tobytes()))
+    return pa.Table.from_batches([_batch(out, GROUPS)])
+
+
 def _cover(table: pa.Table) -> pa.Table:
     """For each context that a block sent, which of its bytes another, smaller document has too."""
-    opened = zstandard.ZstdDecompressor()
-    bucket = table["bucket"][0].as_py()
-    lefts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table["left"].to_pylist()]
-    sizes = [len(x) for x in lefts]
-    rows = np.concatenate(
-        [
-            np.frombuffer(opened.decompress(x, max_output_size=WIDTH * n), np.uint8).reshape(WIDTH, n).T
-            for x, n in zip(table["rows"].to_pylist(), sizes, strict=True)
-        ]
-    )
-    left = np.concatenate(lefts)
-    right = np.concatenate([np.frombuffer(x, np.uint8).astype(np.int64) for x in table["right"].to_pylist()])
-    docs = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
-    order, new = sort_contexts(rows, left, right)
-    kind = np.empty(len(rows), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    first = order[new]
+    g = Gathered(table)
+    bucket, sizes, kind, docs, left, right = g.bucket, g.sizes, g.kind, g.docs, g.left, g.right
+    d_rows, d_left, d_right = g.d_rows, g.d_left, g.d_right
+    first = np.arange(len(d_rows))
     least = np.full(len(first), LAST)
     np.minimum.at(least, kind, docs)
     lo, hi = np.full(len(first), WIDTH), np.zeros(len(first), np.int64)
-    d_rows, d_left, d_right = np.ascontiguousarray(rows[first]), left[first], right[first]
     for start, length, members in maximal_repeats(d_rows, d_left, d_right):
         later = members[least[members] > least[members].min()]
         lo[later] = np.minimum(lo[later], start)
@@ -386,7 +437,7 @@ def _cover(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *sizes])
     out = [
         (block, bucket, np.stack([out_lo[a:b], out_hi[a:b]]).tobytes())
-        for block, a, b in zip(table["block"].to_pylist(), cuts[:-1], cuts[1:], strict=True)
+        for block, a, b in zip(g.blocks, cuts[:-1], cuts[1:], strict=True)
     ]
     return pa.Table.from_batches([_batch(out, COVER)])
 
@@ -451,6 +502,63 @@ def _rows_out(row: dict, b: Block, gone: np.ndarray, texts: bool) -> pa.RecordBa
     )
 
 
+OCCURRENCES = "repeat long, length long, doc_id long, start long"
+
+
+def _occurrences(buckets: int, context_buckets: int):
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every place at which a document of the block has a repeat."""
+        for row in rows_of(batches):
+            s = Shared(row, buckets, context_buckets)
+            told = {a["bucket"]: np.frombuffer(a["answer"], PART) for a in row["groups"] or []}
+            by_kind = np.argsort(s.kind, kind="stable")
+            at = np.searchsorted(s.kind[by_kind], np.arange(len(s.least) + 1))
+            for bucket, sent in _groups(s.bucket):
+                part = told[bucket]
+                kind = sent[part["context"]]
+                times = at[kind + 1] - at[kind]
+                place = by_kind[np.repeat(at[kind] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                doc = s.doc[place]
+                start = s.position[place] - s.block.offsets[doc] - LEFT + np.repeat(part["start"].astype(np.int64), times)
+                ids = s.block.docs[doc]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part["repeat"], times)),
+                        pa.array(np.repeat(part["length"].astype(np.int64), times)),
+                        pa.array(ids, pa.int64(), mask=ids == LAST),
+                        pa.array(start),
+                    ],
+                    ["repeat", "length", "doc_id", "start"],
+                )
+
+    return occurrences
+
+
+class Sharded:
+    """Text blocks that know which of their anchors repeat, and the contexts that they send."""
+
+    def __init__(self, docs: DataFrame, block_bytes: int, hot_blocks: int):
+        blocks = make_blocks(docs.select("doc_id", "text"), block_bytes, "suffix-blocks")
+        total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+        # About 0.41 bytes of hashes and, where a sixth of all anchors repeat, 0.8 bytes of contexts for each byte of text.
+        buckets = int(max(12, -(-total * 41 // (100 * HASH_BYTES))))
+        context_buckets = int(max(12, -(-total * 8 // (10 * CONTEXT_BYTES))))
+        self.dealt = buckets, context_buckets
+        names = materialize(blocks.mapInArrow(_name, NAMES), "suffix-names")
+        least = names.groupBy("digest").agg(F.min("doc").alias("least"))
+        copies = names.join(least, "digest").filter("least < doc").groupBy("block").agg(F.collect_list(F.struct("digest", "least")).alias("copies"))
+        repeats = blocks.mapInArrow(_ask(buckets), ASKED).groupBy("bucket").applyInArrow(_repeats(hot_blocks), REPEATS)
+        repeats = repeats.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("repeats"))
+        told = blocks.join(materialize(repeats, "suffix-repeats"), "block", "left")
+        self.told = told.join(materialize(copies, "suffix-copies"), "block", "left")
+        self.sent = self.told.mapInArrow(_send(*self.dealt), CONTEXTS)
+
+    def answered(self, work, fields: str, name: str) -> DataFrame:
+        """The blocks with what the buckets' work on all contexts has for them, as the list `name`."""
+        found = self.sent.groupBy("bucket").applyInArrow(work, fields).groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+        return self.told.join(materialize(found, f"suffix-{name}"), "block", "left")
+
+
 def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = 3_000_000, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, spans.
 
@@ -460,26 +568,63 @@ def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = 3_000
     Null texts are empty; a null doc_id comes after all others; repeats within a document stay;
     rows that repeat an id are one document whose texts don't remove each other.
     """
-    blocks = make_blocks(docs.select("doc_id", "text"), block_bytes, "suffix-blocks")
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    # About 0.41 bytes of hashes and, where a sixth of all anchors repeat, 0.8 bytes of contexts for each byte of text.
-    buckets = int(max(12, -(-total * 41 // (100 * HASH_BYTES))))
-    context_buckets = int(max(12, -(-total * 8 // (10 * CONTEXT_BYTES))))
-    asked = blocks.mapInArrow(_ask(buckets), ASKED)
-    repeats = asked.groupBy("kind", "bucket").applyInArrow(_repeats(hot_blocks), REPEATS).groupBy("block").agg(
-        F.collect_list(F.struct("kind", "bucket", "answer")).alias("repeats")
-    )
-    told = blocks.join(materialize(repeats, "suffix-repeats"), "block")
-    sent = told.mapInArrow(_send(buckets, context_buckets), CONTEXTS)
-    cover = sent.groupBy("bucket").applyInArrow(_cover, COVER).groupBy("block").agg(
-        F.collect_list(F.struct("bucket", "answer")).alias("cover")
-    )
-    return told.join(materialize(cover, "suffix-cover"), "block", "left").mapInArrow(
-        _remove(buckets, context_buckets, texts), REMOVED
+    shards = Sharded(docs, block_bytes, hot_blocks)
+    return shards.answered(_cover, COVER, "cover").mapInArrow(_remove(*shards.dealt, texts), REMOVED)
+
+
+def repeat_groups(docs: DataFrame, block_bytes: int = 3_000_000, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+    """(repeat, length, doc_id, start): repeats of MIN_LENGTH bytes and more with all their occurrences, of any length.
+
+    The pieces that contexts give are put together where they overlap and occur at the same
+    places: in the same documents, as far apart. A repeat around a more frequent one is listed from
+    where it alone goes on. `repeat` numbers a group; a text that equals one with a smaller doc_id is
+    listed with that document only; repeats within a document count too.
+    """
+    shards = Sharded(docs, block_bytes, hot_blocks)
+    pieces = materialize(
+        shards.answered(_groups_of, GROUPS, "groups").mapInArrow(_occurrences(*shards.dealt), OCCURRENCES).distinct(), "suffix-occurrences"
+    )
+    first = pieces.groupBy("repeat", "length").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Where a piece occurs, told from its first place: the same for all pieces of one repeat.
+    pattern = F.bit_xor(F.xxhash64("doc_id", F.col("start") - F.col("first.start"))).alias("pattern")
+    shaped = pieces.join(first, ["repeat", "length"]).groupBy("repeat", "length", "first", "n").agg(pattern)
+    line = Window.partitionBy("first.doc_id", "n", "pattern").orderBy("first.start", "repeat", "length")
+    reach = F.max(F.col("first.start") + F.col("length")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first.start") > reach, F.lit(True)).cast("int")
+    joined = shaped.withColumn("apart", apart).withColumn("line", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy("first.doc_id", "n", "pattern", "line").agg(
+        F.min_by(F.struct("repeat", F.col("length").alias("piece")), F.struct("first.start", "repeat")).alias("head"),
+        (F.max(F.col("first.start") + F.col("length")) - F.min("first.start")).alias("length"),
     )
+    heads = whole.select(F.col("head.repeat").alias("repeat"), F.col("head.piece").alias("piece"), "length")
+    placed = pieces.withColumnRenamed("length", "piece").join(heads, ["repeat", "piece"])
+    return placed.select(F.xxhash64("repeat", "piece").alias("repeat"), "length", "doc_id", "start")
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; see remove_repeats for nulls, ties and repeated ids.
+
+    An empty table gives no rows; columns other than doc_id and text are not looked at.
+    """
     return remove_repeats(docs, texts=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256")
     )
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM d)),
+w AS (SELECT doc_id, 1000 * k + i AS i, hash(substr(h, 2 * i + 1, 100)) AS s
+  FROM (SELECT doc_id, k, h, unnest(range(0, least(1000, greatest(len(h) // 2 - 49, 0)))) AS i FROM c)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.i FROM w JOIN f ON f.s = w.s WHERE f.first < w.doc_id),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span
+      FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, span),
+p AS (SELECT s.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last,
+             string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
