@@ -286,12 +286,23 @@ def _count(threshold: float, floor: int):
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root): the least id of each node's connected component, for the nodes of edges (a, b).
+    """(id, root): the least id of each node's connected component, for the nodes of edges (a, b) but the roots.
 
-    Alternates large-star and small-star steps: each edge moves towards the least neighbour, so
-    the number of rounds grows with the logarithm of a component's diameter.
+    Nodes of one edge to a smaller id join nothing, so they are taken off first and follow their
+    neighbour; chunks send mostly such edges. The rest alternates large-star and small-star steps:
+    each edge moves towards the least neighbour, so the number of rounds grows with the logarithm of
+    a component's diameter.
     """
-    held = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    every = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    ends = every.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    single = ends.filter("n = 1").select(F.col("v").alias("a"))
+    leaves = every.join(single, "a", "left_semi")
+    core = materialize(_stars(materialize(every.join(single, "a", "left_anti"), "near-core"), max_rounds), "near-roots")
+    placed = leaves.join(core.select(F.col("id").alias("b"), "root"), "b", "left")
+    return core.unionByName(placed.select(F.col("a").alias("id"), F.coalesce("root", "b").alias("root")))
+
+
+def _stars(held: DataFrame, max_rounds: int) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -479,6 +490,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     split = materialize(seen.filter("doc_id IS NULL OR low <> high").select(F.col("doc_id").alias("__split")), "near-split")
     if split.isEmpty():
         gone = near_classes(docs, threshold, count_links=False).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+        gone = materialize(gone, "near-gone")
         return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     own = F.when(F.col("doc_id").isNull() | F.col("__split").isNotNull(), F.xxhash64("doc_id", text)).otherwise(F.col("doc_id").cast("long"))
     marked = docs.join(split, docs["doc_id"] == split["__split"], "left").withColumn("__own", own)
@@ -486,7 +498,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     classes = near_classes(each.select(F.col("__own").alias("doc_id"), "text"), threshold, count_links=False)
     named = materialize(classes.select(F.col("doc_id").alias("__own"), "class_id").join(each.select("__own", "id"), "__own"), "near-named")
     least = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__own"))["__own"].alias("stays"))
-    gone = named.join(least, "class_id").filter("__own <> stays").select(F.col("__own").alias("__gone"))
+    gone = materialize(named.join(least, "class_id").filter("__own <> stays").select(F.col("__own").alias("__gone")), "near-gone")
     return marked.join(gone, marked["__own"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
