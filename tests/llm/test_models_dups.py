@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tripwise.llm import ctw, minhash_forest, quality, suffix_dedup
+from tripwise.llm import ctw, minhash_forest, quality, suffix_dedup, words
+from tripwise.llm.common import doc_bucket
 
 VOCABULARY = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "la", "mu", "nu", "xi", "omi", "pi"]
 
@@ -182,7 +184,11 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_context_tree(spark, make_docs):
+@pytest.mark.parametrize(("piece", "block_bytes"), [(ctw.PIECE, 8_000_000), (700, 2_000)])
+def test_context_tree(spark, make_docs, monkeypatch, piece, block_bytes):
+    """Also with texts longer than a piece, and pieces and texts dealt over several blocks."""
+    score = ctw.score_documents
+    monkeypatch.setattr(ctw, "score_documents", lambda docs, training: score(docs, training, block_bytes, piece))
     rng = np.random.default_rng(2)
     rows = [(i, prose(rng, int(rng.integers(0, 40)))) for i in range(30)] + [(30, None), (31, ""), (32, "ÄÖ\x00 \n\n THE the"), (33, "a" * 5000), (None, "eta")]
     got = {r.doc_id: r for r in ctw.language_model_report(make_docs(rows)).collect()}
@@ -228,6 +234,7 @@ def test_context_tree(spark, make_docs):
         assert abs(r.base_score - sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))) < 1e-6
         want = sum(math.log10(chance(x, m, bit)) for x, m, bit in steps(t))
         assert abs(r.score - want) < 1e-4 * max(1, abs(want))
+        assert abs(r.bits_per_byte + r.score / math.log10(2) / (len((t or "").encode()) + 1)) < 1e-9
     assert ctw.score_documents(make_docs([]), lambda i: i > 0).count() == 0
     assert ctw.score_documents(make_docs([(1, "abc")]), lambda i: i > 5).first().train_tokens == 0
 
@@ -271,6 +278,51 @@ def test_repeats(spark, make_docs):
             i = math.inf if r.doc_id is None else r.doc_id
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) == want[i], (r.doc_id, more)
     assert suffix_dedup.repeats_report(make_docs([])).count() == 0
+    assert sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.repeats_report(make_docs([(1, "short"), (2, "short"), (3, None)])).collect()) == [(0, 0), (5, 0), (5, 0)]
+
+
+def test_repeat_groups_have_all_occurrences(spark, make_docs):
+    """Passages of 60 to 900 bytes in two to five documents, each a group of its own with every place."""
+    rng = np.random.default_rng(31)
+    fresh = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passages = [fresh(int(n)) for n in (60, 90, 200, 900)]
+    rows, want = [], {k: set() for k in range(4)}
+    for i in range(12):
+        text = fresh(int(rng.integers(5, 60)))
+        for k in rng.permutation(4)[: int(rng.integers(0, 4))]:
+            edge = chr(48 + i)  # no passage goes on alike in two documents
+            want[k].add((i, len(text) + 1))
+            text += edge + passages[k] + edge + fresh(int(rng.integers(5, 60)))
+        rows.append((i, text))
+    rows.append((40, rows[0][1]))  # a copy is listed with its first document only
+    got = {}
+    for r in suffix_dedup.repeat_groups(make_docs(rows), block_bytes=700).collect():
+        got.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    assert sorted((n, sorted(at)) for (_, n), at in got.items()) == sorted((len(passages[k]), sorted(at)) for k, at in want.items() if len(at) > 1)
+
+
+def test_long_texts_are_worked_on_in_pieces(monkeypatch):
+    """Words, features and anchors don't depend on where pieces are cut."""
+    rng = np.random.default_rng(15)
+    texts = ["x" * 300, prose(rng, 400), "", "Über " * 90, " ", prose(rng, 3), "tail"]
+    raw, offsets = words.text_bytes(pa.array(texts))
+    whole = [words.words_of(raw, offsets, words.NOT_SPACE), suffix_dedup.anchors(raw, offsets)]
+    described = quality.features(pa.array(texts))
+    for size in (60, 97, 1000):
+        monkeypatch.setattr(words, "PIECE", size)
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        got = [words.words_of(raw, offsets, words.NOT_SPACE), suffix_dedup.anchors(raw, offsets)]
+        for a, b in zip(whole, got, strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+        assert np.allclose(quality.features(pa.array(texts)), described)
+
+
+def test_buckets_of_anchors_are_even():
+    rng = np.random.default_rng(16)
+    raw = rng.integers(97, 123, 400_000).astype(np.uint8)
+    _, codes = suffix_dedup.anchors(raw, np.array([0, len(raw)]))
+    n = np.bincount(suffix_dedup._hash_bucket(codes, 12), minlength=12)
+    assert n.max() < 1.2 * n.mean()
 
 
 def test_maximal_repeats_have_all_members():
@@ -304,6 +356,63 @@ def test_quality(spark, make_docs):
     assert quality.quality_report(make_docs(rows[:3]), lab.limit(0)).count() == 3
 
 
+def test_scores_worked_out_again(spark, make_docs):
+    """Features of characters, pairs, weights, quantile and scores, by plain loops and descent."""
+    rng = np.random.default_rng(23)
+    rows, labels = [], []
+    for i in range(160):
+        good = i % 3 != 0
+        t = prose(rng, int(rng.integers(5, 40)))
+        noisy = "".join(rng.choice(list("!?|#9Z\n")) if rng.random() < (0.04 if good else 0.12) else c for c in t)
+        rows.append((i, noisy))
+        labels.append((i, int(good), 0))
+    rows += [(900, None), (901, "")]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").filter(doc_bucket(4) != 2)
+    docs = make_docs(rows)
+    x, y = [], []
+    learned = sorted(i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+
+    def described(t):
+        t = t or ""
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        n, size = len(w), len(t.encode())
+        count = lambda chars: sum(c in chars for c in t)
+        letters = sum(c.isalpha() or ord(c) > 127 for c in t)
+        root = lambda a, b: math.sqrt(a / max(b, 1))
+        again = sum(a.lower() == b.lower() for a, b in zip(w[:-1], w[1:], strict=True)) if w else 0
+        return [
+            root(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letters), root(count("0123456789"), size), root(count("#&%$*^@~=+_"), size), root(count("|<>{}[]\\"), n),
+            root(count("!?"), n), root(again, n), 1 / (1 + n), min((size - n) / max(n, 1), 40) / 10, math.log1p(n) / 10, root(count("\n"), n), root(count(".,;:"), n),
+        ]
+
+    plain = len(quality.FEATURES) - quality.GROUPS
+    full = quality.features(pa.array([t for _, t in rows]))
+    assert np.allclose(full[:, :plain], [described(t) for _, t in rows])
+    assert np.allclose((full[:, plain:] ** 2).sum(1), [1 if (t or "").split() else 0 for _, t in rows])
+    order = {r.id: k for k, r in enumerate(spark.createDataFrame([(i,) for i in learned], "id long").orderBy(F.xxhash64("id")).collect())}
+    learned.sort(key=order.get)
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    x, y = full[[at[i] for i in learned]], np.array([labels[i][1] for i in learned])
+    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.clip((x - centre) / scale, -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    pick = np.random.default_rng(7)
+    d = good[pick.integers(0, len(good), len(bad) * 40)] - np.repeat(bad, 40, axis=0)
+    w = np.zeros(z.shape[1])
+    for _ in range(20_000):  # descent with a fixed step instead of Newton's method
+        w -= 0.3 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + 1e-3 * w)
+    share = 1 - y.mean()
+    weight = np.where(y == 1, (1 - share) / (y == 1).sum(), share / (y == 0).sum())
+    raw = z @ w
+    ranked = np.argsort(raw)
+    upto = np.cumsum(weight[ranked]) - weight[ranked] / 2
+    cut = np.mean([np.interp(share * m, upto, raw[ranked]) for m in (0.97, 1.03)])
+    want = 1 / (1 + np.exp(-(math.log(0.7 / 0.3) + np.clip((full - centre) / scale, -8, 8) @ w - cut)))
+    got = {r.doc_id: r for r in quality.quality_report(docs, lab).collect()}
+    assert np.allclose([got[i].score for i, _ in rows], want, atol=2e-3)
+    assert all(got[i].predicted == int(got[i].score >= 0.7) for i, _ in rows)
+
+
 def test_bradley_terry_learns_the_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))

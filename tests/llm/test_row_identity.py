@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from tripwise.llm import decontam, exact_dedup, minhash_forest, mixing
+import corpus_pipeline
+from tripwise.llm import common, decontam, exact_dedup, minhash_forest, mixing, quality
 
 
 def prose(seed, n):
@@ -74,3 +75,40 @@ def test_running_sums_in_two_levels(spark):
     every = sums.filter("p = 1").drop("p")
     got = {r.k: r.s for r in mixing.before(every, "k", "v", "s", fan=16).collect()}
     assert got == {k: sum(v for p, j, v in rows if p == 1 and j < k) for p, k, _ in rows if p == 1}
+
+
+def test_quality_judges_row_by_row(spark, make_docs):
+    good = [(i, prose(i, 40)) for i in range(1, 120)]
+    bad = [(1000 + i, prose(i, 40).upper().replace(" ", "!! ")) for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = [(500, prose(500, 40)), (None, prose(501, 40)), (None, prose(501, 40)), *good]
+    docs = make_docs([*kept, (500, prose(502, 40).upper().replace(" ", "!! ")), (None, prose(503, 40).upper().replace(" ", "!! ")), *bad])
+    got = quality.drop_low_quality(docs, labels)
+    assert left(got) == sorted(kept, key=str) and got.columns == docs.columns
+
+
+def test_all_stages_on_repeated_and_missing_ids(spark, make_docs, tmp_path):
+    """The stages in their order, against what each should leave of rows that share ids, have none, or have equal texts."""
+    leak, texts = prose(900, 25), [prose(k, 45) for k in range(40)]
+    rows = list(enumerate(texts))
+    rows += [(3, "x " + leak), (None, texts[5]), (None, texts[6] + " more"), (7, texts[8]), (None, leak), (None, texts[39] + " own words of its own"), (50, None), (None, None)]
+    docs = make_docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {"quality": rows}
+    want["exact"] = [r for r in rows if r not in [(None, texts[5]), (8, texts[8]), (None, None)]]
+    want["near"] = [r for r in want["exact"] if r not in [(None, texts[6] + " more"), (None, texts[39] + " own words of its own"), (None, leak)]]
+    want["benchmark"] = [r for r in want["near"] if leak not in (r[1] or "")]
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, str(tmp_path))
+        assert left(held) == sorted(want[name], key=str), name
+        assert held.columns == docs.columns
+    mixed = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {r for r in want["benchmark"] if r[1]}
+    assert all(r.n_words == len(r.text.split()) for r in mixed.collect())
+    before = [r.doc_id for r in mixed.select("doc_id").collect()]
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, before)) == sorted(str(r.doc_id) for r in done.collect())
+    assert len(common._made) >= 1 and done.count() == len(before)  # what the stages were made from is gone, the result is not

@@ -146,7 +146,9 @@ def drop_exact_copies(docs: DataFrame, capacity: int = 8192) -> DataFrame:
     after all others; rows that agree in id (or in having none) and text stay or go together.
     Null texts are empty texts; an empty table stays empty.
     """
-    gone = exact_groups(docs, capacity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    copies = exact_groups(docs, capacity).filter(~F.col("kept"))
+    # Written, so that Spark knows its size before it decides whether texts have to be moved.
+    gone = materialize(copies.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct(), "exact-copies")
     same = docs["doc_id"].eqNullSafe(gone["__gone"]) & (F.sha2(_norm(), 256) == gone["__sha"])
     return docs.join(gone, same, "left_anti")
 

@@ -69,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_near_join": minhash_forest.ORACLE,
+    "op3_licenses": licenses.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op8_repeats": suffix_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_decontamination": decontam.ORACLE,
 }
