@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tripwise.llm import decontam, exact_dedup, minhash_forest, mixing, quality
-from tripwise.llm.common import materialize, read_table
+from tripwise.llm.common import drop_tables, materialize, read_table, tables_made
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that all stages leave. Once a stage is written, what it was made from is deleted."""
     docs = read_table(spark, sf_dir, "documents")
+    before = tables_made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(spark, before)
     return docs
