@@ -9,9 +9,9 @@ keeps the place of its least shingle, so a hit says where in the text the templa
 are counted for each such place before anything else is done with them; then the share of
 the template's shingles that the text really has there is computed exactly, once for each place.
 
-Only texts that hold the longest word of some template shingle are looked at: no other text can
-share a shingle. Everything is a column expression; the driver gets those words only, and
-templates may be as many and as long as a table holds.
+Only texts that hold the longest three neighbouring words of some template shingle are looked at: no
+other text can share a shingle. Everything is a column expression; the driver gets those phrases
+only, and templates may be as many and as long as a table holds.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import materialize, text_or_empty
 from .license_texts import LICENSES
 
 SHINGLE = 5
+PHRASE = 3
 BANDS = 4
 CONTAINMENT = 0.8
 #: Window lengths, the longest first; a template takes the first of which any verbatim copy holds a window.
@@ -52,11 +53,11 @@ def _each(n: Column, f) -> Column:
     return F.transform(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)")), f)
 
 
-def shingles(words: Column, k: int) -> Column:
-    return _each(F.size(words) - (k - 1), lambda i: F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(k)]))
+def shingles(words: Column, k: Column) -> Column:
+    return _each(F.size(words) - (k - 1), lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
-def bands(shingled: Column, v: int, step: int) -> Column:
+def bands(shingled: Column, v: Column, step: Column) -> Column:
     """(band, code, pos) of the windows of v shingles at every step-th place: the least shingle's hash and its place (from 1)."""
     last = F.size(shingled) - (v - 1)
 
@@ -64,51 +65,60 @@ def bands(shingled: Column, v: int, step: int) -> Column:
         low = F.array_min(F.transform(F.slice(shingled, i, v), lambda s, j: F.struct(F.xxhash64(s, F.lit(b)).alias("code"), (i + j).alias("pos"))))
         return F.struct(F.lit(b).alias("band"), low["code"].alias("code"), low["pos"].alias("pos"))
 
-    places = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.expr("cast(array() as array<int>)"))
+    places = F.when(last >= 1, F.sequence(F.lit(1), last, step)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.flatten(F.transform(places, lambda i: F.array(*[least(i, b) for b in range(BANDS)])))
 
 
-def hitting_words(known: DataFrame) -> list[str]:
-    """The longest word of each shingle of each template (w): every shared shingle brings one of them."""
+def hitting_phrases(known: DataFrame) -> list[str]:
+    """The longest PHRASE neighbouring words of each shingle of each template (w): every shared shingle brings one of them."""
     k = F.least(F.lit(SHINGLE), F.size("w"))
-    longest = _each(
-        F.size("w") - (k - 1), lambda i: F.array_max(F.transform(F.slice("w", i, k), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    )
+    m = F.least(F.lit(PHRASE), k)
+
+    def phrase(i: Column) -> Column:
+        return F.struct(F.length(F.array_join(F.slice("w", i, m), "")).alias("n"), F.array_join(F.slice("w", i, m), " ").alias("x"))
+
+    longest = _each(F.size("w") - (k - 1), lambda i: F.array_max(F.transform(F.sequence(i, i + k - m), phrase))["x"])
     return sorted(r["x"] for r in known.select(F.explode(longest).alias("x")).distinct().collect())
 
 
-def pattern_of(found: list[str]) -> str:
-    """A regular expression for any of the words, told apart by their first characters first."""
-    heads: dict[str, list[str]] = {}
-    for w in found:
-        heads.setdefault(w[:1], []).append(re.escape(w[1:]))
-    any_of = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(heads.items()))
+def pattern_of(phrases: list[str]) -> str:
+    """A regular expression for any of the phrases, told apart by their first character, then by their first word."""
+    gap = r"[^\p{L}\p{N}]+"
+    heads: dict[str, dict[str, list[str]]] = {}
+    for p in phrases:
+        first, *rest = p.split(" ")
+        heads.setdefault(first[0], {}).setdefault(re.escape(first[1:]), []).append(gap.join(["", *map(re.escape, rest)]))
+    words_of = lambda by_word: "|".join(f"{w}(?:{'|'.join(rest)})" for w, rest in sorted(by_word.items()))
+    any_of = "|".join(f"{re.escape(c)}(?:{words_of(by_word)})" for c, by_word in sorted(heads.items()))
     return rf"(?<![\p{{L}}\p{{N}}])(?:{any_of})(?![\p{{L}}\p{{N}}])"
 
 
-PLACED = "row long, license string, word int, share double"
+def _places(texts: DataFrame, known: DataFrame, kinds: list, containment: float) -> DataFrame:
+    """Matches (row, license, word, share) of known templates (tid, license, w, k, v) in texts (row, w).
 
-
-def _places(texts: DataFrame, known: DataFrame, k: int, v: int, containment: float) -> DataFrame:
-    """Matches (row, license, word, share) of the templates whose shingles have k words and whose windows v shingles."""
-    table = known.filter((F.col("k") == k) & (F.col("v") == v)).select("tid", "license", shingles(F.col("w"), k).alias("t"))
-    table = materialize(table.select("*", F.size("t").alias("n")), "license-templates")
-    coded = table.select("tid", "n", F.explode(bands(F.col("t"), v, 1)).alias("x")).select("tid", "n", "x.band", "x.code", F.col("x.pos").alias("t_pos")).distinct()
-    shingled = texts.select("row", shingles(F.col("w"), k).alias("s")).filter(F.size("s") >= v)
-    seen = shingled.select("row", F.explode(bands(F.col("s"), v, max(1, v // 2))).alias("x")).select("row", "x.band", "x.code", "x.pos")
+    kinds are the pairs (k, v) that templates have: words of a shingle and shingles of a window.
+    """
+    table = known.select("tid", "license", "k", "v", shingles(F.col("w"), F.col("k")).alias("t")).withColumn("n", F.size("t"))
+    coded = table.select("tid", "n", "k", "v", F.explode(bands(F.col("t"), F.col("v"), F.lit(1))).alias("x"))
+    coded = coded.select("tid", "n", "k", "v", "x.band", "x.code", F.col("x.pos").alias("t_pos")).distinct()
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in kinds])).alias("kind")
+    shingled = texts.select("row", "w", kind).select("row", "kind.k", "kind.v", shingles(F.col("w"), F.col("kind.k")).alias("s"))
+    step = F.greatest(F.lit(1), F.expr("v div 2").cast("int"))
+    seen = shingled.select("row", "k", "v", F.explode(bands(F.col("s"), F.col("v"), step)).alias("x")).select("row", "k", "v", "x.band", "x.code", "x.pos")
     # Votes for each beginning, then the best beginning of each eighth of a template's length.
-    hits = seen.join(coded, ["band", "code"]).groupBy("row", "tid", "n", (F.col("pos") - F.col("t_pos")).alias("start")).agg(
+    hits = seen.join(coded, ["k", "v", "band", "code"]).groupBy("row", "tid", "k", "n", (F.col("pos") - F.col("t_pos")).alias("start")).agg(
         F.count(F.lit(1)).alias("votes")
     )
-    step = F.greatest(F.lit(1), F.expr("n div 8"))
-    best = hits.groupBy("row", "tid", "n", F.floor(F.col("start") / step).alias("bin")).agg(
+    eighth = F.greatest(F.lit(1), F.expr("n div 8"))
+    best = hits.groupBy("row", "tid", "k", "n", F.floor(F.col("start") / eighth).alias("bin")).agg(
         F.max_by("start", F.struct("votes", -F.col("start"))).alias("start"), F.sum("votes").alias("votes")
     )
-    lists = best.groupBy("row").agg(F.collect_list(F.struct("tid", "n", "start", "votes")).alias("places"))
+    lists = best.groupBy("row", "k").agg(F.collect_list(F.struct("tid", "n", "start", "votes")).alias("places"))
     slack = lambda p: F.floor(p["n"] / 4).cast("int")
     first = lambda p: F.greatest(F.lit(0), p["start"] - slack(p)).cast("int")
     around = lambda p: F.slice("s", first(p) + 1, F.greatest(F.lit(0), p["start"] + p["n"] + slack(p) - first(p)).cast("int"))
-    read = shingled.join(lists, "row").select(
+    found = texts.join(lists, "row").select("row", "places", shingles(F.col("w"), F.col("k")).alias("s"))
+    read = found.select(
         "row", F.explode(F.transform("places", lambda p: F.struct(p["tid"].alias("tid"), p["start"].alias("start"), p["votes"].alias("votes"), around(p).alias("here")))).alias("p")
     )
     share = F.size(F.array_intersect("t", "here")) / F.size(F.array_distinct("t"))
@@ -124,19 +134,20 @@ def _places(texts: DataFrame, known: DataFrame, k: int, v: int, containment: flo
 
 def _scanned(docs: DataFrame, templates: DataFrame, containment: float) -> tuple[DataFrame, DataFrame]:
     """All rows of docs as (row, doc_id), numbered, and the matches by row."""
-    spark = docs.sparkSession
     known = templates.select(F.col("license").cast("string").alias("license"), words(text_or_empty()).alias("w")).filter(F.size("w") > 0)
     known = known.groupBy("license", "w").agg(F.first(F.least(F.lit(SHINGLE), F.size("w"))).alias("k"))
     n = F.size("w") - F.col("k") + 1
     v = F.coalesce(*[F.when(n >= x + max(1, x // 2) - 1, F.lit(x)) for x in LENGTHS])
     known = materialize(known.select(F.monotonically_increasing_id().alias("tid"), "license", "w", "k", v.alias("v")), "license-words")
-    found = hitting_words(known)
+    found = hitting_phrases(known)
     text = F.lower(text_or_empty())
     w = F.when(text.rlike(pattern_of(found)), words(text_or_empty())) if found else F.lit(None).cast("array<string>")
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")), "license-rows")
-    places = spark.createDataFrame([], PLACED)
-    for r in known.select("k", "v").distinct().orderBy("k", "v").collect():  # at most SHINGLE and one for each further length
-        places = places.unionByName(_places(rows.filter("w IS NOT NULL"), known, r["k"], r["v"], containment))
+    # At most one pair for each shorter shingle and one for each window length.
+    kinds = [(r["k"], r["v"]) for r in known.select("k", "v").distinct().orderBy("k", "v").collect()]
+    if not kinds:
+        return rows.select("row", "doc_id"), docs.sparkSession.createDataFrame([], "row long, license string, word int, share double")
+    places = _places(rows.filter("w IS NOT NULL").select("row", "w"), known, kinds, containment)
     return rows.select("row", "doc_id"), places
 
 
