@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tripwise import config, schemas
@@ -102,6 +103,9 @@ def test_regions_are_read_by_a_backend(spark):
 
     rows = [(1, 0, 0, b"AB1234CD x"), (1, 0, 1, b"bad"), (1, 1, 0, None), (2, 0, 0, b"A123BC")]
     regions = spark.createDataFrame(rows, "event long, offset_ord int, roi_idx int, png binary")
+    perf = Observation()
+    ocr.observed(ocr.read_tokens(regions, Backend()), perf).write.format("noop").mode("overwrite").save()
+    assert perf.get == {"rows": 5, "words": 3, "conf": 90.5}
     got = ocr.read_tokens(regions, Backend())
     assert sorted((r.event, r.roi_idx, r.raw or "") for r in got.collect()) == [(1, 0, ""), (1, 0, "AB1234CD"), (1, 0, "x"), (1, 1, ""), (2, 0, "A123BC")]
     plates = {r.event: r.plate for r in ocr.best_plates(got, "event", config.OcrParams()).collect()}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import OcrParams
@@ -47,6 +47,12 @@ def read_tokens(regions: DataFrame, backend: OcrBackend) -> DataFrame:
     return wanted.mapInPandas(read, "event long, offset_ord int, roi_idx int, raw string, conf double")
 
 
+def observed(tokens: DataFrame, perf: Observation) -> DataFrame:
+    """tokens as they are; once a job has run over them, `perf` holds its rows, regions read and mean confidence."""
+    read = F.col("raw").isNotNull()
+    return tokens.observe(perf, F.count(F.lit(1)).alias("rows"), F.count_if(read).alias("words"), F.avg(F.when(read, F.col("conf"))).alias("conf"))
+
+
 def snapshot_frames(events: DataFrame, fps: float, offsets: str) -> DataFrame:
     """Events (key, mid_frame, frames) times the offsets in seconds: offset_ord and the frame, within the video."""
     seconds = int_list(F.lit(offsets))

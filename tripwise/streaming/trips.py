@@ -8,6 +8,7 @@ stream over files to its end and return what its sink holds.
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -75,17 +76,14 @@ def run_to_end(stream: DataFrame, mode: str, at: str) -> None:
 def session_trips_once(spark: SparkSession, path: str, gap: str) -> DataFrame:
     """All trips of a finite stream, in append mode.
 
-    Once the stream is read, a closing event far in the future moves the watermark past the open
-    trips; a second run from the same checkpoint puts them out. The closing event's own trip stays open.
+    A closing event far in the future is read in the same batch as the files there are; it moves the watermark
+    past all trips, so the batch without data that follows puts them out. Its own trip stays open.
     """
     at = _folder(spark)
     closing = f"{at}/closing"
-    spark.createDataFrame([], EVENTS).write.parquet(closing)
+    spark.createDataFrame([(None, datetime.datetime(9000, 1, 1), None, None, None, None)], EVENTS).write.parquet(closing)
     late = spark.readStream.schema(EVENTS).parquet(closing).withColumn("ts", F.col("ts").cast("timestamp"))
-    trips = session_trips(read_events(spark, path).unionByName(late), gap)
-    run_to_end(trips, "append", at)
-    spark.range(1).select(F.expr("timestamp_ntz'9000-01-01'").alias("ts")).write.mode("append").parquet(closing)
-    run_to_end(trips, "append", at)
+    run_to_end(session_trips(read_events(spark, path).unionByName(late), gap), "append", at)
     return spark.read.parquet(f"{at}/out").drop("epoch")
 
 
