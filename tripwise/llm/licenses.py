@@ -26,6 +26,7 @@ from .license_texts import LICENSES
 
 SHINGLE = 5
 PHRASE = 3
+TASK_WORDS = 100_000
 BANDS = 4
 CONTAINMENT = 0.8
 #: Window lengths, the longest first; a template takes the first of which any verbatim copy holds a window.
@@ -57,16 +58,29 @@ def shingles(words: Column, k: Column) -> Column:
     return _each(F.size(words) - (k - 1), lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
-def bands(shingled: Column, v: Column, step: Column) -> Column:
+def hashed(shingled: Column) -> Column:
+    """The shingles' hashes, a list for each band."""
+
+    def band(b: int) -> Column:
+        return F.transform(shingled, lambda s: F.xxhash64(s, F.lit(b)))
+
+    return F.array(*map(band, range(BANDS)))
+
+
+def bands(hashes: Column, v: Column, step: Column) -> Column:
     """(band, code, pos) of the windows of v shingles at every step-th place: the least shingle's hash and its place (from 1)."""
-    last = F.size(shingled) - (v - 1)
+    last = F.size(hashes[0]) - (v - 1)
 
     def least(i: Column, b: int) -> Column:
-        low = F.array_min(F.transform(F.slice(shingled, i, v), lambda s, j: F.struct(F.xxhash64(s, F.lit(b)).alias("code"), (i + j).alias("pos"))))
-        return F.struct(F.lit(b).alias("band"), low["code"].alias("code"), low["pos"].alias("pos"))
+        part = F.slice(hashes[b], i, v)
+        # A one-element list names the least hash, so that it is worked out once.
+        return F.transform(
+            F.array(F.array_min(part)),
+            lambda low: F.struct(F.lit(b).alias("band"), low.alias("code"), (i + F.array_position(part, low) - 1).cast("int").alias("pos")),
+        )
 
     places = F.when(last >= 1, F.sequence(F.lit(1), last, step)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.flatten(F.transform(places, lambda i: F.array(*[least(i, b) for b in range(BANDS)])))
+    return F.flatten(F.transform(places, lambda i: F.concat(*[least(i, b) for b in range(BANDS)])))
 
 
 def hitting_phrases(known: DataFrame) -> list[str]:
@@ -99,12 +113,16 @@ def _places(texts: DataFrame, known: DataFrame, kinds: list, containment: float)
     kinds are the pairs (k, v) that templates have: words of a shingle and shingles of a window.
     """
     table = known.select("tid", "license", "k", "v", shingles(F.col("w"), F.col("k")).alias("t")).withColumn("n", F.size("t"))
-    coded = table.select("tid", "n", "k", "v", F.explode(bands(F.col("t"), F.col("v"), F.lit(1))).alias("x"))
+    coded = table.select("tid", "n", "k", "v", hashed(F.col("t")).alias("h"))
+    coded = coded.select("tid", "n", "k", "v", F.explode(bands(F.col("h"), F.col("v"), F.lit(1))).alias("x"))
     coded = coded.select("tid", "n", "k", "v", "x.band", "x.code", F.col("x.pos").alias("t_pos")).distinct()
-    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in kinds])).alias("kind")
-    shingled = texts.select("row", "w", kind).select("row", "kind.k", "kind.v", shingles(F.col("w"), F.col("kind.k")).alias("s"))
+    # Hashes are worked out once for each length of shingle, then cut into windows of each length.
+    sizes = sorted({k for k, _ in kinds})
+    lengths = F.element_at(F.create_map(*[x for k in sizes for x in (F.lit(k), F.array(*[F.lit(v) for j, v in kinds if j == k]))]), F.col("k"))
+    shingled = texts.select("row", "w", F.explode(F.array(*map(F.lit, sizes))).alias("k")).select("row", "k", shingles(F.col("w"), F.col("k")).alias("s"))
+    cut = shingled.select("row", "k", hashed(F.col("s")).alias("h")).select("row", "k", "h", F.explode(lengths).alias("v"))
     step = F.greatest(F.lit(1), F.expr("v div 2").cast("int"))
-    seen = shingled.select("row", "k", "v", F.explode(bands(F.col("s"), F.col("v"), step)).alias("x")).select("row", "k", "v", "x.band", "x.code", "x.pos")
+    seen = cut.select("row", "k", "v", F.explode(bands(F.col("h"), F.col("v"), step)).alias("x")).select("row", "k", "v", "x.band", "x.code", "x.pos")
     # Votes for each beginning, then the best beginning of each eighth of a template's length.
     hits = seen.join(coded, ["k", "v", "band", "code"]).groupBy("row", "tid", "k", "n", (F.col("pos") - F.col("t_pos")).alias("start")).agg(
         F.count(F.lit(1)).alias("votes")
@@ -147,7 +165,10 @@ def _scanned(docs: DataFrame, templates: DataFrame, containment: float) -> tuple
     kinds = [(r["k"], r["v"]) for r in known.select("k", "v").distinct().orderBy("k", "v").collect()]
     if not kinds:
         return rows.select("row", "doc_id"), docs.sparkSession.createDataFrame([], "row long, license string, word int, share double")
-    places = _places(rows.filter("w IS NOT NULL").select("row", "w"), known, kinds, containment)
+    texts = rows.filter("w IS NOT NULL").select("row", "w")
+    # The few texts left are dealt anew, so that tasks get about as many words each however the rows were read.
+    tasks = 1 + (texts.agg(F.sum(F.size("w"))).first()[0] or 0) // TASK_WORDS
+    places = _places(texts.repartition(int(tasks), "row"), known, kinds, containment)
     return rows.select("row", "doc_id"), places
 
 
