@@ -97,8 +97,8 @@ def build_index(docs: DataFrame, capacity: int = 8192, key_bits: int = 64) -> In
     keys = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("chained")), "exact-keys")
     cells, depth = directory(keys, capacity)
     index = Index(materialize(cells, "exact-directory"), depth, entries)
-    # Only texts of keys that several texts share are moved to their owners.
-    crowded = keys.filter("chained > 1")
+    # Only texts of keys that several texts share are moved to their owners. Such keys are written, so that Spark knows how few they are.
+    crowded = materialize(keys.filter("chained > 1"), "exact-crowded")
     alone = entries.select("key", "keep_id", "group_size").join(crowded, "key", "left_anti")
     alone = alone.select("key", F.lit(1).cast("long").alias("chained"), F.lit(None).cast("string").alias("norm"), "keep_id", "group_size")
     chains = entries.join(crowded, "key").select("key", "chained", "norm", "keep_id", "group_size")
