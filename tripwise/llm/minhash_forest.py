@@ -306,7 +306,8 @@ def _stars(held: DataFrame, max_rounds: int) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # A node of very many edges is hot in this join; where the nodes fit, Spark sends them to all tasks instead.
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "near-low")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
