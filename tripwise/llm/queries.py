@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, decontam, exact_dedup, licenses, minhash_forest, mixing, quality, secrets, suffix_dedup
+from . import chat, ctw, decontam, exact_dedup, language_id, licenses, merkle, minhash_forest, mixing, quality, secrets, suffix_dedup, whitening
 from .common import read_table
 
 
@@ -54,6 +54,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_join": op1_near_join,
     "op2_context_tree": op2_context_tree,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op8_repeats": suffix_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_decontamination": decontam.ORACLE,
+    "op13_manifest": merkle.ORACLE,
 }
