@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tripwise.operators import sequence
+from tripwise.operators import sequence, stretches
 
 
 def events(spark, rows):
@@ -77,3 +77,65 @@ def test_folds_against_loops(spark):
             kept[-1][1] = p
     got = fold(spark, rows, lambda e: sequence.merged(e, 1500)).orderBy("t_ms").collect()
     assert [[r.t_ms, r.plate] for r in got] == kept
+
+
+def plain_anchored(rows, window):
+    kept, last = [], None
+    for t, p in rows:
+        if last is None or t - last > window:
+            kept.append((t, p))
+            last = t
+    return kept
+
+
+def plain_merged(rows, window):
+    heads = []
+    for t, p in rows:
+        if not heads or t - heads[-1][0] > window:
+            heads.append([t, p])
+        elif not (heads[-1][1] or "").strip() and (p or "").strip():
+            heads[-1][1] = p
+    return [tuple(h) for h in heads]
+
+
+@pytest.mark.parametrize(("size", "window"), [(33, 0), (4, 5), (7, 60)])
+def test_keys_in_stretches_give_the_same_rows(spark, monkeypatch, size, window):
+    rng = random.Random(size * 100 + window)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(900), rng.choice([None, " ", "A", "B"])) for _ in range(700)] + [(3, 5, "A")]
+    df = spark.createDataFrame(rows, "detection_id long, t_ms long, plate string")
+    by = {}
+    for k, t, p in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "")):
+        by.setdefault(k, []).append((t, p))
+    kept = sorted(((k, *e) for k, es in by.items() for e in plain_anchored(es, window)), key=str)
+    merged = sorted(((k, *e) for k, es in by.items() for e in plain_merged(plain_anchored(es, window), 3 * window)), key=str)
+    monkeypatch.setattr(stretches, "SIZE", size)
+    for listed in (50, 10**6):
+        monkeypatch.setattr(sequence, "LISTED", listed)
+        assert sorted([tuple(r) for r in sequence.suppress(df, "detection_id", window).collect()], key=str) == kept
+        assert sorted([tuple(r) for r in sequence.merge(df, "detection_id", window, 3 * window).collect()], key=str) == merged
+
+
+def test_a_key_of_a_million_events(spark):
+    """One key far beyond a list: every seventh time is kept, the first plate of each group fills its head."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("detection_id"), F.col("id").alias("t_ms"), F.when(F.col("id") % 49 == 14, F.lit("P")).alias("plate"))
+    kept = sequence.suppress(df, "detection_id", 6)
+    assert kept.agg(F.count(F.lit(1)), F.max(F.col("t_ms") % 7), F.countDistinct("t_ms")).first()[:] == ((n + 6) // 7, 0, (n + 6) // 7)
+    heads = sequence.merge(df, "detection_id", 6, 42)
+    assert heads.agg(F.count(F.lit(1)), F.max(F.col("t_ms") % 49), F.count_if(F.col("plate") == "P")).first()[:2] == ((n + 48) // 49, 0)
+    assert heads.filter("plate IS NULL").count() <= 1
+
+
+def test_folds_name_their_input_once(spark):
+    """Merging over suppression grows with the list, not with its square."""
+    import time
+
+    def took(n):
+        df = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 10).alias("t_ms"), F.lit(None).cast("string").alias("plate"))
+        keyed = sequence.sorted_events(df, "k")
+        began = time.time()
+        assert sequence.exploded(keyed.withColumn("events", sequence.merged(sequence.suppressed(F.col("events"), 15), 25)), "k").count() > 0
+        return time.time() - began
+
+    took(1000)
+    assert took(32_000) < 5 * took(8000) + 1

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripwise.config import DEFAULT, SHIPPED, DetectParams
-from tripwise.operators import folds, signal
+from tripwise.operators import folds, signal, stretches
 
 FPS = 10.0
 P = DetectParams(1, 45, 0.5, 2, 10, 1, 0.5, 0.5, 200, 0, 0)
@@ -119,3 +119,40 @@ def test_pixels(spark):
     got = signal.changed_pixels(df, DetectParams(step_frames=1, morph_kernel=3)).orderBy("frame_idx").collect()
     assert [r.frame_idx for r in got] == [1, 2]
     assert got[0].changed_px == 0 and 90 <= got[1].changed_px <= 160 and got[1].total_px == 600
+
+
+@pytest.mark.parametrize(("size", "more"), [(3, {}), (7, {"cooldown_frames": 9}), (16, {"warmup_ms": 2500}), (5, {"min_active_ms": 600, "cooldown_frames": 40})])
+def test_stretches_carry_the_state(spark, monkeypatch, size, more):
+    monkeypatch.setattr(stretches, "SIZE", size)
+    rng = np.random.default_rng(size)
+    p = DetectParams(**(P.__dict__ | more))
+    rows, want = [], {}
+    for v in range(6):
+        ratios = np.round(np.clip(rng.normal(0.45, 0.35, 150), 0, 1), 3)
+        ratios[40:70], ratios[90:99] = 0.9, 0.0  # an event and a gap longer than a stretch
+        want[v] = loop(ratios.tolist(), p, FPS)
+        rows += [(v, i + 1, int(r * 1000), 1000) for i, r in enumerate(ratios.tolist())]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, changed_px long, total_px long")
+    got = {v: [] for v in want}
+    for r in signal.motion_events(df, p, FPS).orderBy("video_id", "t_ms").collect():
+        got[r.video_id].append(r.t_ms)
+    assert got == want
+    traced = signal.motion_trace(df, p, FPS).collect()
+    monkeypatch.setattr(stretches, "SIZE", 100_000)
+    assert sorted(traced) == sorted(signal.motion_trace(df, p, FPS).collect())
+
+
+def test_one_video_runs_in_many_tasks(spark, monkeypatch):
+    """A signal of 400,000 frames in 49 stretches: events as the loop finds them, and no task folds more than a stretch."""
+    n = 400_000
+    df = spark.range(1, n + 1).select(
+        F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame_idx"), (F.pmod(F.xxhash64("id"), F.lit(600)) + 400 * (F.col("id") % 5000 < 1500).cast("long")).alias("changed_px"), F.lit(1000).cast("long").alias("total_px")
+    )
+    ratios = [r.changed_px / 1000 for r in df.orderBy("frame_idx").select("changed_px").collect()]
+    p = DetectParams(**(P.__dict__ | {"min_active_ms": 500, "cooldown_frames": 20}))
+    want = loop([(r * 1000 + 0.5) // 1 / 1000 for r in ratios], p, FPS)
+    got = sorted(r.t_ms for r in signal.motion_events(df, p, FPS).collect())
+    assert len(want) > 80 and got == sorted(want)
+    cut = stretches.grouped_from(signal.moving(df, p, FPS), "video_id", F.col("frame_idx"))
+    sizes = [r[0] for r in cut.select(F.size("frames")).collect()]
+    assert len(sizes) == 49 and max(sizes) <= stretches.SIZE

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 STRETCH = 512
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stepped(items: Column, state: Column, step, out: str) -> Column:
     """A fold over a list: struct(state, out) of the last state and all outputs, in order.
 
@@ -17,18 +24,20 @@ def stepped(items: Column, state: Column, step, out: str) -> Column:
     none = F.expr(f"cast(array() as {out})")
 
     def one(held: Column, item: Column) -> Column:
-        # A one-element list names the step's result, so that it is worked out once.
-        return F.transform(
-            F.array(step(held["state"], item)),
+        return bound(
+            step(held["state"], item),
             lambda r: F.struct(r["state"].alias("state"), F.when(F.size(r["emitted"]) > 0, F.concat(held["out"], r["emitted"])).otherwise(held["out"]).alias("out")),
-        )[0]
-
-    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(STRETCH))
-    return F.aggregate(
-        F.transform(starts, lambda i: F.slice(items, i, STRETCH)),
-        F.struct(state.alias("state"), none.alias("out")),
-        lambda held, part: F.transform(
-            F.array(F.aggregate(part, F.struct(held["state"].alias("state"), none.alias("out")), one)),
-            lambda r: F.struct(r["state"].alias("state"), F.concat(held["out"], r["out"]).alias("out")),
-        )[0],
-    )
+        )
+
+    def over(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(STRETCH))
+        return F.aggregate(
+            F.transform(starts, lambda i: F.slice(xs, i, STRETCH)),
+            F.struct(state.alias("state"), none.alias("out")),
+            lambda held, part: bound(
+                F.aggregate(part, F.struct(held["state"].alias("state"), none.alias("out")), one),
+                lambda r: F.struct(r["state"].alias("state"), F.concat(held["out"], r["out"]).alias("out")),
+            ),
+        )
+
+    return bound(items, over)

@@ -1,7 +1,8 @@
 """Ordered-sequence operators: anchored suppression and merging, gap trips, votes, throttling.
 
 Anchored operators compare with the last kept event, trips with the previous one. Folds run
-as higher-order functions over a key's sorted events, one shuffle by the key.
+as higher-order functions over a key's sorted events, one shuffle by the key; keys too long for
+that are cut into stretches.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
-from .folds import stepped
+from . import stretches
+from .folds import bound, stepped
 
 EVENT = "array<struct<t_ms:bigint,plate:string>>"
 
@@ -52,15 +54,56 @@ def merged(events: Column, merge_ms: int) -> Column:
             F.when(opens & held.isNotNull(), F.array(held)).otherwise(none).alias("emitted"),
         )
 
-    fold = stepped(events, F.lit(None).cast(head), step, EVENT)
-    last = F.filter(F.array(fold["state"]), lambda h: h.isNotNull())
-    return F.concat(fold["out"], last)
+    folded = stepped(events, F.lit(None).cast(head), step, EVENT)
+    return bound(folded, lambda fold: F.concat(fold["out"], F.filter(F.array(fold["state"]), lambda h: h.isNotNull())))
 
 
 def exploded(keyed: DataFrame, key: str) -> DataFrame:
     return keyed.select(key, F.explode("events").alias("e")).select(key, "e.t_ms", "e.plate")
 
 
+#: Keys with more events than this are worked in stretches instead of one list; the rows are the same.
+LISTED = 100_000
+
+
+def by_size(events: DataFrame, key: str, listed, cut) -> DataFrame:
+    """listed(events) of the keys that fit a list, and cut(events) of longer ones, if there are any."""
+    long = events.groupBy(F.col(key).alias("__long")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LISTED).select("__long")
+    if long.isEmpty():
+        return listed(events)
+    long = stretches.written(long, "long-keys")
+    same = F.col(key).eqNullSafe(F.col("__long"))
+    return listed(events.join(long, same, "left_anti")).unionByName(cut(events.join(long, same, "left_semi")))
+
+
+def suppress(events: DataFrame, key: str, window_ms: int) -> DataFrame:
+    """(key, t_ms, plate): of each key the first event, then each that comes more than window_ms after the last kept one."""
+    rows = events.select(key, "t_ms", "plate")
+
+    def listed(part: DataFrame) -> DataFrame:
+        return exploded(sorted_events(part, key).withColumn("events", suppressed(F.col("events"), window_ms)), key)
+
+    return by_size(rows, key, listed, lambda part: stretches.anchored(part, key, window_ms, ["plate"]).filter("keep").select(key, "t_ms", "plate"))
+
+
+def merge(events: DataFrame, key: str, window_ms: int, merge_ms: int) -> DataFrame:
+    """(key, t_ms, plate): suppressed events, those up to merge_ms after the last head merged into it; see `merged`."""
+    rows = events.select(key, "t_ms", "plate")
+
+    def listed(part: DataFrame) -> DataFrame:
+        kept = merged(suppressed(F.col("events"), window_ms), merge_ms)
+        return exploded(sorted_events(part, key).withColumn("events", kept), key)
+
+    def cut(part: DataFrame) -> DataFrame:
+        kept = stretches.anchored(part, key, window_ms, ["plate"]).filter("keep").select(key, "t_ms", "plate")
+        groups = stretches.anchored(kept, key, merge_ms, ["plate"]).groupBy(key, "head")
+        named = F.min_by("plate", F.when(~blank(F.col("plate")), F.col("idx")))
+        heads = groups.agg(F.min("t_ms").alias("t_ms"), F.coalesce(named, F.min_by("plate", "idx")).alias("plate"))
+        return heads.select(key, "t_ms", "plate")
+
+    return by_size(rows, key, listed, cut)
+
+
 def with_trips(events: DataFrame, key: str, gap_ms: int, order: list[str] | None = None) -> DataFrame:
     """Adds trip (from 0) and idx (from 0): a trip ends where the next event comes more than gap_ms later."""
     w = Window.partitionBy(key).orderBy("t_ms", *(order or []))
@@ -116,5 +159,4 @@ def zipped(times: Column, plates: Column) -> Column:
 
 def throttled(ticks: DataFrame, key: str, every_ms: int = 2000) -> DataFrame:
     """Heartbeats: ticks at least every_ms after the last one sent; anchored like suppression."""
-    keyed = sorted_events(ticks.withColumn("plate", F.lit(None).cast("string")), key)
-    return exploded(keyed.withColumn("events", suppressed(F.col("events"), every_ms - 1)), key).drop("plate")
+    return suppress(ticks.withColumn("plate", F.lit(None).cast("string")), key, every_ms - 1).drop("plate")

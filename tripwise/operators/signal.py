@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import DetectParams
 from ..functions.text import frame_ms
+from ..scratch import written
+from . import stretches
 from .folds import stepped
 
 
@@ -44,11 +46,11 @@ STATE = "struct<ema:double,active:boolean,start:bigint,last:bigint>"
 STEP = "struct<ms:bigint,frame:bigint,ratio:double,ema:double,state:string,event:int,t_ms:bigint>"
 
 
-def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> DataFrame:
-    """(video_id, state, out): the two-threshold machine folded over each video's moving frames.
+def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The two-threshold machine over each video's moving frames: (video_id, out) by stretches, and (video_id, active, start) at its end.
 
-    out lists its steps in order: all of them (`every`), or those that end an event; t_ms is the
-    event's middle. The state shown is the one before the step, IDLE once closed.
+    out lists its steps in order: all of them (`every`), or those that end an event; t_ms is the event's middle. The
+    state shown is the one before the step, IDLE once closed. A video may be of any length: see `stretches`.
     """
     least = p.min_frames(fps)
     ms = lambda frame: frame_ms(frame, F.lit(fps))
@@ -81,28 +83,30 @@ def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> Data
 
         return F.transform(F.array(p.ema_alpha * s["ratio"] + (1 - p.ema_alpha) * state["ema"]), judged)[0]
 
-    frames = F.array_sort(F.collect_list(F.struct("frame_idx", "ms", "ratio")))
-    keyed = moving(signal, p, fps).groupBy("video_id").agg(frames.alias("frames"))
-    start = F.expr(f"named_struct('ema', 0D, 'active', false, 'start', -1L, 'last', {-p.cooldown_frames - 1}L)").cast(STATE)
-    folded = keyed.withColumn("fold", stepped(F.col("frames"), start, step, f"array<{STEP}>"))
-    return folded.select("video_id", "fold.state", "fold.out")
+    cut = stretches.grouped_from(moving(signal, p, fps), "video_id", F.col("frame_idx") / p.step_frames)
+    of = F.struct("video_id", "stretch")
+    before = stretches.averages_before(cut, p.ema_alpha).select(of.alias("of"), "ema")
+    averaged = cut.join(before, of == F.col("of")).drop("of")
+    states = written(stretches.states_before(averaged, p, fps), "states")
+    entering = states.filter("stretch >= 0").select(of.alias("of"), "active", "start", "last")
+    state = F.struct("ema", "active", "start", "last").cast(STATE)
+    folded = averaged.join(entering, of == F.col("of")).select("video_id", stepped(F.col("frames"), state, step, f"array<{STEP}>")["out"].alias("out"))
+    return folded, states.filter("stretch < 0").select("video_id", "active", "start")
 
 
 def motion_events(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
     """(video_id, t_ms) of the events: the machine's, and one flushed at a video's end if it is active then."""
     p = p.clamped()
-    ended = machine(signal, p, fps, every=False).join(eof_frames(signal, p, fps), "video_id")
-    length = F.col("eof") - F.col("state.start")
-    tail = F.when(
-        F.col("state.active") & (length >= p.min_frames(fps)),
-        F.array(frame_ms(F.col("state.start") + F.floor(length / 2).cast("bigint"), F.lit(fps))),
-    ).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return ended.select("video_id", F.explode(F.concat(F.transform("out", lambda s: s["t_ms"]), tail)).alias("t_ms"))
+    steps, ends = machine(signal, p, fps, every=False)
+    length = F.col("eof") - F.col("start")
+    flushed = ends.filter("active").join(eof_frames(signal, p, fps), "video_id").filter(length >= p.min_frames(fps))
+    tail = flushed.select("video_id", frame_ms(F.col("start") + F.floor(length / 2).cast("bigint"), F.lit(fps)).alias("t_ms"))
+    return steps.select("video_id", F.explode("out").alias("s")).select("video_id", "s.t_ms").unionByName(tail)
 
 
 def motion_trace(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
     """A row per moving frame: video_id, ms, frame, ratio, ema (6 decimals), state, event (1 where one ends)."""
-    steps = machine(signal, p.clamped(), fps, every=True).select("video_id", F.explode("out").alias("s"))
+    steps = machine(signal, p.clamped(), fps, every=True)[0].select("video_id", F.explode("out").alias("s"))
     six = lambda c: (F.floor(F.col(f"s.{c}") * 1e6 + 0.5) / 1e6).alias(c)
     return steps.select("video_id", "s.ms", "s.frame", six("ratio"), six("ema"), "s.state", "s.event")
 

@@ -53,15 +53,12 @@ def trip_plate_vote(s, d):
 
 @query
 def nms_events(s, d):
-    keyed = sequence.sorted_events(plated(s, d), "detection_id")
-    return sequence.exploded(keyed.withColumn("events", sequence.suppressed(F.col("events"), SERIES.nms_window_ms)), "detection_id")
+    return sequence.suppress(plated(s, d), "detection_id", SERIES.nms_window_ms)
 
 
 @query
 def merge_events(s, d):
-    keyed = sequence.sorted_events(plated(s, d), "detection_id")
-    kept = sequence.merged(sequence.suppressed(F.col("events"), SERIES.nms_window_ms), SERIES.merge_ms)
-    return sequence.exploded(keyed.withColumn("events", kept), "detection_id")
+    return sequence.merge(plated(s, d), "detection_id", SERIES.nms_window_ms, SERIES.merge_ms)
 
 
 @query
