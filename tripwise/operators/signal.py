@@ -83,15 +83,28 @@ def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> tupl
 
         return F.transform(F.array(p.ema_alpha * s["ratio"] + (1 - p.ema_alpha) * state["ema"]), judged)[0]
 
-    cut = stretches.grouped_from(moving(signal, p, fps), "video_id", F.col("frame_idx") / p.step_frames)
+    def folded(entered: DataFrame) -> DataFrame:
+        return entered.select("video_id", stepped(F.col("frames"), F.col("entering"), step, f"array<{STEP}>").alias("fold"))
+
     of = F.struct("video_id", "stretch")
+    cut = stretches.grouped_from(moving(signal, p, fps), "video_id", F.col("frame_idx") / p.step_frames)
+    begin = F.expr(f"named_struct('ema', 0D, 'active', false, 'start', -1L, 'last', {-p.cooldown_frames - 1}L)").cast(STATE)
+    end = lambda held: (F.col(f"{held}.active").alias("active"), F.col(f"{held}.start").alias("start"))
+    # Most videos are one stretch and are folded as they are.
+    long = cut.groupBy(F.col("video_id").alias("long")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("long")
+    if long.isEmpty():
+        whole = folded(cut.withColumn("entering", begin))
+        return whole.select("video_id", "fold.out"), whole.select("video_id", *end("fold.state"))
+    long = written(long, "long-videos")
+    whole = folded(cut.join(long, F.col("video_id").eqNullSafe(F.col("long")), "left_anti").withColumn("entering", begin))
+    cut = cut.join(long, F.col("video_id").eqNullSafe(F.col("long")), "left_semi")
     before = stretches.averages_before(cut, p.ema_alpha).select(of.alias("of"), "ema")
     averaged = cut.join(before, of == F.col("of")).drop("of")
     states = written(stretches.states_before(averaged, p, fps), "states")
     entering = states.filter("stretch >= 0").select(of.alias("of"), "active", "start", "last")
-    state = F.struct("ema", "active", "start", "last").cast(STATE)
-    folded = averaged.join(entering, of == F.col("of")).select("video_id", stepped(F.col("frames"), state, step, f"array<{STEP}>")["out"].alias("out"))
-    return folded, states.filter("stretch < 0").select("video_id", "active", "start")
+    parts = averaged.join(entering, of == F.col("of")).withColumn("entering", F.struct("ema", "active", "start", "last").cast(STATE))
+    ends = states.filter("stretch < 0").select("video_id", "active", "start")
+    return whole.unionByName(folded(parts)).select("video_id", "fold.out"), whole.select("video_id", *end("fold.state")).unionByName(ends)
 
 
 def motion_events(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
