@@ -144,3 +144,19 @@ def test_chat_round_trip(spark):
     assert got[1].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest() and got[1].loss_chars == len(learned)
     assert got[1].n_turns == len(texts) and got[2].n_turns == 2 and got[None].n_turns == 1
     assert chat.chat_report(df.limit(0)).count() == 0
+
+
+def test_long_conversations_grow_with_their_turns(spark):
+    """32,000 turns take no more than a few times as long as 8,000, and the mask holds every assistant text."""
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("<|ü "), F.col("id")).alias("text"))
+        began = time.time()
+        (got,) = chat.chat_report(rows).collect()
+        learned = "".join(f"<|ü {i}" for i in range(1, n, 2))
+        assert got.n_turns == n and got.loss_chars == len(learned) and got.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+        return time.time() - began
+
+    took(1000)
+    assert took(32_000) < 5 * took(8000) + 1

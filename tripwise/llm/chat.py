@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.folds import bound
 from .common import running
 
 # The template's control strings.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+CLOSED = r"<\|im_end\|>\n"
 
 RESETS = ("message", "edit", "regenerate", "delete")
 
@@ -63,7 +65,7 @@ def unescape(text: Column) -> Column:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss (spans of assistant texts in it, code points).
+    """One row per conversation: conv_id, formatted, loss (spans of assistant texts in it, code points, and the turns they are in).
 
     Messages are ordered by (ord, message_id).
     """
@@ -90,14 +92,33 @@ def render(messages: DataFrame) -> DataFrame:
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("formatted"),
         F.transform(
-            F.filter(starts, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))
+            F.filter(F.transform(starts, lambda s, i: F.struct(s["start"], s["length"], i.alias("turn"), s["learn"])), lambda s: s["learn"]),
+            lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["turn"].alias("turn")),
         ).alias("loss"),
     )
 
 
+def masked(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, in order, as they stand in `formatted`.
+
+    The rendered string is split once; a span is cut out of the piece it is in, whose place the running lengths tell.
+    """
+    parts = F.split(formatted, CLOSED, -1)
+
+    def cut(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.length(p) + len(CLOSE))
+        return bound(running(sizes), lambda ends: F.transform(loss, lambda s: within(F.get(pieces, s["turn"]), F.get(ends, s["turn"]), s)))
+
+    def within(piece: Column, end: Column, span: Column) -> Column:
+        base = end - len(CLOSE) - F.length(piece)
+        return F.substring(piece, (span["start"] - base + 1).cast("int"), span["length"])
+
+    return bound(parts, cut)
+
+
 def parse(formatted: Column) -> Column:
     """The turns (role, text) read back from a rendered conversation."""
-    parts = F.split(formatted, r"<\|im_end\|>\n", -1)
+    parts = F.split(formatted, CLOSED, -1)
     turn = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
     return F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
@@ -134,8 +155,9 @@ def chat_report(conversations: DataFrame) -> DataFrame:
         "conv_id",
         "formatted",
         parse(F.col("formatted")).alias("turns"),
-        F.array_join(
-            F.transform("loss", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["length"]))), ""
+        bound(
+            F.array_join(F.transform(masked(F.col("formatted"), F.col("loss")), unescape), ""),
+            lambda t: F.struct(F.length(t).cast("long").alias("chars"), F.sha2(t.cast("binary"), 256).alias("sha256")),
         ).alias("learned"),
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -143,8 +165,8 @@ def chat_report(conversations: DataFrame) -> DataFrame:
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length("learned").cast("long").alias("loss_chars"),
-        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.col("learned.chars").alias("loss_chars"),
+        F.col("learned.sha256").alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
