@@ -53,20 +53,17 @@ def inserted(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataF
     sequence does. plates may be null or shorter than stamps; blank plates are null.
     """
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    new = accepted(existing, requests).crossJoin(last).withColumn("id", F.col("last") + F.col("request_id"))
+    return inserted_rows(accepted(existing, requests).crossJoin(last).withColumn("id", F.col("last") + F.col("request_id")))
+
+
+def inserted_rows(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Detections and events of accepted requests that have their id."""
     detections = new.select("id", "video_id", "merge_ms", F.coalesce(F.size("stamps"), F.lit(0)).alias("events_count"), "created_at")
     events = new.select(F.col("id").alias("detection_id"), "plates", F.posexplode("stamps").alias("pos", "t_ms"))
     plate = F.get("plates", F.col("pos"))
     return conform(detections, DETECTIONS), events.select("detection_id", "t_ms", F.when(~blank(plate), plate).alias("plate"))
 
 
-def append_detections(existing: DataFrame, requests: DataFrame, detections_path: str, events_path: str) -> None:
-    """Appends what `inserted` gives. Events are written first: a detection that is seen has its events."""
-    detections, events = inserted(existing, requests)
-    events.write.mode("append").parquet(events_path)
-    detections.write.mode("append").parquet(detections_path)
-
-
 def delete_cascade(parents: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows whose key (column `key`) is not in gone (column id)."""
     return parents.join(gone.select(F.col("id").alias(key)), key, "left_anti")

@@ -132,15 +132,15 @@ def trace_lines(trace: DataFrame) -> DataFrame:
 
 
 def opened(mask: np.ndarray, size: int) -> np.ndarray:
-    """Erosion, then dilation, with a square of `size` pixels."""
+    """Erosion, then dilation, with a square of `size` pixels; of one mask, or of each in a stack."""
 
     def swept(m: np.ndarray, how) -> np.ndarray:
-        edge = how is np.minimum
-        padded = np.pad(m, size // 2, constant_values=edge)
+        around = [(0, 0)] * (m.ndim - 2) + [(size // 2, size // 2)] * 2
+        padded = np.pad(m, around, constant_values=how is np.minimum)
         out = None
         for i in range(size):
             for j in range(size):
-                part = padded[i : i + m.shape[0], j : j + m.shape[1]]
+                part = padded[..., i : i + m.shape[-2], j : j + m.shape[-1]]
                 out = part if out is None else how(out, part)
         return out
 
@@ -148,11 +148,15 @@ def opened(mask: np.ndarray, size: int) -> np.ndarray:
 
 
 def blurred(gray: np.ndarray) -> np.ndarray:
-    """A 5 x 5 Gaussian blur with binomial weights."""
+    """A 5 x 5 Gaussian blur with binomial weights, of one picture or of each in a stack."""
     weights = np.array([1, 4, 6, 4, 1]) / 16
-    padded = np.pad(gray.astype(float), 2, mode="reflect")
-    rows = sum(w * padded[i : i + gray.shape[0], :] for i, w in enumerate(weights))
-    return np.rint(sum(w * rows[:, i : i + gray.shape[1]] for i, w in enumerate(weights))).astype(np.uint8)
+    padded = np.pad(gray.astype(float), [(0, 0)] * (gray.ndim - 2) + [(2, 2)] * 2, mode="reflect")
+    rows = sum(w * padded[..., i : i + gray.shape[-2], :] for i, w in enumerate(weights))
+    return np.rint(sum(w * rows[..., i : i + gray.shape[-1]] for i, w in enumerate(weights))).astype(np.uint8)
+
+
+#: Pixels of a stack of pictures that is worked on at once.
+STACK = 4_000_000
 
 
 def changed_pixels(frames: DataFrame, p: DetectParams) -> DataFrame:
@@ -167,11 +171,14 @@ def changed_pixels(frames: DataFrame, p: DetectParams) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            changed = []
-            for width, height, now, before in zip(pdf["width"], pdf["height"], pdf["gray"], pdf["before"], strict=True):
-                a, b = (blurred(np.frombuffer(x, np.uint8).reshape(height, width)) for x in (now, before))
-                moved = np.abs(a.astype(int) - b.astype(int)) > p.diff_threshold
-                changed.append(int(opened(moved, p.morph_kernel).sum()))
+            changed = np.zeros(len(pdf), np.int64)
+            # Pictures of one size are worked on together, a stack of bounded size at a time.
+            for (width, height), same in pdf.groupby(["width", "height"]).indices.items():
+                many = max(1, STACK // (width * height))
+                for at in (same[i : i + many] for i in range(0, len(same), many)):
+                    stack = lambda c, at=at, shape=(-1, height, width): np.frombuffer(b"".join(pdf[c].iloc[at]), np.uint8).reshape(shape)
+                    moved = np.abs(blurred(stack("gray")).astype(np.int16) - blurred(stack("before"))) > p.diff_threshold
+                    changed[at] = opened(moved, p.morph_kernel).sum((1, 2))
             yield pd.DataFrame(
                 {"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "changed_px": changed, "total_px": pdf["width"] * pdf["height"]}
             )

@@ -107,13 +107,13 @@ six = lambda x: f"floor({x} * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(
 EOF = "greatest(n // 2 * 2 + 1, n)"
 
 
-def machine(extra_where: str = "", warmup: int = 0, eof: str = EOF) -> str:
+def machine(extra_where: str = "", warmup: int = 0, eof: str = EOF, moving: str = MOVING, high: str = "0.55") -> str:
     """The state machine stepped row by row: e is the average, a whether active, s the start, l the last end, t the event."""
     ms = lambda f: f"CAST(trunc(({f}) / CAST(25 AS DOUBLE) * 1000) AS BIGINT)"
     warm = f" AND {ms('greatest(f.s, k.frame_idx - 1)')} > {warmup}" if warmup else ""
     ema = "(CAST(0.45 AS DOUBLE) * k.ratio + (1 - CAST(0.45 AS DOUBLE)) * f.e)"
-    low = "(CAST(0.55 AS DOUBLE) * CAST(0.9 AS DOUBLE))"
-    return f"""{MOVING}, kept AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM moving {extra_where}),
+    low = f"(CAST({high} AS DOUBLE) * CAST(0.9 AS DOUBLE))"
+    return f"""{moving}, kept AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM moving {extra_where}),
 ends AS (SELECT video_id, {eof} AS eof FROM (SELECT video_id, max(frame_idx) AS n FROM series GROUP BY 1)),
 fsm AS (SELECT video_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS frame, CAST(0 AS BIGINT) AS ms, CAST(0 AS DOUBLE) AS ratio, CAST(0 AS DOUBLE) AS e,
     false AS a, CAST(-1 AS BIGINT) AS s, CAST(-3 AS BIGINT) AS l, CAST(NULL AS BIGINT) AS t, 'IDLE' AS shown FROM ends
@@ -121,7 +121,7 @@ fsm AS (SELECT video_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS frame, CA
     CASE WHEN emits THEN frame_idx ELSE l END, CASE WHEN emits THEN {ms('s + (frame_idx - s) // 2')} END,
     CASE WHEN a AND NOT closes THEN 'ACTIVE' ELSE 'IDLE' END
   FROM (SELECT k.video_id, k.rn, k.frame_idx, k.ms, k.ratio, {ema} AS e2, f.a, f.s, f.l,
-      NOT f.a AND k.frame_idx - f.l > 2 AND {ema} >= CAST(0.55 AS DOUBLE) AS opens, f.a AND {ema} < {low} AS closes,
+      NOT f.a AND k.frame_idx - f.l > 2 AND {ema} >= CAST({high} AS DOUBLE) AS opens, f.a AND {ema} < {low} AS closes,
       f.a AND {ema} < {low} AND k.frame_idx - f.s >= 2{warm} AS emits
     FROM fsm f JOIN kept k ON k.video_id = f.video_id AND k.rn = f.rn + 1)),
 final AS (SELECT f.* FROM fsm f JOIN (SELECT video_id, max(rn) AS rn FROM fsm GROUP BY 1) USING (video_id, rn)),
@@ -129,6 +129,8 @@ found AS (SELECT video_id, t AS t_ms FROM fsm WHERE t IS NOT NULL
   UNION ALL SELECT video_id, {ms('s + (eof - s) // 2')} FROM final JOIN ends USING (video_id) WHERE a AND eof - s >= 2)"""
 
 
+PIXEL_MOVING = """{PIXELS}, series AS (SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx, sum(m) AS changed_px FROM grown GROUP BY 1, 2),
+moving AS (SELECT video_id, frame_idx, CAST(trunc(frame_idx / CAST(25 AS DOUBLE) * 1000) AS BIGINT) AS ms, changed_px / CAST(64 AS DOUBLE) AS ratio FROM series WHERE changed_px >= 6)"""
 TOKENS = f"""{SERIES}, tokens AS (SELECT CAST(video_id * 10000 + frame_idx // 50 AS BIGINT) AS event, CAST(frame_idx % 50 AS INTEGER) AS roi_idx,
   CAST(frame_idx % 3 AS INTEGER) AS offset_ord, raw, changed_px / CAST(5000 AS DOUBLE) AS conf FROM series)"""
 MANIFEST = f"{FILES}, manifest AS (SELECT sha256, path FROM files WHERE ord % 7 = 0)"
@@ -296,6 +298,14 @@ SELECT file_name, count(*) AS n, arg_max(path, ord) AS stays FROM n GROUP BY 1 H
     "video_duration_ms": f"WITH {VIDEOS} SELECT id, CAST(trunc(frames / fps * 1000) AS BIGINT) AS duration_ms FROM videos",
     "upsert_videos": f"""WITH {DETECTIONS} SELECT '/inbox/' || (video_id % 500) || '.mp4' AS path, min(id) AS id, arg_max(merge_ms / CAST(100 AS DOUBLE), id) AS fps,
   arg_max(events_count, id) AS frames, arg_min(created_at, id) AS created_at FROM detections GROUP BY 1""",
+    "stored_detections": f"""WITH {REQUESTS} SELECT CAST(last + request_id AS INTEGER) AS id, CAST(video_id AS INTEGER) AS video_id, merge_ms,
+  CAST(c_custkey % 4 AS INTEGER) AS events_count FROM accepted
+UNION ALL SELECT CAST(id AS INTEGER), CAST(video_id AS INTEGER), merge_ms, events_count FROM detections""",
+    "stored_events_left": """SELECT CAST(l_orderkey AS INTEGER) AS detection_id, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE o_custkey % 3 <> 0 GROUP BY 1""",
+    "stored_videos": f"""WITH {VIDEOS}, old AS (SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS n, * FROM videos)
+SELECT n AS id, path, CASE WHEN id % 3 = 0 THEN CAST(30 AS DOUBLE) ELSE fps END AS fps, frames + CAST(id % 3 = 0 AS BIGINT) AS frames, '2024-01-01' AS created FROM old
+UNION ALL SELECT CAST((SELECT count(*) FROM videos) + row_number() OVER (ORDER BY '/new/' || id) AS INTEGER), '/new/' || id, fps, frames, '2024-01-02' FROM videos WHERE id % 5 = 0""",
     "dedup_detections": f"WITH {DETECTIONS} SELECT * FROM detections QUALIFY row_number() OVER (PARTITION BY video_id, merge_ms ORDER BY created_at DESC, id DESC) = 1",
     "insert_detections": f"""WITH {REQUESTS} SELECT CAST(last + request_id AS INTEGER) AS id, CAST(video_id AS INTEGER) AS video_id, merge_ms,
   CAST(c_custkey % 4 AS INTEGER) AS events_count FROM accepted""",
@@ -323,6 +333,9 @@ UNION ALL SELECT task_id, CASE WHEN task_id % 5 = 0 THEN 'fail' ELSE 'done' END,
 SELECT vec_id, CAST(len(list_filter(list_zip(embedding, before), lambda x: abs(x[1] - x[2]) > 0.05)) AS BIGINT) AS changed FROM p WHERE before IS NOT NULL""",
     "pixel_changes": f"""WITH {PIXELS} SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx, CAST(sum(m) AS BIGINT) AS changed_px,
   CAST(64 AS BIGINT) AS total_px FROM grown GROUP BY ALL""",
+    "frame_scan": f"""WITH {PIXELS}, rows_of AS (SELECT video_id, frame, string_agg(lpad(hex(CAST(v AS BIGINT)), 2, '0'), '' ORDER BY y, x) AS luma FROM px GROUP BY 1, 2)
+SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx, CAST(frame * 40 AS BIGINT) AS ms, 8 AS width, 8 AS height, luma FROM rows_of WHERE frame BETWEEN 3 AND 40""",
+    "frame_events": f"""WITH RECURSIVE {machine(moving=PIXEL_MOVING.replace('{PIXELS}', PIXELS), high='0.4')} SELECT * FROM found""",
     "wanted_frames": f"WITH {SERIES} SELECT video_id, frame_idx, changed_px FROM series WHERE frame_idx % 3 = 0",
     "trips_stream": f"""WITH {marked(21600000)} SELECT detection_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, count(*) AS events_count FROM marked GROUP BY detection_id, trip""",
     "heartbeat_throttle_stream": f"""WITH RECURSIVE {SERIES}, {anchored('series', 'video_id', 43199999)}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import FPS, HOUR_MS, SERIES, DetectParams, OcrParams
 from ..functions import plates, text
 from ..operators import maintenance, ocr, sequence, signal
-from ..sources import views
+from ..scratch import new_folder
+from ..sources import frames, store, views
 from ..streaming import trips as streamed
 from . import reports
 
@@ -493,6 +494,45 @@ def insert_detections_refused(s, d):
     return maintenance.refused(views.detections(s, d), requests(s, d)).select("request_id", "video_id", "merge_ms")
 
 
+def stored(s, d) -> store.Store:
+    """A store that holds the detections and their events."""
+    held = store.Store(s, new_folder(s, "store"))
+    rows = {"detections": views.detections(s, d), "events": views.detection_events(s, d).withColumn("plate", F.lit(None).cast("string"))}
+    held.change("load", 0, lambda now: {name: held.appended(name, part, now) for name, part in rows.items()})
+    return held
+
+
+@query
+def stored_detections(s, d):
+    """Detections read back after requests were inserted twice by the same batch."""
+    held = stored(s, d)
+    for _ in range(2):
+        store.insert_detections(held, requests(s, d), "app", 1)
+    return held.read("detections").select("id", "video_id", "merge_ms", "events_count")
+
+
+@query
+def stored_events_left(s, d):
+    """Stored events of each detection once the videos with an id divisible by 3 are deleted from the store."""
+    held = stored(s, d)
+    gone = views.detections(s, d).filter("video_id % 3 = 0").select("id")
+    store.delete_detections(held, gone, "app", 1)
+    return held.read("events").groupBy("detection_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stored_videos(s, d):
+    """Videos read back after each third was given again at another rate, together with some new ones."""
+    held = store.Store(s, new_folder(s, "store"))
+    first = views.videos(s, d).select("id", "path", "fps", "frames", F.expr("timestamp'2024-01-01 00:00:00'").alias("created_at"))
+    store.upsert_videos(held, first.drop("id"), "app", 1)
+    day = F.expr("timestamp'2024-01-02 00:00:00'")
+    again = first.filter("id % 3 = 0").select("path", F.lit(30.0).alias("fps"), (F.col("frames") + 1).alias("frames"), day.alias("created_at"))
+    new = first.filter("id % 5 = 0").select(F.concat(F.lit("/new/"), "id").alias("path"), "fps", "frames", day.alias("created_at"))
+    store.upsert_videos(held, again.unionByName(new), "app", 2)
+    return held.read("videos").select("id", "path", "fps", "frames", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
 @query
 def dedup_detections(s, d):
     return maintenance.dedup_detections(views.detections(s, d))
@@ -625,6 +665,32 @@ def pixel_changes(s, d):
     return signal.changed_pixels(pictures(s, d), DetectParams(step_frames=2, diff_threshold=12, morph_kernel=3))
 
 
+def videos_of_pictures(s, d) -> str:
+    """A folder with the pictures of each label as a video file."""
+    folder = new_folder(s, "videos")
+    frames.write_frames(pictures(s, d).withColumn("path", F.concat(F.lit("cam/"), "video_id", F.lit(".y4m"))), folder)
+    return folder
+
+
+def scanned(s, folder: str, **options) -> DataFrame:
+    video = F.regexp_extract("path", r"([0-9]+)\.y4m$", 1).cast("bigint")
+    return frames.read_frames(s, folder, **options).withColumn("video_id", video)
+
+
+@query
+def frame_scan(s, d):
+    """Every second frame of all video files, of the frame numbers from 3 to 40: other frames are not read."""
+    rows = scanned(s, videos_of_pictures(s, d), step=2).filter("frame_idx >= 3 AND frame_idx <= 40")
+    return rows.select("video_id", "frame_idx", "ms", "width", "height", F.hex("gray").alias("luma"))
+
+
+@query
+def frame_events(s, d):
+    """From video files to motion events: frames, changed pixels, the two-threshold machine."""
+    p = DetectParams(**(SERIES.__dict__ | {"diff_threshold": 12, "morph_kernel": 3, "event_ratio": 0.4, "min_changed_pixels": 6}))
+    return signal.motion_events(signal.changed_pixels(scanned(s, videos_of_pictures(s, d), step=p.step_frames), p), p, FPS)
+
+
 @query
 def wanted_frames(s, d):
     """Frames fetched by number."""
