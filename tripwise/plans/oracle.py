@@ -250,7 +250,6 @@ SELECT page_id, url, CASE WHEN url ILIKE '%youtube.com%' OR url ILIKE '%youtu.be
     "parse_detection_id": f"""WITH {PAGED} SELECT id, CAST(CASE WHEN id % 5 IN (0) THEN NULL WHEN id % 5 = 1 THEN id ELSE id END AS INTEGER) AS parsed
 FROM joined""",
     "ocr_token_clean": f"WITH {SERIES} SELECT event_id, {clean('''raw || '-' ''')} AS token FROM series",
-    "camera_backoff": "SELECT CAST(n AS INTEGER) AS retries, CASE WHEN n <= 3 THEN CAST(least(2000, 500 * 2 ** least(3, n - 1)) AS INTEGER) END AS wait_ms FROM range(1, 8) r(n)",
     "camera_error_text": "SELECT page_id, left(html, 1000) AS last_error FROM pages",
     "ocr_line_fold": "SELECT page_id, nullif(trim(translate(html, chr(10) || chr(13), '  ')), '') AS line FROM pages",
     "parallel_lists": f"WITH {PLATED} SELECT detection_id, t_ms, CASE WHEN detection_id % 3 > 0 THEN coalesce(plate, '') END AS plate FROM plated",
@@ -341,4 +340,11 @@ SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx,
     "heartbeat_throttle_stream": f"""WITH RECURSIVE {SERIES}, {anchored('series', 'video_id', 43199999)}
 SELECT video_id AS camera_id, t_ms FROM walk WHERE keep""",
     "heartbeat_stream": "SELECT user_id AS camera_id, epoch_us(max(ts)) // 1000 AS last_seen_ms, count(*) AS beats FROM events GROUP BY 1",
+    "camera_retries": """WITH b AS (SELECT user_id AS camera_id, epoch_us(ts) // 1000 AS t FROM events),
+n AS (SELECT *, lead(t) OVER w AS nxt, lag(t) OVER w AS prv FROM b WINDOW w AS (PARTITION BY camera_id ORDER BY t)),
+tries(k, after, wait) AS (VALUES (1, 12, 2), (2, 14, 4), (3, 18, 8), (4, 26, 0))
+SELECT camera_id, CAST(t + after * 3600000 AS BIGINT) AS at_ms, CASE WHEN k = 4 THEN 'STOPPED' ELSE 'ERROR' END AS state, CAST(k AS INTEGER) AS retries,
+  CAST(wait * 3600000 AS BIGINT) AS wait_ms, t AS last_seen_ms FROM n, tries WHERE nxt IS NULL OR t + after * 3600000 < nxt
+UNION ALL SELECT camera_id, t, 'OK', 0, 0, t FROM n WHERE t - prv > 43200000""",
 }
+ORACLES["live_trips"] = ORACLES["trips"]

@@ -12,6 +12,7 @@ from ..functions import plates, text
 from ..operators import maintenance, ocr, sequence, signal
 from ..scratch import new_folder
 from ..sources import frames, store, views
+from ..streaming import live
 from ..streaming import trips as streamed
 from . import reports
 
@@ -302,11 +303,6 @@ def ocr_token_clean(s, d):
     return raws(s, d).select("event_id", plates.clean_token(F.concat("raw", F.lit("-"))).alias("token"))
 
 
-@query
-def camera_backoff(s, d):
-    return s.range(1, 8).select(F.col("id").cast("int").alias("retries"), text.backoff_ms(F.col("id").cast("int")).alias("wait_ms"))
-
-
 @query
 def camera_error_text(s, d):
     return views.table(s, d, "pages").select("page_id", text.error_text(F.col("html")).alias("last_error"))
@@ -714,3 +710,15 @@ def heartbeat_throttle_stream(s, d):
 @query
 def heartbeat_stream(s, d):
     return streamed.camera_health_once(s, f"{d}/events.parquet")
+
+
+@query
+def live_trips(s, d):
+    """Trips with plates and index ranges as a stream with state: the rows of `trips`."""
+    return live.live_trips_once(s, f"{d}/events.parquet", TRIP_GAP)
+
+
+@query
+def camera_retries(s, d):
+    """The events replayed as heartbeats: errors after 12 hours, tries 2, 4 and 8 hours apart, then the camera is stopped."""
+    return live.camera_retries_once(s, f"{d}/events.parquet", 12 * HOUR_MS, wait_ms=2 * HOUR_MS, max_wait_ms=8 * HOUR_MS)

@@ -9,8 +9,6 @@ stream over files to its end and return what its sink holds.
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..scratch import new_folder
+
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -44,13 +44,8 @@ def session_trips(events: DataFrame, gap: str, lateness: str = "1 hour") -> Data
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names; where it is unset: a temporary
-    one in local mode, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = tempfile.mkdtemp(prefix="spark-stream-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one; removed with the others of this application when the process ends."""
+    return new_folder(spark, "stream")
 
 
 def batches_to(path: str) -> Callable[[DataFrame, int], None]:
@@ -73,17 +68,19 @@ def run_to_end(stream: DataFrame, mode: str, at: str) -> None:
     started.awaitTermination()
 
 
-def session_trips_once(spark: SparkSession, path: str, gap: str) -> DataFrame:
-    """All trips of a finite stream, in append mode.
-
-    A closing event far in the future is read in the same batch as the files there are; it moves the watermark
-    past all trips, so the batch without data that follows puts them out. Its own trip stays open.
-    """
-    at = _folder(spark)
+def closed_by_an_event(spark: SparkSession, path: str, at: str, user: int | None = None) -> DataFrame:
+    """A file stream and one event far in the future: read in the same batch as the files there are, it moves the watermark
+    past all others, so the batch without data that follows puts them out. What it opens itself stays open."""
     closing = f"{at}/closing"
-    spark.createDataFrame([(None, datetime.datetime(9000, 1, 1), None, None, None, None)], EVENTS).write.parquet(closing)
+    spark.createDataFrame([(None, datetime.datetime(2200, 1, 1), user, None, None, None)], EVENTS).write.parquet(closing)
     late = spark.readStream.schema(EVENTS).parquet(closing).withColumn("ts", F.col("ts").cast("timestamp"))
-    run_to_end(session_trips(read_events(spark, path).unionByName(late), gap), "append", at)
+    return read_events(spark, path).unionByName(late)
+
+
+def session_trips_once(spark: SparkSession, path: str, gap: str) -> DataFrame:
+    """All trips of a finite stream, in append mode."""
+    at = _folder(spark)
+    run_to_end(session_trips(closed_by_an_event(spark, path, at), gap), "append", at)
     return spark.read.parquet(f"{at}/out").drop("epoch")
 
 
@@ -134,14 +131,19 @@ def throttled_stream(ticks: DataFrame, every_ms: int = 2000) -> DataFrame:
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def throttled_once(spark: SparkSession, path: str, every_ms: int) -> DataFrame:
-    """The heartbeats (camera_id, t_ms) that a finite stream sends on."""
-    at = _folder(spark)
-    ticks = read_events(spark, path).select(F.col("user_id").alias("camera_id"), F.unix_millis("ts").alias("t_ms"))
+def stateful_to_end(stream: DataFrame, at: str) -> DataFrame:
+    """Runs a stream with keyed state to its end, its state in RocksDB, and reads what it put out."""
+    spark = stream.sparkSession
     held = spark.conf.get(STORE, None)
     spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        run_to_end(throttled_stream(ticks, every_ms), "append", at)
+        run_to_end(stream, "append", at)
     finally:
         spark.conf.set(STORE, held) if held else spark.conf.unset(STORE)
     return spark.read.parquet(f"{at}/out").drop("epoch")
+
+
+def throttled_once(spark: SparkSession, path: str, every_ms: int) -> DataFrame:
+    """The heartbeats (camera_id, t_ms) that a finite stream sends on."""
+    ticks = read_events(spark, path).select(F.col("user_id").alias("camera_id"), F.unix_millis("ts").alias("t_ms"))
+    return stateful_to_end(throttled_stream(ticks, every_ms), _folder(spark))
