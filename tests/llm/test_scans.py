@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -232,3 +233,28 @@ def test_templates_below_a_folder(spark, tmp_path):
     (tmp_path / "a" / "My-1.0.txt").write_text("some license\ntext")
     (tmp_path / "Other").write_text("more")
     assert sorted(map(tuple, licenses.templates_below(spark, str(tmp_path)).collect())) == [("My-1.0", "some license\ntext"), ("Other", "more")]
+
+
+def test_many_templates_are_found_by_hashes(spark, make_docs, monkeypatch):
+    """Beyond MOST_PHRASES the same rows come from a semi-join, however many phrases there are."""
+    rng = random.Random(5)
+    some = [f"w{i}" for i in range(4000)]
+    templates = [(f"t{i:03}", " ".join(rng.choices(some, k=300))) for i in range(60)] + [("short", "two words"), ("one", "w17")]
+    rows = [(i, " ".join(rng.choices(some, k=200) + (templates[i % 60][1].split() if i % 3 == 0 else []) + rng.choices(some, k=50))) for i in range(40)]
+    rows += [(50, " ".join(t for _, t in templates[:40])), (51, "here are two words"), (52, None), (53, ""), (54, templates[3][1]), (54, templates[3][1])]
+    table = spark.createDataFrame(templates, "license string, text string")
+    hashed = sorted(map(tuple, licenses.license_report(make_docs(rows), table).collect()))
+    assert licenses.hitting_phrases(table.select(licenses.words(F.col("text")).alias("w"))).count() > licenses.MOST_PHRASES
+    monkeypatch.setattr(licenses, "MOST_PHRASES", 10**6)
+    assert hashed == sorted(map(tuple, licenses.license_report(make_docs(rows), table).collect()))
+    by = {r[0]: r for r in hashed}
+    assert all((by[i][1] > 0 and templates[i % 60][0] in by[i][2].split(",")) for i in range(0, 40, 3)) and len(by[50][2].split(",")) >= 40 and "short" in by[51][2] and by[52][1] == by[53][1] == 0
+
+
+def test_license_ties_between_equal_shares(spark, make_docs):
+    """Two licenses of the same words both match; a place repeated far off counts twice, one beside itself once."""
+    words = [f"x{i}" for i in range(20)]
+    table = spark.createDataFrame([("a", " ".join(words)), ("b", " ".join(words)), ("c", " ".join(words[:10] + ["y"] * 10))], "license string, text string")
+    twice = " ".join(words + ["z"] * 60 + words)
+    (got,) = licenses.license_report(make_docs([(1, twice)]), table).collect()
+    assert (got.n_matches, got.licenses, got.share) == (4, "a,b", 1.0)

@@ -10,8 +10,9 @@ are counted for each such place before anything else is done with them; then the
 the template's shingles that the text really has there is computed exactly, once for each place.
 
 Only texts that hold the longest three neighbouring words of some template shingle are looked at: no
-other text can share a shingle. Everything is a column expression; the driver gets those phrases
-only, and templates may be as many and as long as a table holds.
+other text can share a shingle. Everything is a column expression; the driver gets MOST_PHRASES of
+those phrases at most, and where there are more they stay a table: templates may be as many and as
+long as a table holds.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .license_texts import LICENSES
 SHINGLE = 5
 PHRASE = 3
 TASK_WORDS = 100_000
+#: Up to so many phrases are looked for by one regular expression while texts are read; more by a semi-join of hashes. The rows are the same.
+MOST_PHRASES = 5_000
 BANDS = 4
 CONTAINMENT = 0.8
 #: Window lengths, the longest first; a template takes the first of which any verbatim copy holds a window.
@@ -83,16 +86,27 @@ def bands(hashes: Column, v: Column, step: Column) -> Column:
     return F.flatten(F.transform(places, lambda i: F.concat(*[least(i, b) for b in range(BANDS)])))
 
 
-def hitting_phrases(known: DataFrame) -> list[str]:
-    """The longest PHRASE neighbouring words of each shingle of each template (w): every shared shingle brings one of them."""
+def hitting_phrases(known: DataFrame) -> DataFrame:
+    """(x): the longest PHRASE neighbouring words of each shingle of each template (w), as lists: every shared shingle brings one."""
     k = F.least(F.lit(SHINGLE), F.size("w"))
     m = F.least(F.lit(PHRASE), k)
 
     def phrase(i: Column) -> Column:
-        return F.struct(F.length(F.array_join(F.slice("w", i, m), "")).alias("n"), F.array_join(F.slice("w", i, m), " ").alias("x"))
+        return F.struct(F.length(F.array_join(F.slice("w", i, m), "")).alias("n"), F.slice("w", i, m).alias("x"))
 
     longest = _each(F.size("w") - (k - 1), lambda i: F.array_max(F.transform(F.sequence(i, i + k - m), phrase))["x"])
-    return sorted(r["x"] for r in known.select(F.explode(longest).alias("x")).distinct().collect())
+    return known.select(F.explode(longest).alias("x")).distinct()
+
+
+def holding(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(row): the rows (row, w) that hold one of any number of phrases, by hash: a semi-join of their distinct word runs.
+
+    Spark broadcasts the hashes where they are small and shuffles both sides where they are not. Equal hashes
+    of different words let a row through that the exact check then judges; no row is lost.
+    """
+    runs = F.array_distinct(F.concat(*[_each(F.size("w") - (m - 1), lambda i, m=m: F.xxhash64(F.slice("w", i, m))) for m in range(1, PHRASE + 1)]))
+    coded = phrases.select(F.xxhash64("x").alias("code")).distinct()
+    return rows.select("row", F.explode(runs).alias("code")).join(coded, "code", "left_semi").select("row").distinct()
 
 
 def pattern_of(phrases: list[str]) -> str:
@@ -132,13 +146,12 @@ def _places(texts: DataFrame, known: DataFrame, kinds: list, containment: float)
         F.max_by("start", F.struct("votes", -F.col("start"))).alias("start"), F.sum("votes").alias("votes")
     )
     lists = best.groupBy("row", "k").agg(F.collect_list(F.struct("tid", "n", "start", "votes")).alias("places"))
-    slack = lambda p: F.floor(p["n"] / 4).cast("int")
-    first = lambda p: F.greatest(F.lit(0), p["start"] - slack(p)).cast("int")
-    around = lambda p: F.slice("s", first(p) + 1, F.greatest(F.lit(0), p["start"] + p["n"] + slack(p) - first(p)).cast("int"))
-    found = texts.join(lists, "row").select("row", "places", shingles(F.col("w"), F.col("k")).alias("s"))
-    read = found.select(
-        "row", F.explode(F.transform("places", lambda p: F.struct(p["tid"].alias("tid"), p["start"].alias("start"), p["votes"].alias("votes"), around(p).alias("here")))).alias("p")
-    )
+    # A row for each place before anything is cut out of the text: a long text with many places is never held many times over.
+    each = texts.join(lists, "row").select("row", "places", shingles(F.col("w"), F.col("k")).alias("s")).select("row", "s", F.explode("places").alias("p"))
+    slack = F.floor(F.col("p.n") / 4).cast("int")
+    first = F.greatest(F.lit(0), F.col("p.start") - slack).cast("int")
+    here = F.slice("s", first + 1, F.greatest(F.lit(0), F.col("p.start") + F.col("p.n") + slack - first).cast("int"))
+    read = each.select("row", F.struct("p.tid", "p.start", "p.votes", here.alias("here")).alias("p"))
     share = F.size(F.array_intersect("t", "here")) / F.size(F.array_distinct("t"))
     checked = read.select("row", "p.*").join(table, "tid").select("row", "license", "n", "start", "votes", share.alias("share"))
     checked = checked.filter(F.col("share") >= containment)
@@ -157,10 +170,16 @@ def _scanned(docs: DataFrame, templates: DataFrame, containment: float) -> tuple
     n = F.size("w") - F.col("k") + 1
     v = F.coalesce(*[F.when(n >= x + max(1, x // 2) - 1, F.lit(x)) for x in LENGTHS])
     known = materialize(known.select(F.monotonically_increasing_id().alias("tid"), "license", "w", "k", v.alias("v")), "license-words")
-    found = hitting_phrases(known)
-    text = F.lower(text_or_empty())
-    w = F.when(text.rlike(pattern_of(found)), words(text_or_empty())) if found else F.lit(None).cast("array<string>")
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")), "license-rows")
+    phrases = materialize(hitting_phrases(known), "license-phrases")
+    found = sorted(" ".join(r["x"]) for r in phrases.limit(MOST_PHRASES + 1).collect())
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text"))
+    if len(found) > MOST_PHRASES:
+        rows = materialize(numbered.select("row", "doc_id", words(F.col("text")).alias("w")), "license-rows")
+        held = materialize(holding(rows.select("row", "w"), phrases), "license-held")
+        rows = rows.join(held.withColumn("held", F.lit(True)), "row", "left").select("row", "doc_id", F.when(F.col("held"), F.col("w")).alias("w"))
+    else:
+        w = F.when(F.lower("text").rlike(pattern_of(found)), words(F.col("text"))) if found else F.lit(None).cast("array<string>")
+        rows = materialize(numbered.select("row", "doc_id", w.alias("w")), "license-rows")
     # At most one pair for each shorter shingle and one for each window length.
     kinds = [(r["k"], r["v"]) for r in known.select("k", "v").distinct().orderBy("k", "v").collect()]
     if not kinds:
