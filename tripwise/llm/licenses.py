@@ -104,7 +104,11 @@ def holding(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     Spark broadcasts the hashes where they are small and shuffles both sides where they are not. Equal hashes
     of different words let a row through that the exact check then judges; no row is lost.
     """
-    runs = F.array_distinct(F.concat(*[_each(F.size("w") - (m - 1), lambda i, m=m: F.xxhash64(F.slice("w", i, m))) for m in range(1, PHRASE + 1)]))
+
+    def runs_of(m: int) -> Column:
+        return _each(F.size("w") - (m - 1), lambda i: F.xxhash64(F.slice("w", i, m)))
+
+    runs = F.array_distinct(F.concat(*[runs_of(m) for m in range(1, PHRASE + 1)]))
     coded = phrases.select(F.xxhash64("x").alias("code")).distinct()
     return rows.select("row", F.explode(runs).alias("code")).join(coded, "code", "left_semi").select("row").distinct()
 
