@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import OcrParams
 from ..functions import plates
 from ..functions.text import blank, clamp, int_list, jround
+from ..scratch import written
 
 # The fractions of a frame at which regions begin, and their sizes, in scanning order.
 FX = [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85]
@@ -61,16 +63,19 @@ def snapshot_frames(events: DataFrame, fps: float, offsets: str) -> DataFrame:
     )
 
 
-def roi_grid(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """The 324 regions of a frame in scanning order: roi_idx, rx, ry, rw, rh."""
+def roi_grid(frames: DataFrame) -> DataFrame:
+    """The 324 regions of each frame size (width, height) of frames, in scanning order: width, height, roi_idx, rx, ry, rw, rh."""
     axis = lambda name, values: F.posexplode(F.array(*[F.lit(v) for v in values])).alias(f"{name}_i", name)
-    grid = spark.range(1).select(axis("fx", FX))
+    grid = frames.select("width", "height").distinct().select("*", axis("fx", FX))
     for name, values in (("fw", FW), ("fy", FY), ("fh", FH)):
         grid = grid.select("*", axis(name, values))
     idx = ((F.col("fx_i") * 3 + F.col("fw_i")) * 4 + F.col("fy_i")) * 3 + F.col("fh_i")
-    at = lambda size, f: clamp(jround(F.lit(size) * f), F.lit(0), F.lit(size - 1))
-    placed = grid.select(idx.alias("roi_idx"), at(width, F.col("fx")).alias("rx"), at(height, F.col("fy")).alias("ry"), "fw", "fh")
+    width, height = F.col("width").cast("bigint"), F.col("height").cast("bigint")
+    at = lambda size, f: clamp(jround(size * F.col(f)), F.lit(0), size - 1)
+    placed = grid.select("width", "height", idx.alias("roi_idx"), at(width, "fx").alias("rx"), at(height, "fy").alias("ry"), "fw", "fh")
     return placed.select(
+        "width",
+        "height",
         "roi_idx",
         "rx",
         "ry",
@@ -91,11 +96,11 @@ def within_budget(calls: DataFrame, key: str, p: OcrParams) -> DataFrame:
     return calls.withColumn("call", F.row_number().over(order)).filter(F.col("call") <= p.max_calls)
 
 
-def best_plates(tokens: DataFrame, key: str, p: OcrParams) -> DataFrame:
+def best_plates(tokens: DataFrame, key: str, p: OcrParams, stop: str | None = None) -> DataFrame:
     """(key, plate): regions in order; stop at enough votes or a full plate, else the best score wins.
 
     tokens: key, roi_idx, raw. Votes of a plate run along roi_idx; the score of a token that is
-    no plate never wins.
+    no plate never wins. `stop` names a column that says whether reading was stopped.
     """
     read = tokens.filter(F.col("roi_idx") < p.max_roi).withColumn("norm", plates.normalize(F.col("raw"), p.include_region))
     length = F.length("norm")
@@ -109,10 +114,50 @@ def best_plates(tokens: DataFrame, key: str, p: OcrParams) -> DataFrame:
     return ranked.groupBy(key).agg(
         F.coalesce(
             F.max(F.when(F.col("roi_idx") == F.col("stop"), F.col("norm"))), F.max(F.when(F.col("rk") == 1, F.col("norm")))
-        ).alias("plate")
+        ).alias("plate"),
+        *([F.max(F.col("stop").isNotNull()).alias(stop)] if stop else []),
     )
 
 
+def read_in_rounds(regions: DataFrame, backend: OcrBackend, p: OcrParams, first: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(event, plate, calls) and the tokens read, of regions (event, offset_ord, roi_idx, png) that a backend is asked for only while it matters.
+
+    An event's regions are ranked by offset, then region; those from max_roi on, or beyond its budget of max_calls, are
+    never read. Each round sends the next `first` ranks (twice as many each time) of the events that are still open: an
+    offset is done where its votes stop it or its last region is read, an event with the first offset that has a plate.
+    What a round reads is written, so that no region is read twice. The plates are those of reading everything.
+    """
+    at = F.struct("event", "offset_ord")
+    wanted = regions.filter(F.col("roi_idx") < p.max_roi)
+    ranked = within_budget(wanted, "event", p).withColumn("last", F.max("call").over(Window.partitionBy("event", "offset_ord")))
+    ranked = written(ranked.select("event", "offset_ord", "roi_idx", "png", "call", "last"), "regions")
+    most = ranked.agg(F.max("call")).first()[0] or 0
+    rounds, low, high, width = [], 0, first, first
+    open_events = ranked.select("event").distinct()
+    done = None
+    while low < most:
+        asked = ranked.filter((F.col("call") > low) & (F.col("call") <= high)).join(open_events, "event", "left_semi")
+        if done is not None:
+            asked = asked.join(done, ["event", "offset_ord"], "left_anti")
+        rounds.append(written(read_tokens(asked, backend), "tokens"))
+        tokens = reduce(DataFrame.unionByName, rounds)
+        plated = best_plates(tokens.withColumn("at", at), "at", p, stop="stops").select("at.*", "plate", "stops")
+        complete = ranked.select("event", "offset_ord", "last").distinct().filter(F.col("last") <= high).select("event", "offset_ord", F.lit(True).alias("read"))
+        state = plated.join(complete, ["event", "offset_ord"], "left")
+        done = written(state.filter("stops OR read").select("event", "offset_ord", "plate"), "offsets-done")
+        decided = done.filter(~blank(F.col("plate"))).select("event").distinct()
+        low, high, width = high, high + 2 * width, 2 * width
+        open_events = written(ranked.filter(F.col("call") > low).select("event").distinct().join(decided, "event", "left_anti"), "open")
+        done = done.select("event", "offset_ord")
+        if open_events.isEmpty():
+            break
+    if not rounds:
+        tokens = read_tokens(ranked, backend)
+    found = first_offset_plates(best_plates(tokens.withColumn("at", at), "at", p).select("at.*", "plate"), "event")
+    calls = tokens.select("event", "offset_ord", "roi_idx").distinct().groupBy("event").agg(F.count(F.lit(1)).alias("calls"))
+    return found.join(calls, "event"), tokens
+
+
 def first_offset_plates(found: DataFrame, key: str) -> DataFrame:
     """(key, plate): the plate of the first offset that has one."""
     return found.groupBy(key).agg(F.min_by("plate", F.when(~blank(F.col("plate")), F.col("offset_ord"))).alias("plate"))

@@ -259,9 +259,10 @@ FROM joined""",
     "roi_grid": """WITH a AS (SELECT * FROM (SELECT unnest([0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85]) AS fx, generate_subscripts([0, 1, 2, 3, 4, 5, 6, 7, 8], 1) - 1 AS i),
   (SELECT unnest([0.12, 0.18, 0.25]) AS fw, generate_subscripts([0, 1, 2], 1) - 1 AS j), (SELECT unnest([0.35, 0.45, 0.55, 0.65]) AS fy, generate_subscripts([0, 1, 2, 3], 1) - 1 AS k),
   (SELECT unnest([0.08, 0.12, 0.18]) AS fh, generate_subscripts([0, 1, 2], 1) - 1 AS l)),
-b AS (SELECT CAST(((i * 3 + j) * 4 + k) * 3 + l AS INTEGER) AS roi_idx, CAST(floor(1920 * CAST(fx AS DOUBLE) + 0.5) AS BIGINT) AS rx,
-  CAST(floor(1080 * CAST(fy AS DOUBLE) + 0.5) AS BIGINT) AS ry, CAST(floor(1920 * CAST(fw AS DOUBLE) + 0.5) AS BIGINT) AS w, CAST(floor(1080 * CAST(fh AS DOUBLE) + 0.5) AS BIGINT) AS h FROM a)
-SELECT roi_idx, rx, ry, least(w, 1920 - rx) AS rw, least(h, 1080 - ry) AS rh FROM b""",
+z AS (SELECT DISTINCT CAST(p_size * 16 + 640 AS INTEGER) AS width, CAST(floor((p_size * 16 + 640) * 9 / CAST(16 AS DOUBLE)) AS INTEGER) AS height FROM part),
+b AS (SELECT width, height, CAST(((i * 3 + j) * 4 + k) * 3 + l AS INTEGER) AS roi_idx, CAST(floor(width * CAST(fx AS DOUBLE) + 0.5) AS BIGINT) AS rx,
+  CAST(floor(height * CAST(fy AS DOUBLE) + 0.5) AS BIGINT) AS ry, CAST(floor(width * CAST(fw AS DOUBLE) + 0.5) AS BIGINT) AS w, CAST(floor(height * CAST(fh AS DOUBLE) + 0.5) AS BIGINT) AS h FROM a, z)
+SELECT width, height, roi_idx, rx, ry, least(w, width - rx) AS rw, least(h, height - ry) AS rh FROM b""",
     "roi_quality_gate": f"""WITH {SERIES} SELECT event_id, changed_px / CAST(500000 AS DOUBLE) >= 0.1 AND (changed_px % 1000) / CAST(1000 AS DOUBLE) BETWEEN 0.01 AND 0.9 AS passes FROM series""",
     "ocr_budget": f"WITH {TOKENS} SELECT event, offset_ord, roi_idx, row_number() OVER (PARTITION BY event ORDER BY offset_ord, roi_idx) AS call FROM tokens QUALIFY call <= 20",
     "roi_best_plate": f"""WITH {TOKENS}, r AS (SELECT event, roi_idx, {plate('raw')} AS norm FROM tokens WHERE roi_idx < 40),
@@ -269,6 +270,13 @@ v AS (SELECT *, count(*) OVER (PARTITION BY event, norm ORDER BY roi_idx) AS v,
 s AS (SELECT *, min(CASE WHEN norm IS NOT NULL AND ((v >= 2 AND length(norm) >= 6) OR length(norm) >= 8) THEN roi_idx END) OVER (PARTITION BY event) AS stop,
   row_number() OVER (PARTITION BY event ORDER BY norm IS NOT NULL DESC, length(norm) DESC NULLS LAST, kind DESC, roi_idx) AS rk FROM v)
 SELECT event, coalesce(max(CASE WHEN roi_idx = stop THEN norm END), max(CASE WHEN rk = 1 THEN norm END)) AS plate FROM s GROUP BY event""",
+    "roi_read_in_rounds": f"""WITH {TOKENS}, r AS (SELECT event, roi_idx, {plate('raw')} AS norm, row_number() OVER (PARTITION BY event ORDER BY roi_idx) AS call FROM tokens WHERE roi_idx < 40),
+v AS (SELECT *, count(*) OVER (PARTITION BY event, norm ORDER BY roi_idx) AS v, {kind("norm")} AS kind FROM r),
+s AS (SELECT *, min(CASE WHEN norm IS NOT NULL AND ((v >= 2 AND length(norm) >= 6) OR length(norm) >= 8) THEN call END) OVER (PARTITION BY event) AS stop,
+  row_number() OVER (PARTITION BY event ORDER BY norm IS NOT NULL DESC, length(norm) DESC NULLS LAST, kind DESC, roi_idx) AS rk FROM v)
+SELECT event, coalesce(max(CASE WHEN call = stop THEN norm END), max(CASE WHEN rk = 1 THEN norm END)) AS plate,
+  CAST(least(max(call), coalesce(CASE WHEN min(stop) <= 1 THEN 1 WHEN min(stop) <= 3 THEN 3 WHEN min(stop) <= 7 THEN 7 WHEN min(stop) <= 15 THEN 15 WHEN min(stop) <= 31 THEN 31 END, 40)) AS BIGINT) AS calls
+FROM s GROUP BY event""",
     "event_plate_first_offset": f"""WITH {TOKENS}, f AS (SELECT event, offset_ord, max({plate('raw')}) AS plate FROM tokens GROUP BY ALL)
 SELECT event, (array_agg(plate ORDER BY offset_ord) FILTER (WHERE plate IS NOT NULL))[1] AS plate FROM f GROUP BY event""",
     "ocr_best_token": f"""WITH RECURSIVE {TOKENS}, f AS (SELECT event, roi_idx, {clean('raw')} AS text, conf FROM tokens),

@@ -340,7 +340,9 @@ def ocr_snapshot_frames(s, d):
 
 @query
 def roi_grid(s, d):
-    return ocr.roi_grid(s, 1920, 1080)
+    """Regions of frames whose sizes the parts tell: their number times 16 wide, and 9 in 16 of that high."""
+    width = (F.col("p_size") * 16 + 640).cast("int")
+    return ocr.roi_grid(views.table(s, d, "part").select(width.alias("width"), F.floor(width * 9 / 16).cast("int").alias("height")))
 
 
 @query
@@ -372,6 +374,20 @@ def roi_best_plate(s, d):
     return ocr.best_plates(tokens(s, d), "event", OcrParams(max_roi=40, stop_votes_min_len=6))
 
 
+class Written:
+    """A backend for pictures that hold their text as bytes."""
+
+    def words(self, png: bytes) -> list[tuple[str, float]]:
+        return [(png.decode(), 90.0)]
+
+
+@query
+def roi_read_in_rounds(s, d):
+    """Plates as `roi_best_plate` finds them, and the regions read for each: fewer than there are where votes stop the reading."""
+    regions = tokens(s, d).select("event", F.lit(0).alias("offset_ord"), "roi_idx", F.col("raw").cast("binary").alias("png"))
+    return ocr.read_in_rounds(regions, Written(), OcrParams(max_roi=40, stop_votes_min_len=6))[0]
+
+
 @query
 def event_plate_first_offset(s, d):
     found = tokens(s, d).groupBy("event", "offset_ord").agg(F.max(plates.normalize(F.col("raw"))).alias("plate"))
