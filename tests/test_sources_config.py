@@ -109,8 +109,15 @@ def test_regions_are_read_by_a_backend(spark):
 
 def test_queue_hooks(spark, tmp_path):
     tasks = spark.createDataFrame([(1, "PENDING"), (2, "RUNNING"), (3, "DONE")], "task_id long, status string")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    at = str(calls)
 
     def work(task: int) -> None:
+        import uuid
+
+        with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(task))
         if task == 2:
             raise ValueError("y" * 3000)
 
@@ -118,6 +125,7 @@ def test_queue_hooks(spark, tmp_path):
     got = sorted((r.task_id, r.op, r.progress, len(r.error or "")) for r in log.collect())
     assert got == [(1, "done", 100, 0), (1, "start", 0, 0), (2, "fail", 0, 1000), (2, "start", 0, 0)]
     log.write.parquet(f"{tmp_path}/log")
+    assert log.count() == 4 and len(list(calls.iterdir())) == 2  # three actions on the log, each task worked once
     seen = []
     stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
     maintenance.notify(stream, lambda batch, epoch: seen.extend(r.op for r in batch.collect()), f"{tmp_path}/c").awaitTermination()

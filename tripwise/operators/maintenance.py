@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, clamp, error_text, file_name
 from ..schemas import DETECTIONS, conform
+from ..scratch import written
 
 
 def upsert_videos(log: DataFrame) -> DataFrame:
@@ -130,6 +131,8 @@ def processed(tasks: DataFrame, work: Callable[[int], None]) -> DataFrame:
     """A queue log (task_id, op, progress, error) of running `work` for each unfinished task, in Spark tasks.
 
     A task starts, then is done, or fails with its error cut to 1000 characters; one failure stops no other task.
+    The work is done once, here: the log is stored, and reading it again runs nothing. (A Spark task that is lost midway
+    is run again with the tasks it held, so work must bear being repeated after a crash.)
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +148,8 @@ def processed(tasks: DataFrame, work: Callable[[int], None]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["task_id", "op", "progress", "error"])
 
     log = unfinished(tasks).select(F.col("task_id").cast("long").alias("task_id"))
-    return log.mapInPandas(run, "task_id long, op string, progress int, error string").withColumn("error", error_text(F.col("error")))
+    done = log.mapInPandas(run, "task_id long, op string, progress int, error string")
+    return written(done.withColumn("error", error_text(F.col("error"))), "queue-log")
 
 
 def notify(log: DataFrame, listener: Callable[[DataFrame, int], None], checkpoint: str):
