@@ -43,13 +43,14 @@ def eof_frames(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
 
 
 STATE = "struct<ema:double,active:boolean,start:bigint,last:bigint>"
+END = "struct<active:boolean,start:bigint>"
 STEP = "struct<ms:bigint,frame:bigint,ratio:double,ema:double,state:string,event:int,t_ms:bigint>"
 
 
-def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> tuple[DataFrame, DataFrame]:
-    """The two-threshold machine over each video's moving frames: (video_id, out) by stretches, and (video_id, active, start) at its end.
+def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> DataFrame:
+    """The two-threshold machine over each video's moving frames: (video_id, out, end), rows for stretches of it.
 
-    out lists its steps in order: all of them (`every`), or those that end an event; t_ms is the event's middle. The
+    end is the state (active, start) at the video's end, in one of its rows. out lists its steps in order: all of them (`every`), or those that end an event; t_ms is the event's middle. The
     state shown is the one before the step, IDLE once closed. A video may be of any length: see `stretches`.
     """
     least = p.min_frames(fps)
@@ -84,17 +85,16 @@ def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> tupl
         return F.transform(F.array(p.ema_alpha * s["ratio"] + (1 - p.ema_alpha) * state["ema"]), judged)[0]
 
     def folded(entered: DataFrame) -> DataFrame:
-        return entered.select("video_id", stepped(F.col("frames"), F.col("entering"), step, f"array<{STEP}>").alias("fold"))
+        fold = entered.select("video_id", stepped(F.col("frames"), F.col("entering"), step, f"array<{STEP}>").alias("fold"))
+        return fold.select("video_id", "fold.out", F.struct("fold.state.active", "fold.state.start").cast(END).alias("end"))
 
     of = F.struct("video_id", "stretch")
     cut = stretches.grouped_from(moving(signal, p, fps), "video_id", F.col("frame_idx") / p.step_frames)
     begin = F.expr(f"named_struct('ema', 0D, 'active', false, 'start', -1L, 'last', {-p.cooldown_frames - 1}L)").cast(STATE)
-    end = lambda held: (F.col(f"{held}.active").alias("active"), F.col(f"{held}.start").alias("start"))
     # Most videos are one stretch and are folded as they are.
     long = cut.groupBy(F.col("video_id").alias("long")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("long")
     if long.isEmpty():
-        whole = folded(cut.withColumn("entering", begin))
-        return whole.select("video_id", "fold.out"), whole.select("video_id", *end("fold.state"))
+        return folded(cut.withColumn("entering", begin))
     long = written(long, "long-videos")
     whole = folded(cut.join(long, F.col("video_id").eqNullSafe(F.col("long")), "left_anti").withColumn("entering", begin))
     cut = cut.join(long, F.col("video_id").eqNullSafe(F.col("long")), "left_semi")
@@ -103,23 +103,25 @@ def machine(signal: DataFrame, p: DetectParams, fps: float, every: bool) -> tupl
     states = written(stretches.states_before(averaged, p, fps), "states")
     entering = states.filter("stretch >= 0").select(of.alias("of"), "active", "start", "last")
     parts = averaged.join(entering, of == F.col("of")).withColumn("entering", F.struct("ema", "active", "start", "last").cast(STATE))
-    ends = states.filter("stretch < 0").select("video_id", "active", "start")
-    return whole.unionByName(folded(parts)).select("video_id", "fold.out"), whole.select("video_id", *end("fold.state")).unionByName(ends)
+    inner = folded(parts).withColumn("end", F.lit(None).cast(END))
+    ends = states.filter("stretch < 0").select("video_id", F.expr(f"cast(array() as array<{STEP}>)").alias("out"), F.struct("active", "start").cast(END).alias("end"))
+    return whole.unionByName(inner).unionByName(ends)
 
 
 def motion_events(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
     """(video_id, t_ms) of the events: the machine's, and one flushed at a video's end if it is active then."""
     p = p.clamped()
-    steps, ends = machine(signal, p, fps, every=False)
-    length = F.col("eof") - F.col("start")
-    flushed = ends.filter("active").join(eof_frames(signal, p, fps), "video_id").filter(length >= p.min_frames(fps))
-    tail = flushed.select("video_id", frame_ms(F.col("start") + F.floor(length / 2).cast("bigint"), F.lit(fps)).alias("t_ms"))
-    return steps.select("video_id", F.explode("out").alias("s")).select("video_id", "s.t_ms").unionByName(tail)
+    rows = machine(signal, p, fps, every=False).join(eof_frames(signal, p, fps), "video_id")
+    length = F.col("eof") - F.col("end.start")
+    flushed = F.col("end.active") & (length >= p.min_frames(fps))
+    middle = F.array(frame_ms(F.col("end.start") + F.floor(length / 2).cast("bigint"), F.lit(fps)))
+    tail = F.when(flushed, middle).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return rows.select("video_id", F.explode(F.concat(F.transform("out", lambda s: s["t_ms"]), tail)).alias("t_ms"))
 
 
 def motion_trace(signal: DataFrame, p: DetectParams, fps: float) -> DataFrame:
     """A row per moving frame: video_id, ms, frame, ratio, ema (6 decimals), state, event (1 where one ends)."""
-    steps = machine(signal, p.clamped(), fps, every=True)[0].select("video_id", F.explode("out").alias("s"))
+    steps = machine(signal, p.clamped(), fps, every=True).select("video_id", F.explode("out").alias("s"))
     six = lambda c: (F.floor(F.col(f"s.{c}") * 1e6 + 0.5) / 1e6).alias(c)
     return steps.select("video_id", "s.ms", "s.frame", six("ratio"), six("ema"), "s.state", "s.event")
 
