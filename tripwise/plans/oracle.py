@@ -313,6 +313,10 @@ UNION ALL SELECT CAST(id AS INTEGER), CAST(video_id AS INTEGER), merge_ms, event
     "stored_videos": f"""WITH {VIDEOS}, old AS (SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS n, * FROM videos)
 SELECT n AS id, path, CASE WHEN id % 3 = 0 THEN CAST(30 AS DOUBLE) ELSE fps END AS fps, frames + CAST(id % 3 = 0 AS BIGINT) AS frames, '2024-01-01' AS created FROM old
 UNION ALL SELECT CAST((SELECT count(*) FROM videos) + row_number() OVER (ORDER BY '/new/' || id) AS INTEGER), '/new/' || id, fps, frames, '2024-01-02' FROM videos WHERE id % 5 = 0""",
+    "stored_upgrade": f"""WITH {DETECTIONS}, {DET_EVENTS}, kept AS (SELECT * FROM detections
+  QUALIFY row_number() OVER (PARTITION BY video_id, merge_ms ORDER BY created_at DESC, id DESC) = 1)
+SELECT CAST(id AS INTEGER) AS id, CAST(video_id AS INTEGER) AS video_id, merge_ms, (SELECT count(*) FROM det_events WHERE detection_id = kept.id) AS n_events,
+  CAST(0 AS BIGINT) AS n_plates, 6 AS version FROM kept""",
     "dedup_detections": f"WITH {DETECTIONS} SELECT * FROM detections QUALIFY row_number() OVER (PARTITION BY video_id, merge_ms ORDER BY created_at DESC, id DESC) = 1",
     "insert_detections": f"""WITH {REQUESTS} SELECT CAST(last + request_id AS INTEGER) AS id, CAST(video_id AS INTEGER) AS video_id, merge_ms,
   CAST(c_custkey % 4 AS INTEGER) AS events_count FROM accepted""",
@@ -340,6 +344,13 @@ UNION ALL SELECT task_id, CASE WHEN task_id % 5 = 0 THEN 'fail' ELSE 'done' END,
 SELECT vec_id, CAST(len(list_filter(list_zip(embedding, before), lambda x: abs(x[1] - x[2]) > 0.05)) AS BIGINT) AS changed FROM p WHERE before IS NOT NULL""",
     "pixel_changes": f"""WITH {PIXELS} SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx, CAST(sum(m) AS BIGINT) AS changed_px,
   CAST(64 AS BIGINT) AS total_px FROM grown GROUP BY ALL""",
+    "snapshot_files": f"""WITH {SERIES}, pics AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1:64] AS e FROM embeddings),
+luma AS (SELECT label, frame, string_agg(lpad(hex(CAST(greatest(0, least(255, floor(CAST(e[p + 1] AS DOUBLE) * 400 + 128))) AS BIGINT)), 2, '0'), '' ORDER BY p) AS h
+  FROM (SELECT *, unnest(range(0, 64)) AS p FROM pics) GROUP BY 1, 2)
+SELECT 'v' || (event_id % 10) || '/det_' || video_id || '/event_' || event_id || '.pgm' AS name, CAST(75 AS BIGINT) AS length,
+  sha256(unhex('50350A3820380A3235350A' || h)) AS sha256 FROM series JOIN luma ON label = event_id % 10 AND frame = greatest(0, k * 40 - 700) * 25 // 1000""",
+    "inbox_files": f"""WITH {NEW_FILES}, last AS (SELECT max(ord) AS ord FROM fresh GROUP BY regexp_extract(path, '([^/]+)$', 1))
+SELECT regexp_extract(path, '([^/]+)$', 1) AS name, CAST(strlen(coalesce(content, '')) AS BIGINT) AS length, files.sha256 AS sha256 FROM last JOIN files USING (ord)""",
     "frame_scan": f"""WITH {PIXELS}, rows_of AS (SELECT video_id, frame, string_agg(lpad(hex(CAST(v AS BIGINT)), 2, '0'), '' ORDER BY y, x) AS luma FROM px GROUP BY 1, 2)
 SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx, CAST(frame * 40 AS BIGINT) AS ms, 8 AS width, 8 AS height, luma FROM rows_of WHERE frame BETWEEN 3 AND 40""",
     "frame_events": f"""WITH RECURSIVE {machine(moving=PIXEL_MOVING.replace('{PIXELS}', PIXELS), high='0.4')} SELECT * FROM found""",
@@ -347,6 +358,8 @@ SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame AS BIGINT) AS frame_idx,
     "trips_stream": f"""WITH {marked(21600000)} SELECT detection_id, min(t_ms) AS t_start_ms, max(t_ms) AS t_end_ms, count(*) AS events_count FROM marked GROUP BY detection_id, trip""",
     "heartbeat_throttle_stream": f"""WITH RECURSIVE {SERIES}, {anchored('series', 'video_id', 43199999)}
 SELECT video_id AS camera_id, t_ms FROM walk WHERE keep""",
+    "camera_log_stream": f"""WITH {SERIES} SELECT video_id AS camera_id, count(*) AS lines, count(*) FILTER (WHERE event_id % 3 = 0) AS errors,
+  max(t_ms) AS last_ms, CAST(1 + (count(*) > 10)::INTEGER AS BIGINT) AS batches FROM series GROUP BY 1""",
     "heartbeat_stream": "SELECT user_id AS camera_id, epoch_us(max(ts)) // 1000 AS last_seen_ms, count(*) AS beats FROM events GROUP BY 1",
     "camera_retries": """WITH b AS (SELECT user_id AS camera_id, epoch_us(ts) // 1000 AS t FROM events),
 n AS (SELECT *, lead(t) OVER w AS nxt, lag(t) OVER w AS prv FROM b WINDOW w AS (PARTITION BY camera_id ORDER BY t)),
@@ -355,4 +368,9 @@ SELECT camera_id, CAST(t + after * 3600000 AS BIGINT) AS at_ms, CASE WHEN k = 4
   CAST(wait * 3600000 AS BIGINT) AS wait_ms, t AS last_seen_ms FROM n, tries WHERE nxt IS NULL OR t + after * 3600000 < nxt
 UNION ALL SELECT camera_id, t, 'OK', 0, 0, t FROM n WHERE t - prv > 43200000""",
 }
+_lines = ORACLES["motion_trace_lines"].removeprefix("WITH RECURSIVE ")
+_steps, _, _rows = _lines.partition("\nSELECT video_id, frame, printf")
+ORACLES["trace_files"] = f"""WITH RECURSIVE {_steps}, lines AS (SELECT video_id, frame, printf{_rows}),
+whole AS (SELECT video_id, string_agg(line || chr(10), '' ORDER BY frame) AS t FROM lines GROUP BY 1)
+SELECT video_id || '.csv' AS name, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS sha256 FROM whole"""
 ORACLES["live_trips"] = ORACLES["trips"]

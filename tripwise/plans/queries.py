@@ -11,8 +11,8 @@ from ..config import FPS, HOUR_MS, SERIES, DetectParams, OcrParams
 from ..functions import plates, text
 from ..operators import maintenance, ocr, sequence, signal
 from ..scratch import new_folder
-from ..sources import frames, store, views
-from ..streaming import live
+from ..sources import files, frames, store, upgrade, views
+from ..streaming import live, logs
 from ..streaming import trips as streamed
 from . import reports
 
@@ -545,6 +545,19 @@ def stored_videos(s, d):
     return held.read("videos").select("id", "path", "fps", "frames", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
+@query
+def stored_upgrade(s, d):
+    """A store of the first schema version that holds every detection, brought to the last: doubles and their events go, events get a plate."""
+    old = store.Store(s, new_folder(s, "store"), upgrade.tables_of(1))
+    rows = {"detections": views.detections(s, d), "events": views.detection_events(s, d)}
+    old.change("load", 0, lambda now: {name: old.appended(name, part, now) for name, part in rows.items()})
+    held = store.Store(s, old.root, upgrade.tables_of(upgrade.LAST))
+    upgrade.upgrade(held)
+    found = held.read("events").groupBy(F.col("detection_id").alias("id")).agg(F.count(F.lit(1)).alias("n_events"), F.count("plate").alias("n_plates"))
+    kept = held.read("detections").join(found, "id", "left").select("id", "video_id", "merge_ms", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("n_plates", F.lit(0)).alias("n_plates"))
+    return kept.withColumn("version", F.lit(upgrade.schema_version(held)))
+
+
 @query
 def dedup_detections(s, d):
     return maintenance.dedup_detections(views.detections(s, d))
@@ -710,9 +723,65 @@ def wanted_frames(s, d):
     return views.series(s, d).join(wanted, ["video_id", "frame_idx"], "left_semi").select("video_id", "frame_idx", "changed_px")
 
 
+# Files
+
+
+def hashed_files(s, folder: str, name: str) -> DataFrame:
+    """Files read back: name (what the pattern finds of the path), length and the hash of the content."""
+    return files.stored_files(s, folder).select(F.regexp_extract("path", f"({name})$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def snapshot_files(s, d):
+    """A picture for each event that lies within its video, taken out of the video files 700 ms before the event."""
+    video, seek = F.col("event_id") % 10, F.greatest(F.lit(0), F.col("k") * 40 - 700)
+    events = views.series(s, d).select(
+        video.alias("video_id"), F.floor(seek * FPS / 1000).alias("frame_idx"), F.format_string("v%d/det_%d/event_%d.pgm", video, "video_id", "event_id").alias("name")
+    )
+    taken = scanned(s, videos_of_pictures(s, d)).join(events, ["video_id", "frame_idx"])
+    folder = new_folder(s, "snapshots")
+    files.write_files(taken.select("name", files.grey_picture(F.col("width"), F.col("height"), F.col("gray")).alias("content")), folder)
+    return hashed_files(s, folder, "v[0-9]+/det_[0-9]+/event_[0-9]+[.]pgm")
+
+
+@query
+def inbox_files(s, d):
+    """The inbox once all new files are copied to it: of files with one name the last walked stays."""
+    source = new_folder(s, "usb")
+    walked = views.files(s, d)
+    files.write_files(walked.select(F.concat(F.col("ord").cast("string"), F.lit("/"), text.file_name(F.col("path"))).alias("name"), "content"), source)
+    new = maintenance.new_files(walked, views.manifest_lines(manifest(s, d)))
+    name = text.file_name(F.col("path"))
+    folder = new_folder(s, "inbox")
+    files.copy_files(new.select("ord", name.alias("name"), F.concat_ws("/", F.lit(source), F.col("ord").cast("string"), name).alias("source")), folder, "ord")
+    return hashed_files(s, folder, "[^/]+")
+
+
+@query
+def trace_files(s, d):
+    """The motion trace of each video as a CSV file."""
+    lines = signal.trace_lines(signal.motion_trace(views.series(s, d), SERIES, FPS))
+    folder = new_folder(s, "traces")
+    files.write_files(lines.select(F.format_string("%d.csv", "video_id").alias("name"), F.concat("line", F.lit("\n")).alias("content"), "frame"), folder, "frame")
+    return hashed_files(s, folder, "[^/]+")
+
+
 # Streams
 
 
+@query
+def camera_log_stream(s, d):
+    """Events as lines of camera logs, streamed until the logs end, and on from the checkpoint once they have grown: no line lost or read twice."""
+    late = F.when(F.col("event_id") % 3 == 0, ",timeout").otherwise("")
+    lines = views.series(s, d).select(F.format_string("%d.log", "video_id").alias("name"), F.concat(F.col("t_ms").cast("string"), late, F.lit("\n")).alias("content"), "frame_idx")
+    folder, at = new_folder(s, "logs"), new_folder(s, "stream")
+    for part in (lines.filter("frame_idx <= 10"), lines):
+        files.write_files(part, folder, "frame_idx")
+        streamed.run_to_end(logs.read_logs(s, folder, partBytes=4096), "append", at)
+    read = s.read.parquet(f"{at}/out").groupBy("camera_id")
+    return read.agg(F.count(F.lit(1)).alias("lines"), F.count("error").alias("errors"), F.max("t_ms").alias("last_ms"), F.count_distinct("epoch").alias("batches"))
+
+
 @query
 def trips_stream(s, d):
     return streamed.session_trips_once(s, f"{d}/events.parquet", "6 hours")

@@ -15,11 +15,7 @@ def _table(columns: str) -> T.StructType:
 
 VIDEOS = _table("id int!, path string!, fps double!, frames bigint!, created_at timestamp!")
 DETECTIONS = _table("id int!, video_id int!, merge_ms int!, events_count int!, created_at timestamp!")
-EVENTS = _table("id int!, detection_id int!, t_ms bigint!, plate string")
 CAMERAS = _table("id int!, name string!, url string!, active boolean!, created_at timestamp, last_seen_at timestamp, last_error string")
-SIGNAL = _table("video_id bigint, frame_idx bigint, changed_px bigint, total_px bigint")
-OCR_TOKENS = _table("video_id bigint, event_idx bigint, offset_ord int, roi_idx int, raw string, conf double")
-MANIFEST = _table("sha256 string, path string, duration_ms bigint")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

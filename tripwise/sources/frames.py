@@ -13,7 +13,6 @@ that pyarrow opens (a plain path is a local or mounted one). Compressed videos a
 from __future__ import annotations
 
 import fnmatch
-import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,6 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import (
     DataSource,
-    DataSourceArrowWriter,
     DataSourceReader,
     EqualTo,
     Filter,
@@ -32,9 +30,10 @@ from pyspark.sql.datasource import (
     InputPartition,
     LessThan,
     LessThanOrEqual,
-    WriterCommitMessage,
 )
 
+from .files import FilesWriter, opened
+
 SCHEMA = "path string, frame_idx long, ms long, width int, height int, gray binary"
 ARROW = pa.schema([("path", pa.string()), ("frame_idx", pa.int64()), ("ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("gray", pa.binary())])
 #: Fixed values of the format: the marks a file and a frame begin with, and the planes' bytes for each luma byte, by colour space.
@@ -43,10 +42,6 @@ PLANES = {"mono": 1.0, "420": 1.5, "422": 2.0, "444": 3.0}
 FPS = 25.0
 
 
-def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Shape:
     """Where a file's frames are."""
@@ -169,61 +164,22 @@ class FrameReader(DataSourceReader):
             yield batch()
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    drafts: list[tuple[str, str]]
-
-
-class FrameWriter(DataSourceArrowWriter):
+class FrameWriter(FilesWriter):
     """Writes rows (path, frame_idx, width, height, gray) as a grey video for each path below the folder.
 
-    Rows must come sorted by (path, frame_idx), a path in one task, as `one_file_a_path` deals them. Files get
-    their names when the whole write is committed; a task that fails, or is run twice, leaves none behind.
+    Rows must come sorted by (path, frame_idx), a path in one task, as `write_frames` deals them.
     """
 
-    def __init__(self, options: dict):
-        self.path, self.fps = options["path"], options.get("fps", "25:1")
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        import uuid
+    by = "path"
 
-        files, root = opened(self.path)
-        drafts, out, now, attempt = [], None, None, uuid.uuid4().hex
-        try:
-            for b in batches:
-                for row in b.to_pylist():
-                    if row["path"] != now:
-                        if out is not None:
-                            out.close()
-                        now = row["path"]
-                        target = posixpath.join(root, now)
-                        draft = posixpath.join(posixpath.dirname(target), f".{posixpath.basename(target)}.{attempt}")
-                        files.create_dir(posixpath.dirname(target), recursive=True)
-                        drafts.append((draft, target))
-                        out = files.open_output_stream(draft)
-                        out.write(f"YUV4MPEG2 W{row['width']} H{row['height']} F{self.fps} Cmono\n".encode())
-                    out.write(FRAME + bytes(row["gray"]))
-            if out is not None:
-                out.close()
-        except BaseException:
-            if out is not None:
-                out.close()
-            for draft, _ in drafts:
-                files.delete_file(draft)
-            raise
-        return Written(drafts)
-
-    def commit(self, messages: list[Written]) -> None:
-        files, _ = opened(self.path)
-        for m in messages:
-            for draft, target in m.drafts if m else []:
-                files.move(draft, target)
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.fps = options.get("fps", "25:1")
 
-    def abort(self, messages: list[Written]) -> None:
-        files, _ = opened(self.path)
-        for m in messages:
-            for draft, _ in m.drafts if m else []:
-                files.delete_file(draft)
+    def pieces(self, row: dict, first: bool) -> Iterator[bytes]:
+        if first:
+            yield f"YUV4MPEG2 W{row['width']} H{row['height']} F{self.fps} Cmono\n".encode()
+        yield FRAME + bytes(row["gray"])
 
 
 class FrameSource(DataSource):
