@@ -337,6 +337,12 @@ SELECT last + request_id AS detection_id, CAST(c_custkey * 1000 + 10 * (n + 1) A
 SELECT task_id, 'start' AS op, 0 AS progress, CAST(NULL AS VARCHAR) AS error FROM u
 UNION ALL SELECT task_id, CASE WHEN task_id % 5 = 0 THEN 'fail' ELSE 'done' END, CASE WHEN task_id % 5 = 0 THEN 0 ELSE 100 END,
   CASE WHEN task_id % 5 = 0 THEN left('task ' || task_id || ' ' || repeat('x', 2000), 1000) END FROM u""",
+    "queue_stream": f"""WITH {QUEUE}, asked AS (SELECT task_id, CASE WHEN seq % 5 < 2 THEN 1 ELSE 2 END AS run, seq, op IN ('cancel', 'fail', 'done') AS cancels FROM queue_log),
+first AS (SELECT * FROM (SELECT task_id, run, min(seq) AS seq FROM asked WHERE NOT cancels GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY run) = 1),
+settled AS (SELECT task_id, EXISTS (SELECT 1 FROM asked a WHERE a.task_id = f.task_id AND a.run = f.run AND a.seq > f.seq AND cancels) AS canceled FROM first f)
+SELECT task_id, CASE WHEN canceled THEN 'CANCELED' WHEN task_id % 5 = 0 THEN 'FAILED' ELSE 'DONE' END AS status,
+  CASE WHEN canceled OR task_id % 5 = 0 THEN 0 ELSE 100 END AS progress,
+  CASE WHEN NOT canceled AND task_id % 5 = 0 THEN left('task ' || task_id || ' ' || repeat('x', 2000), 1000) END AS error FROM settled""",
     "queue_progress": f"WITH {QUEUE} SELECT seq, CAST(greatest(0, least(100, progress)) AS INTEGER) AS progress FROM queue_log",
     "snapshot_csv_parse": f"""WITH {SERIES} SELECT event_id AS ord, '/v' || video_id || '.mp4' AS video_path, t_ms, CAST(video_id AS VARCHAR) AS detection_id,
   CAST(event_id AS VARCHAR) AS event_id FROM series WHERE event_id <> 0 AND k % 10 <> 0""",

@@ -12,7 +12,7 @@ from ..functions import plates, text
 from ..operators import maintenance, ocr, sequence, signal
 from ..scratch import new_folder
 from ..sources import files, frames, store, upgrade, views
-from ..streaming import live, logs
+from ..streaming import live, logs, queue
 from ..streaming import trips as streamed
 from . import reports
 
@@ -782,6 +782,22 @@ def camera_log_stream(s, d):
     return read.agg(F.count(F.lit(1)).alias("lines"), F.count("error").alias("errors"), F.max("t_ms").alias("last_ms"), F.count_distinct("epoch").alias("batches"))
 
 
+@query
+def queue_stream(s, d):
+    """Tasks asked for and canceled by a stream in two runs: what the first run has claimed, the second cannot cancel. Each fifth task fails."""
+
+    def work(task: int) -> None:
+        if task % 5 == 0:
+            raise ValueError(f"task {task} " + "x" * 2000)
+
+    asked, at = new_folder(s, "requests"), new_folder(s, "stream")
+    requests = queue_log(s, d).select("seq", "task_id", F.when(F.col("op").isin("cancel", "fail", "done"), "cancel").otherwise("enqueue").alias("op"))
+    for part in ("seq % 5 < 2", "seq % 5 >= 2"):
+        requests.filter(part).write.mode("append").parquet(asked)
+        found = queue.work_off(s.readStream.schema(requests.schema).parquet(asked), work, at)
+    return found
+
+
 @query
 def trips_stream(s, d):
     return streamed.session_trips_once(s, f"{d}/events.parquet", "6 hours")

@@ -57,10 +57,10 @@ def batches_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_end(stream: DataFrame, mode: str, at: str) -> None:
+def run_to_end(stream: DataFrame, mode: str, at: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:
     started = (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(batches_to(f"{at}/out"))
+        .foreachBatch(sink or batches_to(f"{at}/out"))
         .option("checkpointLocation", f"{at}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -131,13 +131,13 @@ def throttled_stream(ticks: DataFrame, every_ms: int = 2000) -> DataFrame:
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def stateful_to_end(stream: DataFrame, at: str) -> DataFrame:
+def stateful_to_end(stream: DataFrame, at: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream with keyed state to its end, its state in RocksDB, and reads what it put out."""
     spark = stream.sparkSession
     held = spark.conf.get(STORE, None)
     spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        run_to_end(stream, "append", at)
+        run_to_end(stream, "append", at, sink)
     finally:
         spark.conf.set(STORE, held) if held else spark.conf.unset(STORE)
     return spark.read.parquet(f"{at}/out").drop("epoch")
