@@ -777,7 +777,7 @@ def camera_log_stream(s, d):
     folder, at = new_folder(s, "logs"), new_folder(s, "stream")
     for part in (lines.filter("frame_idx <= 10"), lines):
         files.write_files(part, folder, "frame_idx")
-        streamed.run_to_end(logs.read_logs(s, folder, partBytes=4096), "append", at)
+        streamed.run_to_end(logs.read_logs(s, folder, partBytes=65_536), "append", at)
     read = s.read.parquet(f"{at}/out").groupBy("camera_id")
     return read.agg(F.count(F.lit(1)).alias("lines"), F.count("error").alias("errors"), F.max("t_ms").alias("last_ms"), F.count_distinct("epoch").alias("batches"))
 

@@ -5,8 +5,8 @@
 
 A camera appends lines `<t_ms>` or `<t_ms>,<error>` to `<camera_id>.log`. The offset holds, for each file, the bytes
 read so far; it ends at a line's end, so a line half written waits for the next batch. A batch is cut into ranges of
-bytes, a task each, and a range that is read again gives the same rows: a stream that goes on from its checkpoint
-neither loses nor repeats a line. Rows are (camera_id, t_ms, ts, error); lines that do not begin with a time, and
+bytes, partBytes in a task, and a range that is read again gives the same rows: a stream that goes on from its checkpoint
+neither loses nor repeats a line. Short ranges share a task. Rows are (camera_id, t_ms, ts, error); lines that do not begin with a time, and
 files that are not named by a number, are passed over. A log that became shorter is read from its new end on.
 """
 
@@ -31,7 +31,7 @@ LEAST_MS, MOST_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Bytes of a log; a line belongs to the range it begins in."""
 
     name: str
@@ -39,6 +39,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Part(InputPartition):
+    """The ranges that a task reads."""
+
+    ranges: list[Range]
+
+
 def last_line_end(files: arrow_fs.FileSystem, path: str, size: int) -> int:
     """The position after a file's last newline, looked for from its end; 0 if it has none."""
     with files.open_input_file(path) as f:
@@ -61,10 +68,31 @@ def parsed(camera: int, line: bytes) -> tuple | None:
     return camera, int(t), int(t) * 1000, error or None
 
 
+def rows_in(f, r: Range) -> Iterator[tuple]:
+    """The rows of the lines that begin in a range of an open log."""
+    camera = int(r.name.rpartition(".")[0])
+    # From the byte before: a range that begins with a line finds the newline there, any other skips to the next one.
+    at, rest, inside = max(0, r.start - 1), b"", r.start == 0
+    f.seek(at)
+    while at < r.end or (inside and rest):
+        block = f.read(BLOCK)
+        at_line = at - len(rest)
+        *lines, rest = (rest + block).split(b"\n")
+        for line in lines:
+            if inside and at_line < r.end and (row := parsed(camera, line)):
+                yield row
+            at_line += len(line) + 1
+            inside = True
+        at += len(block)
+        if not block or at_line >= r.end:
+            return
+
+
 class CameraLogReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.part_bytes = max(1, int(options.get("partbytes", 64_000_000)))
+        self.looked_at: dict[str, tuple[int, int]] = {}  # a log's size and where its last line ended then
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
@@ -75,40 +103,35 @@ class CameraLogReader(DataSourceStreamReader):
         for i in files.get_file_info(arrow_fs.FileSelector(root, allow_not_found=True)):
             stem, dot, kind = i.base_name.rpartition(".")
             if i.is_file and dot and kind == "log" and stem.isascii() and stem.isdigit():
-                ends[i.base_name] = last_line_end(files, i.path, i.size)
+                size, end = self.looked_at.get(i.base_name, (-1, 0))
+                ends[i.base_name] = end if size == i.size else last_line_end(files, i.path, i.size)
+                self.looked_at[i.base_name] = i.size, ends[i.base_name]
         return dict(sorted(ends.items()))
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [
-            Range(name, at, min(last, at + self.part_bytes))
-            for name, last in end.items()
-            for at in range(start.get(name, 0), last, self.part_bytes)
-        ]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        parts, room = [], 0
+        for name, last in end.items():
+            at = start.get(name, 0)
+            while at < last:
+                if room <= 0:
+                    parts.append(Part([]))
+                    room = self.part_bytes
+                to = min(last, at + room)
+                parts[-1].ranges.append(Range(name, at, to))
+                room -= to - at
+                at = to
+        return parts
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         files, root = opened(self.path)
-        camera, rows = int(part.name.rpartition(".")[0]), []
-        with files.open_input_file(posixpath.join(root, part.name)) as f:
-            at = max(0, part.start - 1)
-            f.seek(at)
-            # From the byte before: a range that begins with a line finds the newline there, any other skips to the next one.
-            rest, inside = b"", part.start == 0
-            while at < part.end or (inside and rest):
-                block = f.read(BLOCK)
-                lines = (rest + block).split(b"\n")
-                at_line = at - len(rest)
-                rest = lines.pop()
-                for line in lines:
-                    if inside and at_line < part.end and (row := parsed(camera, line)):
-                        rows.append(row)
-                    at_line += len(line) + 1
-                    inside = True
-                at += len(block)
-                if len(rows) >= 10_000:
-                    yield batch(rows)
-                    rows = []
-                if not block or at_line >= part.end:
-                    break
+        rows = []
+        for r in part.ranges:
+            with files.open_input_file(posixpath.join(root, r.name)) as f:
+                for row in rows_in(f, r):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield batch(rows)
+                        rows = []
         if rows:
             yield batch(rows)
 
