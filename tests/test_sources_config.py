@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from tripwise import config, schemas
@@ -84,11 +84,32 @@ def test_manifest_grows_by_new_files(spark, tmp_path):
     for grown in (2, 0):
         fresh = maintenance.new_files(files, views.manifest_lines(spark.read.text(at)).filter("duration_ms IS NOT NULL"))
         assert fresh.count() == grown
-        maintenance.append_manifest(fresh, F.lit(1500), at)
+        for _ in range(2):  # a call that is repeated
+            maintenance.append_manifest(fresh, F.lit(1500), at)
     got = views.manifest_lines(spark.read.text(at)).filter("duration_ms = 1500").collect()
     assert sorted(r.path for r in got) == ["/u/x.mp4", "/u/y.mp4"]
 
 
+def test_ingest_copies_new_contents_once(spark, tmp_path):
+    usb, inbox, manifest = tmp_path / "usb stick", tmp_path / "inbox", tmp_path / "manifest"
+    for name, content in {"a/x 1.mp4": b"one", "b/x 1.mp4": b"two", "b/y.ts": b"one", "c/z.mkv": b"\xff\x00", "c/n.txt": b"no video"}.items():
+        (usb / name).parent.mkdir(parents=True, exist_ok=True)
+        (usb / name).write_bytes(content)
+
+    def run():
+        walked = views.video_files(spark, str(usb)).withColumn("ord", F.row_number().over(Window.orderBy("path")))
+        return sorted(r.path.rpartition("usb stick/")[2] for r in maintenance.ingest(walked, F.lit(40), str(manifest), str(inbox)).collect())
+
+    assert run() == ["a/x 1.mp4", "b/x 1.mp4", "c/z.mkv"]
+    want = {"x 1.mp4": b"two", "z.mkv": b"\xff\x00"}  # of one name the last walked
+    assert {p.name: p.read_bytes() for p in inbox.iterdir()} == want
+    assert run() == [] and len(list(manifest.iterdir())) == 1
+    (usb / "d.mp4").write_bytes(b"three")
+    assert run() == ["d.mp4"] and {p.name for p in inbox.iterdir()} == {*want, "d.mp4"}
+    lines = maintenance.known_lines(spark, str(manifest)).collect()
+    assert len(lines) == 4 and {r.duration_ms for r in lines} == {40} and any(r.path.endswith("/b/x 1.mp4") for r in lines)
+
+
 def test_regions_are_read_by_a_backend(spark):
     class Backend:
         def words(self, png: bytes) -> list[tuple[str, float]]:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clamp, error_text, file_name
 from ..schemas import DETECTIONS, conform
 from ..scratch import written
+from ..sources.files import copy_files, opened, write_files
+from ..sources.views import manifest_lines
 
 
 def upsert_videos(log: DataFrame) -> DataFrame:
@@ -177,7 +181,7 @@ def matching_files(files: DataFrame, patterns: list[str]) -> DataFrame:
 
 def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files to ingest (ord, path, sha256): contents not in the manifest, the first walked of each."""
-    hashed = files.withColumn("sha256", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
+    hashed = files.withColumn("sha256", F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit("").cast("binary")), 256))
     first = hashed.groupBy("sha256").agg(F.min(F.struct("ord", "path")).alias("f"))
     return first.join(manifest.select("sha256"), "sha256", "left_anti").select("f.ord", "f.path", "sha256")
 
@@ -186,9 +190,37 @@ def manifest_line(sha256: Column, path: Column, duration_ms: Column) -> Column:
     return F.concat(sha256, F.lit(" "), path, F.lit(" duration="), duration_ms.cast("string"), F.lit("ms"))
 
 
-def append_manifest(files: DataFrame, duration_ms: Column, path: str) -> None:
-    """Appends a line for each new file (sha256, path) to a text manifest, one file a task."""
-    files.select(manifest_line(F.col("sha256"), F.col("path"), duration_ms).alias("value")).write.mode("append").text(path)
+def known_lines(spark: SparkSession, manifest: str) -> DataFrame:
+    """What a text manifest holds (sha256, path, duration_ms); nothing where there is none yet."""
+    files, root = opened(manifest)
+    lines = spark.createDataFrame([], "value string") if files.get_file_info(root).type == arrow_fs.FileType.NotFound else spark.read.text(manifest)
+    return manifest_lines(lines)
+
+
+def append_manifest(files: DataFrame, duration_ms: Column, manifest: str) -> None:
+    """Appends a line for each file (sha256, path) whose hash is not there yet: a call that is repeated adds nothing.
+
+    A call adds one file of lines, or one for each million; all of them when the write is committed.
+    """
+    spark = files.sparkSession
+    fresh = files.join(known_lines(spark, manifest).select("sha256"), "sha256", "left_anti")
+    lines = written(fresh.select("sha256", manifest_line(F.col("sha256"), F.col("path"), duration_ms).alias("line")), "lines")
+    many = lines.count()
+    part = F.pmod(F.xxhash64("sha256"), F.lit(many // 1_000_000 + 1))
+    name = F.format_string(f"part-{uuid.uuid4().hex}-%d.txt", part)
+    if many:
+        write_files(lines.select(name.alias("name"), F.concat("line", F.lit("\n")).alias("content"), "sha256"), manifest, "sha256")
+
+
+def ingest(files: DataFrame, duration_ms: Column, manifest: str, inbox: str) -> DataFrame:
+    """Copies the files (ord, path, content) whose content the manifest does not know to the inbox, then adds their lines; gives them.
+
+    duration_ms is a column over (ord, path, sha256). Where it stops after copying, the next call copies once more: lines come last.
+    """
+    new = written(new_files(files, known_lines(files.sparkSession, manifest)), "new-files")
+    copy_files(new.select(file_name(F.col("path")).alias("name"), F.col("path").alias("source"), "ord"), inbox, "ord")
+    append_manifest(new, duration_ms, manifest)
+    return new
 
 
 def inbox_collisions(files: DataFrame) -> DataFrame:

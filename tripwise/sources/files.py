@@ -26,8 +26,10 @@ PIECE = 4_000_000
 
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The file system of a path and the path in it; a plain path is a local or mounted one."""
-    return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
+    """The file system of a path and the path in it; a plain path is a local or mounted one. As in Spark, `file:` paths are not percent-encoded."""
+    if path.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
 
 
 @dataclass
