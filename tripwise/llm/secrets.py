@@ -66,17 +66,19 @@ def base_spans(text: Column) -> Column:
 
 def located(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, base (spans of the patterns), tokens (long runs of token characters that
-    touch none of them), and `name`, three neighbouring words of the text joined into an identifier ("" if it has none).
+    touch none of them), and `name`, three neighbouring words of the text joined into an identifier or path ("" or "/" if it has none).
 
     Written to the shared folder, so texts are read once.
     """
     text = F.col("text")
     three = F.split(F.regexp_extract(text, "(?<![A-Za-z])[A-Za-z]{4,} [A-Za-z]{4,} [A-Za-z]{4,}", 0), " ")
-    style = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    style = F.pmod(F.xxhash64("doc_id"), F.lit(6))
     name = (
         F.when(style == 0, F.array_join(three, "_"))
         .when(style == 1, F.upper(F.array_join(three, "_")))
         .when(style == 2, F.upper(F.array_join(three, "")))
+        .when(style == 3, F.array_join(three, "-"))
+        .when(style == 4, F.concat_ws("/", F.lit(""), F.array_join(three, "/")))
         .otherwise(F.array_join(F.transform(three, F.initcap), ""))
     )
     found = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", base_spans(text).alias("base"), name.alias("name"))
@@ -103,7 +105,7 @@ def labelled_samples(spans: DataFrame, limit: int = SAMPLE, n_drawn: int = DRAWN
     sample = lambda v, random, sure: F.struct(v.alias("value"), F.lit(random).alias("random"), F.lit(sure).alias("sure"))
     hits = F.transform("base", lambda s: sample(s["value"], True, True))
     rest = F.transform("tokens", lambda s: sample(s["value"], False, False))
-    names = F.transform(F.filter(F.array("name"), lambda v: v != ""), lambda v: sample(v, False, True))
+    names = F.transform(F.filter(F.array("name"), lambda v: F.length(v) > 1), lambda v: sample(v, False, True))
     values = spans.select(F.explode(F.concat(hits, rest, names)).alias("s")).select("s.*").withColumn("order", F.xxhash64("value"))
     kinds = [(True, True), (False, True), (False, False)]
     found = drawn(spans.sparkSession, n_drawn).select("value", F.lit(True).alias("random"), F.lit(True).alias("sure"))
