@@ -9,6 +9,7 @@ items travel to the shards in blocks of bounded size; documents are never shuffl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,12 +192,20 @@ def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        yield k, blocks, spark.sparkContext.broadcast((block["item_id"].to_pylist(), block["text"].combine_chunks(), window))
+        # The name lets a worker keep what it built of a block from task to task.
+        yield k, blocks, spark.sparkContext.broadcast((uuid.uuid4().hex, block["item_id"].to_pylist(), block["text"].combine_chunks(), window))
+
+
+_latest: dict[str, TestSuffixes] = {}
 
 
 def tests_of(sent) -> TestSuffixes:
-    names, texts, window = sent.value
-    return TestSuffixes(names, texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, window)
+    """The suffixes of a block, built once in each Python worker, which holds those of its latest block only."""
+    name, ids, texts, window = sent.value
+    if name not in _latest:
+        _latest.clear()
+        _latest[name] = TestSuffixes(ids, texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, window)
+    return _latest[name]
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32_000_000) -> DataFrame:
@@ -228,7 +237,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
         if not parts:  # the rows' numbers must be the same for every block
             keyed = materialize(keyed, "decontam-docs")
         parts.append(materialize(keyed.mapInArrow(scan, FOUND), "decontam-block"))
-        sent.unpersist()
+        sent.destroy()
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -272,27 +281,51 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """docs without the rows whose text holds a benchmark window; columns unchanged.
 
     Each row is judged by its own text, whatever its id: rows that repeat an id, or have none, stay
-    or go on their own. Rows stay where they are: each block of items filters what the last left.
+    or go on their own. Where items fill one block, rows are filtered where they are. Several blocks
+    search the rows one after another, each broadcast dropped before the next; the rows they hit
+    then leave by an anti-join on a row number that is written beside the row.
     """
     name = "__text"
     while name in docs.columns:
         name += "_"
     left = docs.withColumn(name, F.col("text").cast("string"))
-    for _, _, sent in item_blocks(benchmark, window, block_bytes):
+    row = name + "_row"
+    while row in docs.columns:
+        row += "_"
+    hits: list[DataFrame] = []
+    for _, blocks, sent in item_blocks(benchmark, window, block_bytes):
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             tests = tests_of(sent)
             for batch in batches:
-                at = batch.schema.get_field_index(name)
-                _, offsets = text_bytes(batch.column(at))
-                for i, j in doc_slices(offsets):
-                    part = batch.slice(i, j - i)
-                    none = pa.nulls(j - i, pa.int64())
-                    found = scan_shard(none, none, part.column(at), tests)
-                    yield part.filter(pc.equal(pc.list_value_length(found.column("runs")), 0))
+                yield from (part.filter(pc.invert(hit)) for part, hit in judged(batch, name, tests))
 
-        left = left.mapInArrow(clean, left.schema)
-    return left.drop(name)
+        def dirty(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tests = tests_of(sent)
+            for batch in batches:
+                for part, hit in judged(batch, name, tests):
+                    yield pa.RecordBatch.from_arrays([part.column(row).filter(hit)], [row])
+
+        if blocks == 1:
+            return left.mapInArrow(clean, left.schema).drop(name)
+        if not hits:  # the rows' numbers must be the same for every block
+            left = materialize(left.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+        hits.append(materialize(left.select(row, name).mapInArrow(dirty, f"`{row}` long"), "decontam-hits"))
+        sent.destroy()
+    for hit in hits:
+        left = left.join(hit, row, "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def judged(batch: pa.RecordBatch, name: str, tests: TestSuffixes) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch in slices of bounded text, with whether each row's text in column `name` holds a window."""
+    at = batch.schema.get_field_index(name)
+    _, offsets = text_bytes(batch.column(at))
+    for i, j in doc_slices(offsets):
+        part = batch.slice(i, j - i)
+        none = pa.nulls(j - i, pa.int64())
+        found = scan_shard(none, none, part.column(at), tests)
+        yield part, pc.greater(pc.list_value_length(found.column("runs")), 0)
 
 
 ORACLE = r"""
