@@ -184,11 +184,11 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-@pytest.mark.parametrize(("piece", "block_bytes"), [(ctw.PIECE, 8_000_000), (700, 2_000)])
-def test_context_tree(spark, make_docs, monkeypatch, piece, block_bytes):
-    """Also with texts longer than a piece, and pieces and texts dealt over several blocks."""
+@pytest.mark.parametrize(("piece", "block_bytes", "share"), [(ctw.PIECE, 8_000_000, ctw.SHARE), (700, 2_000, 0.02), (700, 2_000, 2)])
+def test_context_tree(spark, make_docs, monkeypatch, piece, block_bytes, share):
+    """Also with texts longer than a piece, texts dealt over several blocks, and subtrees cut off at depths 2 to 5 or all at 2."""
     score = ctw.score_documents
-    monkeypatch.setattr(ctw, "score_documents", lambda docs, training: score(docs, training, block_bytes, piece))
+    monkeypatch.setattr(ctw, "score_documents", lambda docs, training: score(docs, training, block_bytes, piece, share))
     rng = np.random.default_rng(2)
     rows = [(i, prose(rng, int(rng.integers(0, 40)))) for i in range(30)] + [(30, None), (31, ""), (32, "ÄÖ\x00 \n\n THE the"), (33, "a" * 5000), (None, "eta")]
     got = {r.doc_id: r for r in ctw.language_model_report(make_docs(rows)).collect()}
@@ -239,6 +239,20 @@ def test_context_tree(spark, make_docs, monkeypatch, piece, block_bytes):
     assert ctw.score_documents(make_docs([(1, "abc")]), lambda i: i > 5).first().train_tokens == 0
 
 
+def test_no_bucket_owns_a_frequent_context():
+    """A context with a third of all grams is cut into subtrees of at most the share; named contexts have half of it or more."""
+    rng, share = np.random.default_rng(5), 0.01
+    keys = rng.integers(0, 1 << 48, 60_000, dtype=np.uint64)
+    keys[:20_000] = (keys[:20_000] & ~np.uint64(0xFFFF00)) | np.uint64(0x206500)
+    keys[:4_000] = (keys[:4_000] & ~np.uint64(0xFF000000)) | np.uint64(0x74000000)
+    keys = np.unique(keys)
+    frequent = {d: np.sort(c) for d, c, _ in ctw.frequent_in(keys, len(keys) * share) if len(c)}
+    assert list(frequent) == [2, 3] and frequent[2].tolist() == [0x2065] and frequent[3].tolist() == [0x742065]
+    cuts = ctw.depths_of_cuts(keys, frequent)
+    assert np.bincount(cuts)[2:].tolist() == [int((((keys >> np.uint64(8)) & np.uint64(0xFFFF)) != 0x2065).sum()), int((cuts == 3).sum()), int((((keys >> np.uint64(8)) & np.uint64(0xFFFFFF)) == 0x742065).sum())]
+    assert np.bincount(ctw.gram_bucket(keys, cuts, 50)).max() < 0.03 * len(keys)
+
+
 def brute_removed(rows, n=50):
     out, seen = {}, {}
     texts = sorted(((math.inf if i is None else i, (t or "").encode()) for i, t in rows), key=lambda r: r[0])
