@@ -3,14 +3,18 @@
     write_files(rows, folder, "frame")     rows (name, content, frame): the contents of a name, in order, are its file
     copy_files(rows, folder)               rows (name, source): the file `source` is copied to `name`
 
-Tasks write drafts in a hidden folder of the write; when all of them are done the drafts get their names, and files
-that have such a name are replaced. A task that fails or runs twice leaves nothing: the hidden folder goes as a whole.
+Tasks write drafts in a hidden folder of the write; when all of them are done the drafts get their names, in tasks again,
+and files that have such a name are replaced. Each attempt notes the names of its drafts in a file beside them, so neither
+names nor drafts pass through the driver. A task that fails or runs twice leaves nothing: the hidden folder goes as a whole.
 A driver lost while names are given leaves some files old and some new, none of them in part; the write is then repeated.
 A file is written by one task, in pieces, so its size is not bound by memory.
 """
 
 from __future__ import annotations
 
+import functools
+import io
+import json
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -22,7 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..scratch import written
+
 PIECE = 4_000_000
+#: In the folder of an attempt: the names its drafts are to get, one a line. In the folder of a write: the attempts that count.
+NAMES, KEPT = "names", "kept"
+#: Rows of a listing (folder: path of a folder, else null) and of files read.
+LISTED, STORED = "path string, length long, folder string", "path string, length long, content binary"
+ARROW_LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.string())])
+ARROW_STORED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -34,9 +46,9 @@ def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 @dataclass
 class Drafts(WriterCommitMessage):
-    """What a task wrote: draft by draft the name it is to get."""
+    """The folder of an attempt's drafts, below the hidden one of the write; None where it wrote nothing."""
 
-    names: list[tuple[str, str]]
+    attempt: str | None
 
 
 class FilesWriter(DataSourceArrowWriter):
@@ -46,8 +58,9 @@ class FilesWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        # Made on the driver, so all tasks of a write share it.
-        self.hidden = f".drafts-{uuid.uuid4().hex}"
+        # Made on the driver, so all tasks of a write share it. Who gives one gives the names too, to the attempts that commit() notes.
+        self.hidden = options.get("hidden") or f".drafts-{uuid.uuid4().hex}"
+        self.named = "hidden" not in options
 
     def pieces(self, row: dict, first: bool) -> Iterator[bytes]:
         """What a row adds to its file; first: the file is new."""
@@ -56,8 +69,9 @@ class FilesWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Drafts:
         files, root = opened(self.path)
-        hidden, attempt = posixpath.join(root, self.hidden), uuid.uuid4().hex
-        names, out, now = [], None, None
+        attempt = uuid.uuid4().hex
+        drafts = posixpath.join(root, self.hidden, attempt)
+        many, names, out, now = 0, None, None, None
         try:
             for b in batches:
                 for part in (b.slice(at, 256) for at in range(0, b.num_rows, 256)):
@@ -67,34 +81,59 @@ class FilesWriter(DataSourceArrowWriter):
                             if out is not None:
                                 out.close()
                             now = checked(row[self.by])
-                            if not names:
-                                files.create_dir(hidden, recursive=True)
-                            names.append((posixpath.join(hidden, f"{attempt}-{len(names)}"), now))
-                            out = files.open_output_stream(names[-1][0])
+                            if names is None:
+                                files.create_dir(drafts, recursive=True)
+                                names = files.open_output_stream(posixpath.join(drafts, NAMES), buffer_size=1 << 16)
+                            names.write(json.dumps(now).encode() + b"\n")
+                            out = files.open_output_stream(posixpath.join(drafts, str(many)))
+                            many += 1
                         for piece in self.pieces(row, first):
                             out.write(piece)
         finally:
-            if out is not None:
-                out.close()
-        return Drafts(names)
+            for f in (out, names):
+                if f is not None:
+                    f.close()
+        return Drafts(attempt if many else None)
 
     def commit(self, messages: list[Drafts | None]) -> None:
-        files, root = opened(self.path)
-        made: set[str] = set()
-        for draft, name in (pair for m in messages if m for pair in m.names):
-            target = posixpath.join(root, name)
-            folder = posixpath.dirname(target)
-            if folder not in made:
-                files.create_dir(folder, recursive=True)
-                made.add(folder)
-            files.move(draft, target)
-        self.abort(messages)
+        kept = [m.attempt for m in messages if m and m.attempt]
+        if self.named:
+            for attempt in kept:
+                give_names(self.path, self.hidden, attempt)
+            self.abort(messages)
+        elif kept:
+            files, root = opened(self.path)
+            with files.open_output_stream(posixpath.join(root, self.hidden, KEPT)) as f:
+                f.write(json.dumps(kept).encode())
 
     def abort(self, messages: list[Drafts | None]) -> None:
-        files, root = opened(self.path)
-        hidden = posixpath.join(root, self.hidden)
-        if files.get_file_info(hidden).type == arrow_fs.FileType.Directory:
-            files.delete_dir(hidden)
+        clear(self.path, self.hidden)
+
+
+def give_names(path: str, hidden: str, attempt: str) -> int:
+    """Moves an attempt's drafts to their names, which may be begun and done again; gives their number."""
+    files, root = opened(path)
+    drafts, many = posixpath.join(root, hidden, attempt), 0
+    with files.open_input_stream(posixpath.join(drafts, NAMES), buffer_size=1 << 16) as f:
+        for line in io.TextIOWrapper(f, "ascii"):
+            draft, target = posixpath.join(drafts, str(many)), posixpath.join(root, json.loads(line))
+            try:
+                files.move(draft, target)
+            except OSError:
+                if files.get_file_info(draft).type != arrow_fs.FileType.NotFound:  # the name's folder is new
+                    files.create_dir(posixpath.dirname(target), recursive=True)
+                    files.move(draft, target)
+                elif files.get_file_info(target).type != arrow_fs.FileType.File:  # nor has an earlier try moved it
+                    raise
+            many += 1
+    return many
+
+
+def clear(path: str, hidden: str) -> None:
+    files, root = opened(path)
+    folder = posixpath.join(root, hidden)
+    if files.get_file_info(folder).type == arrow_fs.FileType.Directory:
+        files.delete_dir(folder)
 
 
 def checked(name: str | None) -> str:
@@ -129,8 +168,27 @@ class FileSink(DataSource):
 
 
 def _put(rows: DataFrame, folder: str) -> None:
-    rows.sparkSession.dataSource.register(FileSink)
-    rows.write.format("files").option("path", folder).mode("append").save()
+    """Writes the drafts, then gives names: a task for each attempt that counts."""
+    spark, hidden = rows.sparkSession, f".drafts-{uuid.uuid4().hex}"
+    spark.dataSource.register(FileSink)
+    rows.write.format("files").option("path", folder).option("hidden", hidden).mode("append").save()
+    files, root = opened(folder)
+    files.create_dir(root, recursive=True)
+    note = posixpath.join(root, hidden, KEPT)
+    try:
+        if files.get_file_info(note).type == arrow_fs.FileType.NotFound:  # no rows
+            return
+        with files.open_input_stream(note) as f:
+            kept = json.loads(f.read())
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                done = [give_names(folder, hidden, kept[at]) for at in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["many"])
+
+        spark.range(0, len(kept), 1, len(kept)).mapInArrow(named, "many long").write.format("noop").mode("overwrite").save()
+    finally:
+        clear(folder, hidden)
 
 
 def write_files(rows: DataFrame, folder: str, *order: str) -> None:
@@ -154,6 +212,61 @@ def grey_picture(width: Column, height: Column, gray: Column) -> Column:
     return F.concat(head.cast("binary"), gray)
 
 
+def _unseen(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _looked(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """The files and folders in each folder (column folder)."""
+    files, _ = opened(folder)
+    for b in batches:
+        for at in b.column("folder").to_pylist():
+            found = [i for i in files.get_file_info(arrow_fs.FileSelector(at)) if not _unseen(i.base_name)]
+            for n in range(0, len(found), 10_000):
+                rows = [(i.path, i.size, None) if i.is_file else (None, None, i.path) for i in found[n : n + 10_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW_LISTED.types, strict=True)], schema=ARROW_LISTED)
+
+
+def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """The files listed, with their content; about 8 MB of it at once, or one file."""
+    files, _ = opened(folder)
+    # A path as Spark writes it.
+    scheme = "file:" if isinstance(files, arrow_fs.LocalFileSystem) else folder[: len(folder.rstrip("/")) - len(opened(folder)[1].rstrip("/"))]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW_STORED.types, strict=True)], schema=ARROW_STORED)
+
+    rows, held = [], 0
+    for b in batches:
+        for path in b.column("path").to_pylist():
+            with files.open_input_file(path) as f:
+                content = f.read()
+            if rows and held + len(content) > 8_000_000:
+                yield batch(rows)
+                rows, held = [], 0
+            rows.append((scheme + path, len(content), content))
+            held += len(content) + 200
+    if rows:
+        yield batch(rows)
+
+
 def stored_files(spark, folder: str) -> DataFrame:
-    """The files below a folder: path, length, content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    """The files below a folder, empty ones too: path, length, content.
+
+    Tasks look through the folders, level by level, and write what they find, so no list of files is held in one place;
+    only a folder by itself is listed by one task.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = spark.createDataFrame([(opened(folder)[1],)], "folder string")
+    listed, folders, many, held = None, 1, 0, 0
+    while folders:
+        dealt = level.repartition(min(tasks, folders), "folder")
+        found = written(dealt.mapInArrow(functools.partial(_looked, folder=folder), LISTED), "listing")
+        folders, n, size = found.agg(F.count("folder"), F.count("path"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        many, held = many + n, held + size
+        level = found.filter("folder IS NOT NULL").select("folder")
+        of_level = found.filter("path IS NOT NULL").select("path")
+        listed = of_level if listed is None else listed.unionByName(of_level)
+    dealt = listed.repartition(max(1, min(tasks, many), held // (16 * PIECE)), "path")
+    return dealt.mapInArrow(functools.partial(_read, folder=folder), STORED)
